@@ -243,7 +243,7 @@ def _marked(rows: DataFrame, groups: DataFrame) -> DataFrame:
     known = F.coalesce("doc_id", F.lit(_LAST))
     return (
         rows.withColumn("_nth", nth)
-        .join(groups, "text_sha256")
+        .join(groups.hint("merge"), "text_sha256")  # its size can't be estimated, and it grows with the rows
         .withColumn("kept", (F.col("_nth") == 1) & (known == F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")))
         .withColumn("keep_id", F.when(F.col("keep_id") < _LAST, F.col("keep_id")))
     )
@@ -263,4 +263,4 @@ def without_copies(docs: DataFrame, capacity: int = 64) -> DataFrame:
     w = Window.partitionBy("_sha", "_long").orderBy(n_chars.desc())
     rows = docs.withColumn("_sha", body).withColumn("_long", F.col("doc_id").cast("long")).withColumn("_nth", F.row_number().over(w)).where("_nth = 1")
     same = (rows["_sha"] == kept["_sha"]) & rows["_long"].eqNullSafe(kept["_id"])
-    return rows.join(kept, same, "left_semi").select(*docs.columns)
+    return rows.join(kept.hint("merge"), same, "left_semi").select(*docs.columns)
