@@ -227,13 +227,16 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_land
 
     got = np.array([(r["label"] > 0, r["margin"]) for r in labelled.mapInArrow(margins, "label int, margin double").collect()], float)
     y, x = got[:, 0], got[:, 1]
-    # logistic curve by Newton steps, with the smoothed targets that keep it finite
+    # logistic curve by Newton steps, with the smoothed targets that keep it finite; the rarer class
+    # weighs more, by the root of the classes' ratio, as words that few rows show leave small margins
     target = np.where(y > 0, (n_toxic + 1) / (n_toxic + 2), 1 / (n_clean + 2))
+    rare = min(max((y > 0).mean(), 1e-3), 0.999)
+    even = np.where(y > 0, np.sqrt((1 - rare) / rare), 1.0)
     design, beta = np.stack([x, np.ones_like(x)], 1), np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        h = design.T @ (design * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
-        move = np.linalg.solve(h, design.T @ (p - target) + 1e-3 * (beta - [1.0, 0.0]))
+        h = design.T @ (design * (even * p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
+        move = np.linalg.solve(h, design.T @ (even * (p - target)) + 1e-3 * (beta - [1.0, 0.0]))
         beta = beta - np.clip(move, -2, 2)
     return {"machine": (machine.codes, machine.weights, machine.bias), "a": max(float(beta[0]), 0.0), "b": float(beta[1]), "landmarks": landmarks}
 
