@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .perplexity_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .extendible_dedup import exact_duplicates
 
@@ -57,6 +63,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_perplexity_rules": op1_perplexity_rules,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_token_shards": op4_token_shards,
     "op6_lm_score": op6_lm_score,
