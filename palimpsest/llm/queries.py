@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import license_dice
 from .shared import ship_package
 
 TOKENIZERS = "/opt/tokenizers"
@@ -29,6 +30,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_linking import linked_secrets
+
+    return linked_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sstable import read_shards, write_shards
 
@@ -36,6 +43,12 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_dice import license_matches
+
+    return license_matches(table(spark, sf_dir, "documents"))
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_automaton import train_and_score
 
@@ -65,7 +78,9 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_perplexity_rules": op1_perplexity_rules,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_secret_linking": op3_secret_linking,
     "op4_token_shards": op4_token_shards,
+    "op5_license_dice": op5_license_dice,
     "op6_lm_score": op6_lm_score,
     "op7_packing": op7_packing,
     "op9_toxicity": op9_toxicity,
@@ -73,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_license_dice": license_dice.oracle(),
     "op2_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         n AS (SELECT doc_id, length(t) AS n_chars, sha256(regexp_replace(t, '[ \\t\\n\\x0B\\f\\r]+', '', 'g')) AS text_sha256 FROM d),

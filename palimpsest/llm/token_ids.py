@@ -6,6 +6,7 @@ library once, and the ids of the parts are joined. The result equals that of enc
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
@@ -21,7 +22,7 @@ class Encoder:
     """kind "byte": byte-level BPE that keeps white space, a single space going with the word after it.
     kind "word": BPE with word ends that drops white space. Strings of special tokens are ordinary text."""
 
-    def __init__(self, path: str, kind: str, most: int = 500_000):
+    def __init__(self, path: str, kind: str, most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -52,6 +53,13 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of the size of self.dtype."""
+        gc.disable()  # many short-lived lists and no cycles: collections would only walk them
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         for known in (self.plain, self.parts):
             if len(known) > self.most:
                 known.clear()
