@@ -7,14 +7,40 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.llm.shared import materialise, ship_package
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the machine predicts to be toxic go."""
+    from palimpsest.llm.toxicity import train, without_toxic
+
+    ship_package(spark)
+    return without_toxic(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays."""
     from palimpsest.llm.extendible_dedup import without_copies
 
     ship_package(spark)
     return without_copies(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that of the smallest doc_id."""
+    from palimpsest.llm.jaccard_join import one_of_each
+
+    ship_package(spark)
+    return one_of_each(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of domains with too few tokens are repeated; none is lost."""
+    from palimpsest.llm.soft_mixing import mixed_documents
+
+    ship_package(spark)
+    return mixed_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), [0.85, 0.15], ["plain", "poor"])
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens, as pieces of documents with their ids."""
     from palimpsest.llm.packing import pack_documents
     from palimpsest.llm.queries import TOKENIZERS
 
@@ -22,9 +48,16 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pack_documents(docs, f"{TOKENIZERS}/word_bpe_49k.json")
 
 
-STAGES = [("exact dedup", exact_stage), ("packing", packing_stage)]
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact dedup", exact_stage),
+    ("n-gram Jaccard join", near_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
-#: Two stages use trained models and one an index of its own, which SQL can't express.
+#: Stages use trained models and indexes of their own, which SQL can't express; the tests hold them against
+#: brute force.
 ORACLE_SQL = None
 
 
