@@ -132,6 +132,9 @@ def token_set_pairs(docs: DataFrame, least: float, most_shared: int = 40) -> Dat
 
 def html_links(pages: DataFrame) -> DataFrame:
     """(page_id, target, kind): targets of links, scripts and style sheets; not of other protocols or fragments."""
-    found = F.concat(*(F.transform(F.regexp_extract_all("html", F.lit(p), F.lit(1)), lambda t, k=kind: F.struct(F.regexp_replace(t, "[?#].*$", "").alias("target"), F.lit(k).alias("kind"))) for kind, p in (("href", r"""(?i)<(?:a|link)\b[^>]*?\bhref\s*=\s*["']([^"']+)["']"""), ("src", r"""(?i)<(?:script|img)\b[^>]*?\bsrc\s*=\s*["']([^"']+)["']"""))))
+    def targets(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)), lambda t: F.struct(F.regexp_replace(t, "[?#].*$", "").alias("target"), F.lit(kind).alias("kind")))
+
+    found = F.concat(targets("href", r"""(?i)<(?:a|link)\b[^>]*?\bhref\s*=\s*["']([^"']+)["']"""), targets("src", r"""(?i)<(?:script|img)\b[^>]*?\bsrc\s*=\s*["']([^"']+)["']"""))
     rows = pages.select("page_id", F.explode(found).alias("x")).select("page_id", "x.target", "x.kind")
     return rows.where((F.col("target") != "") & ~F.col("target").rlike("^(?i)(data:|mailto:|javascript:|https?:|//)")).distinct()

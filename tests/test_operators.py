@@ -1,0 +1,178 @@
+"""Golden values and edge cases of the operators."""
+
+from types import SimpleNamespace
+
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest.functions.scalars import cosine
+from palimpsest.operators import coupling as C
+from palimpsest.operators import graphs as G
+from palimpsest.operators import investigate as I
+from palimpsest.operators import merge as M
+from palimpsest.operators import people as P
+from palimpsest.operators import retrieval as R
+from palimpsest.operators import similarity as S
+from palimpsest.operators import temporal as T
+from palimpsest.operators import traces
+
+
+def rows(df, *order):
+    return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]
+
+
+def changes(spark, commits):
+    return spark.createDataFrame([(c, f) for c, files in commits.items() for f in files], "commit_id string, file_id string")
+
+
+@pytest.fixture()
+def history(spark):
+    return changes(spark, {"k0": "ABC", "k1": "AB", "k2": "AB", "k3": "AC"})
+
+
+def test_coupling(history):
+    assert rows(C.change_coupling(history), "file_a", "file_b") == [("A", "B", 3, 1.0), ("A", "C", 2, 1.0), ("B", "C", 1, 0.5)]
+    assert rows(C.coupling_diagnostics(history, 100)) == [(4, 4, 0, 3)]
+
+
+def test_coupling_leaves_out_large_commits(history):
+    assert rows(C.coupling_diagnostics(history, 2)) == [(4, 3, 1, 2)]
+
+
+def test_coupling_of_single_files(spark):
+    assert rows(C.coupling_diagnostics(changes(spark, {"k": "A"}), 100)) == [(1, 1, 0, 0)]
+
+
+@pytest.mark.parametrize(("values", "want"), [((3, 3), (0.5, 0.5)), ((0, 0), (0.0, 0.0)), ((1, 4), (0.0, 1.0))])
+def test_minmax(spark, values, want):
+    df = spark.createDataFrame([(0, v) for v in values], "level int, v long")
+    assert tuple(r["normalized"] for r in C.minmax_normalize(df, "level", "v").orderBy("v").collect()) == want
+
+
+def test_hotspot_of_ones(spark):
+    assert spark.range(1).select(C.hotspot_score(F.lit(1.0), F.lit(1.0), F.lit(1.0))).first()[0] == 1.0
+
+
+@pytest.fixture()
+def ring(spark):
+    return spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "src long, dst long")
+
+
+def test_cycles_paths_and_impact(ring):
+    assert rows(G.scc_cycles(ring, 4), "node") == [(1, 1), (2, 1), (3, 1)]
+    assert ("2", "4>1>2") in [(str(r[0]), r[2]) for r in rows(G.shortest_path(ring, 4, 4))]
+    assert (2, 4, 2) in rows(G.impact_distance(ring, 4))
+    assert rows(G.bfs_subgraph(ring, 4, 1, 10), "depth", "node") == [(4, 0), (1, 1)]
+
+
+def test_occurrence_names(spark):
+    df = spark.createDataFrame([("list", 10), ("list", 30), ("create", 50)], "name string, line int")
+    assert [r["unique_key"] for r in T.occurrence_names(df, "name", "line").orderBy("line").collect()] == ["list@10#1", "list@30#2", "create"]
+
+
+ACTIVITY = "file_id int, age_days long, idle_days long, changes_180 long, changes long, people long"
+
+
+def test_volatility_labels(spark):
+    df = spark.createDataFrame([(1, 1500, 900, 0, 1, 1), (2, 30, 1, 3, 3, 1), (3, 800, 2, 9, 18, 4), (4, 800, 300, 0, 9, 1)], ACTIVITY)
+    assert [r["label"] for r in P.volatility(df).orderBy("file_id").collect()] == ["stable_legacy", "new_code", "frequently_changed", "recently_inactive"]
+
+
+def test_concentration_of_one_person(spark):
+    df = spark.createDataFrame([(1, 1, 1.0), (2, 1, 0.5), (2, 2, 0.5)], "file_id int, author_id int, knowledge double")
+    assert [(r["people"], r["label"]) for r in P.knowledge_concentration(df).orderBy("file_id").collect()] == [(1, "concentrated"), (2, "distributed")]
+
+
+def snapshots(spark):
+    base = [("c", "s"), ("s", "r"), ("r", "m")]
+    steps = [base, [*base, ("p", "s")], [*base, ("p", "s"), ("c", "r")], [*base, ("p", "s"), ("c", "r"), ("r", "c")], [*base, ("p", "s"), ("c", "r")], [*base, ("p", "s")]]
+    return spark.createDataFrame([(i, s, d, 1) for i, e in enumerate(steps, 1) for s, d in e], "snapshot long, src string, dst string, weight long")
+
+
+def test_violation_is_introduced_and_resolved(spark):
+    s = snapshots(spark)
+    got = T.violation_intervals(s, s.select("snapshot").distinct(), (F.col("src") == "c") & (F.col("dst") == "r"))
+    assert rows(got) == [("c", "r", 3, 6, 3)]
+
+
+def test_drift_and_events(spark):
+    s = snapshots(spark)
+    drift = {r["snapshot"]: r["drift"] for r in T.structural_drift(s).collect()}
+    assert drift[4] == round(100 * 0.60 * (1 - 5 / 6), 2) and len(drift) == 5
+    same = spark.createDataFrame([(1, "a", "b", 1), (2, "a", "b", 1)], s.schema)
+    assert rows(T.structural_drift(same)) == [(2, 0.0, 0.0, 0.0)]
+    assert (4, "dependency_introduced", 1) in rows(T.evolution_events(s))
+
+
+def test_lineage_follows_renames(spark):
+    df = spark.createDataFrame([("r", 1, None, "a", "added"), ("r", 2, "a", "b", "renamed"), ("r", 3, "b", "b", "modified"), ("r", 4, "b", None, "deleted"), ("r", 5, None, "b", "added")], "repo string, pos long, old_path string, new_path string, kind string")
+    assert [r["lineage"] for r in T.file_lineage(df).orderBy("pos").collect()] == ["a@1"] * 4 + ["b@5"]
+
+
+def test_tokens_ignore_comments(spark):
+    df = spark.createDataFrame([("def f(a): # note\n  return a", "def f(a):\n\n    return a")], "a string, b string")
+    assert df.select(S.sequence_similarity(F.col("a"), F.col("b"))).first()[0] == 1.0
+
+
+def test_changed_lines(spark):
+    df = spark.createDataFrame([("a\nb\nc", "a\nx\ny\nz")], "a string, b string")
+    assert tuple(df.select(S.changed_lines("a", "b").alias("x")).select("x.*").first()) == (3, 2)
+
+
+def symbol(**kw):
+    return SimpleNamespace(**({"kind": "function", "path": "a.py", "name": "f", "qualified": "f", "parent": "", "body": "x" * 40, "body_hash": "h", "signature": "f()"} | kw))
+
+
+def test_symbol_scores():
+    assert S.match_score(symbol(), symbol()) == (1.0, "unchanged")
+    assert S.match_score(symbol(), symbol(qualified="C.f")) == (0.97, "same_name")
+    assert S.match_score(symbol(), symbol(name="g", qualified="g")) == (0.95, "same_body")
+    assert S.match_score(symbol(), symbol(name="g", qualified="g", path="b.py")) == (0.91, "same_body")
+    assert S.match_score(symbol(), symbol(kind="class")) is None
+
+
+def test_trace_of_several_languages():
+    text = '  File "a.py", line 3, in run\n    at load (/srv/x.js:10:5)\n    at com.a.B.c(B.java:7)\n#0 0x00ff in main () at src/m.cpp:12\n\t/go/x/main.go:9 +0x1'
+    assert [f[0] for f in traces.parse_trace(text)] == ["python", "javascript", "java", "c_cpp", "go"]
+
+
+def test_blamed_lines():
+    assert traces.blamed_lines("@@ -10,3 +10,1 @@\n-# note\n-value = 1\n-\n+value = 2") == [11]
+    assert traces.blamed_lines("@@ -5,0 +6,1 @@\n+new") == [5, 6]
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame([('token = "abcdef12" by a.b@c.org',)], "t string")
+    assert df.select(R.redacted(F.col("t"))).first()[0] == "token = [REDACTED] by [EMAIL]"
+
+
+def test_paragraph_chunks(spark):
+    df = spark.createDataFrame([(1, "aaa\n\nbb\n\n" + "c" * 12), (2, None), (3, "")], "doc_id long, text string")
+    assert rows(R.chunk_paragraphs(df, 7), "doc_id", "chunk") == [(1, 0, "aaa\n\nbb"), (1, 1, "ccccccc"), (1, 2, "ccccc")]
+
+
+def test_cosine_of_nothing(spark):
+    df = spark.createDataFrame([([1.0, 0.0], [0.0, 0.0]), ([1.0, 0.0], [2.0, 0.0])], "a array<float>, b array<float>")
+    assert [r[0] for r in df.select(cosine(F.col("a"), F.col("b"))).collect()] == [None, 1.0]
+
+
+def test_bisect_steps(spark):
+    df = spark.createDataFrame([(["a", "b", "c"],)], "c array<string>")
+    assert df.select(*(I.bisect_step(F.col("c"), F.lit("b"), F.lit(v)) for v in ("good", "bad", "unknown"))).first()[:] == (["c"], ["a", "b"], ["a", "c"])
+
+
+def test_suffix_resolution(spark):
+    files = spark.createDataFrame([(1, "src/a/x.py"), (2, "src/b/x.py"), (3, "src/b/y.py")], "file_id long, path string")
+    names = spark.createDataFrame([("src/a/x.py",), ("b/x.py",), ("q/y.py",), ("q/x.py",), ("z",)], "name string")
+    assert {r["name"]: (r["file_id"], r["how"]) for r in I.resolve_suffix(names, files).collect()} == {"src/a/x.py": (1, "exact"), "b/x.py": (2, "suffix"), "q/y.py": (3, "filename"), "q/x.py": (None, "ambiguous"), "z": (None, "missing")}
+
+
+def test_merge_keeps_and_replaces(spark):
+    old, new = (spark.createDataFrame(x, "key int, body string") for x in ([(1, "a"), (2, "b")], [(2, "c"), (3, "d")]))
+    assert rows(M.merge_tables(old, new, "key"), "key") == [(1, "a"), (2, "c"), (3, "d")]
+    assert rows(M.classify(old, new, "key"), "key") == [(1, "delete"), (2, "update"), (3, "insert")]
+
+
+def test_layers(spark):
+    df = spark.createDataFrame([("src/Services/a.py",), ("app/ui/service.js",), ("x/y.py",)], "p string")
+    assert [r[0] for r in df.select(G.layer_of(F.col("p"))).collect()] == ["service", "presentation", "unknown"]
