@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import coupling, evidence, graphs, investigation, people, relational, temporal  # noqa: F401  they register
+from .plans import code, coupling, evidence, graphs, investigation, people, relational, temporal  # noqa: F401  they register
 from .plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -114,3 +114,32 @@ def directory_rollup(files: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     return files.select("lines", F.explode(above).alias("directory")).groupBy("directory").agg(F.count("*").alias("files"), F.sum("lines").cast("long").alias("lines"))
+
+
+def neighbourhood(edges: DataFrame, node: int, most: int = 100) -> DataFrame:
+    """(direction, other, weight) of a node's heaviest edges, at most ``most`` each way."""
+    out = edges.where(F.col("src") == node).select(F.lit("out").alias("direction"), F.col("dst").alias("other"), "weight").orderBy(F.desc("weight"), "other").limit(most)
+    into = edges.where(F.col("dst") == node).select(F.lit("in").alias("direction"), F.col("src").alias("other"), "weight").orderBy(F.desc("weight"), "other").limit(most)
+    return out.unionByName(into)
+
+
+def touching(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """Edges with an end among ``targets`` (node), each once."""
+    t = targets.select("node").distinct()
+    return edges.join(t, edges["src"] == t["node"], "left_semi").unionByName(edges.join(t, edges["dst"] == t["node"], "left_semi")).distinct()
+
+
+def expand_relations(seeds: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """(kind, id): seeds and what each table of links (kind_a, a, kind_b, b) ties to what is known so far, one
+    pass over the tables in their order."""
+    known = seeds.select("kind", "id").distinct()
+    for link in links:
+        step = link.join(known, (F.col("kind_a") == F.col("kind")) & (F.col("a") == F.col("id"))).select(F.col("kind_b").alias("kind"), F.col("b").alias("id"))
+        known = known.unionByName(step).distinct()
+    return known
+
+
+def ancestors(parents: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(commit_id, ancestor, distance) along (child, parent), within ``depth`` generations."""
+    found = reach(parents.select(F.col("child").alias("src"), F.col("parent").alias("dst")), seeds.select(F.col("commit_id").alias("node")), depth)
+    return found.where("depth > 0").select(F.col("seed").alias("commit_id"), F.col("node").alias("ancestor"), F.col("depth").alias("distance"))
