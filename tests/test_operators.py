@@ -176,3 +176,19 @@ def test_merge_keeps_and_replaces(spark):
 def test_layers(spark):
     df = spark.createDataFrame([("src/Services/a.py",), ("app/ui/service.js",), ("x/y.py",)], "p string")
     assert [r[0] for r in df.select(G.layer_of(F.col("p"))).collect()] == ["service", "presentation", "unknown"]
+
+
+def test_imports_and_languages(spark):
+    from palimpsest.operators import code
+
+    df = spark.createDataFrame([(1, "javascript", 'import x from "./a"; const y = require("b")'), (2, "c", '#include <stdio.h>\n#include "m.h"'), (3, None, "import z")], "file_id long, language string, text string")
+    assert rows(code.imports(df), "file_id", "module") == [(1, "./a"), (1, "b"), (2, "m.h"), (2, "stdio.h")]
+    names = spark.createDataFrame([("a/b.PY",), ("Makefile",), ("x.weird",)], "p string")
+    assert [r[0] for r in names.select(code.language_of(F.col("p"))).collect()] == ["python", None, None]
+
+
+def test_symbols_are_nested(spark):
+    from palimpsest.operators.code import python_symbols
+
+    got = [(s[0], s[2]) for s in python_symbols("class A:\n  'doc'\n  def __init__(self): pass\n  async def m(self):\n    def inner(): pass\ndef f(): pass")]
+    assert got == [("A", "class"), ("A.__init__", "constructor"), ("A.m", "method"), ("A.m.inner", "function"), ("f", "function")]
