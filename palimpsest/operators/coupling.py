@@ -58,7 +58,8 @@ def minmax_normalize(rows: DataFrame, level: str, value: str) -> DataFrame:
 
 def hotspot_score(change: Column, centrality: Column, coupling: Column) -> Column:
     """Fixed weights of change frequency, centrality and coupling."""
-    return F.round(0.45 * change + 0.35 * centrality + 0.20 * coupling, SCORE)
+    # the small amount settles halves the same way whatever rounds them
+    return F.round(0.45 * change + 0.35 * centrality + 0.20 * coupling + 1e-9, SCORE)
 
 
 def hotspots(changes: DataFrame, commits: DataFrame, files: DataFrame, edges: DataFrame, most_files: int = 100) -> DataFrame:

@@ -47,7 +47,7 @@ def degree_centrality(h):
  a AS (SELECT files.file_id, coalesce(changes, 0) AS changes, coalesce(authors, 0) AS authors, centrality, coalesce(coupling, 0.0) AS coupling FROM files LEFT JOIN k ON files.file_id = k.file_id JOIN g ON files.file_id = g.node LEFT JOIN q ON files.file_id = q.f),
  z AS (SELECT *, min(changes) OVER () AS lo, max(changes) OVER () AS hi FROM a),
  n2 AS (SELECT *, round(CASE WHEN lo = 0 AND hi = 0 THEN 0.0 WHEN lo = hi THEN 0.5 ELSE (changes - lo) / CAST(hi - lo AS DOUBLE) END, 6) AS change_score FROM z)
- SELECT file_id, changes, authors, change_score, centrality, coupling, round(0.45 * change_score + 0.35 * centrality + 0.20 * coupling, 6) AS hotspot FROM n2""")
+ SELECT file_id, changes, authors, change_score, centrality, coupling, round(0.45 * change_score + 0.35 * centrality + 0.20 * coupling + 1e-9, 6) AS hotspot FROM n2""")
 def hotspots(h):
     edges = h.file_references().groupBy("src", "dst").agg(F.count("*").alias("n")).where("n >= 2")
     return C.hotspots(h.changes(), h.commits(), h.files(), edges)
