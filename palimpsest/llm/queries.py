@@ -97,6 +97,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_jaccard_join": """
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+        n AS MATERIALIZED (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+        e AS MATERIALIZED (SELECT doc_id, unnest(s) AS t FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+        u AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT a AS doc_id, a AS seen FROM u UNION SELECT r.doc_id, u.b FROM r JOIN u ON r.seen = u.a),
+        c AS (SELECT doc_id, min(seen) AS low FROM r GROUP BY 1)
+        SELECT n.doc_id, n.n AS n_shingles, coalesce(c.low, n.doc_id) AS component_id FROM n LEFT JOIN c ON n.doc_id = c.doc_id
+    """,
     "op5_license_dice": license_dice.oracle(),
     "op2_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

@@ -74,12 +74,11 @@ class Encoder:
         for c in cut:
             seen.update(c)
         forms: list[tuple[str, str, str]] = []
-        for p in seen:
-            if p not in self.parts:
-                # letters and the marks after them never share a token
-                core = p.rstrip(_MARKS)
-                lead = " " if self.kind == "byte" and p[:1] != "\n" else ""
-                forms.append((p, lead + core, p[len(core) :]) if core.isalpha() else (p, lead + p, ""))
+        for p in seen.difference(self.parts):
+            # letters and the marks after them never share a token
+            core = p.rstrip(_MARKS)
+            lead = " " if self.kind == "byte" and p[:1] != "\n" else ""
+            forms.append((p, lead + core, p[len(core) :]) if core.isalpha() else (p, lead + p, ""))
         self._learn([x for f in forms for x in f[1:]] + heads)
         for p, a, b in forms:
             self.parts[p] = self.plain[a] + self.plain[b]
