@@ -22,12 +22,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where the session names none."""
+    """The folder named by spark.checkpoint.dir; where the session names none, one of this process, which goes
+    with it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = f"file://{tempfile.gettempdir()}/palimpsest-shared"
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="palimpsest-shared-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        named = f"file://{_own[0]}"
     return named if ":/" in named else f"file://{os.path.abspath(named)}"
 
 
