@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import first_match
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(seed, node, depth): nodes within ``depth`` steps of each seed with the least depth. A step expands only
-    what the one before found, and keeps what wasn't known."""
+def reach(edges: DataFrame, seeds: DataFrame, depth: int | None) -> DataFrame:
+    """(seed, node, depth): nodes within ``depth`` steps of each seed with the least depth, or without one, all
+    nodes that a seed reaches. A step expands only what the one before found, and keeps what wasn't known."""
     e = edges.select("src", "dst").distinct()
     known = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct()
     frontier = known
-    for d in range(1, depth + 1):
+    for d in count(1) if depth is None else range(1, depth + 1):
         step = frontier.join(e, frontier["node"] == e["src"]).select("seed", F.col("dst").alias("node")).distinct()
         frontier = step.join(known.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(d))
-        frontier = frontier.checkpoint() if has_checkpoint(frontier) else frontier
+        if has_checkpoint(frontier):
+            frontier = frontier.checkpoint()
+        elif depth is None:  # each step is asked whether it is the last, and must not repeat those before
+            frontier = frontier.localCheckpoint()
+        if depth is None and frontier.isEmpty():
+            break
         known = known.unionByName(frontier)
     return known
 
@@ -47,16 +54,17 @@ def shortest_path(edges: DataFrame, start: int, depth: int) -> DataFrame:
     e = edges.select("src", "dst").distinct()
     known = spark.createDataFrame([(start,)], f"node {dict(edges.dtypes)['src']}").select("node", F.lit(0).alias("distance"), F.array(F.col("node").cast("long")).alias("p"))
     frontier = known
-    for d in range(1, depth + 1):
+    for d in count(1) if depth is None else range(1, depth + 1):
         step = frontier.join(e, frontier["node"] == e["src"]).groupBy("dst").agg(F.min(F.concat("p", F.array(F.col("dst").cast("long")))).alias("p")).select(F.col("dst").alias("node"), F.lit(d).alias("distance"), "p")
         frontier = step.join(known.select("node"), "node", "left_anti")
         known = known.unionByName(frontier)
     return known.select("node", "distance", F.array_join(F.transform("p", lambda x: x.cast("string")), ">").alias("path"))
 
 
-def scc_cycles(edges: DataFrame, depth: int) -> DataFrame:
+def scc_cycles(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, component) of the nodes on cycles: those that reach each other, by the least node. ``depth`` bounds
-    the steps and is at least the number of nodes of the largest cycle; loops of one node count."""
+    the steps and is at least the number of nodes of the largest cycle; without it steps go on until nothing new
+    is found. Loops of one node count."""
     nodes = edges.select(F.col("src").alias("node")).distinct()
     paths = reach(edges, nodes, depth).where("depth > 0").select("seed", "node")
     loops = edges.where("src = dst").select(F.col("src").alias("seed"), F.col("dst").alias("node"))

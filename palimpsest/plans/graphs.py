@@ -29,7 +29,7 @@ def shortest_path(h):
 
 @query("lines edges", "WITH " + REACH.format(e="edges", d=6) + ", q AS (SELECT DISTINCT seed, node FROM r), m AS (SELECT a.seed, a.node FROM q a JOIN q b ON a.seed = b.node AND a.node = b.seed) SELECT seed AS node, min(node) AS component FROM m GROUP BY 1", True)
 def scc_cycles(h):
-    return G.scc_cycles(h.module_edges(), 6).select("node", "component")
+    return G.scc_cycles(h.module_edges()).select("node", "component")
 
 
 @query("lines edges", "WITH " + REACH.format(e="edges", d=6) + ", q AS (SELECT DISTINCT seed, node FROM r), m AS (SELECT a.seed, a.node FROM q a JOIN q b ON a.seed = b.node AND a.node = b.seed), c AS (SELECT seed AS node, min(node) AS component FROM m GROUP BY 1) SELECT component, count(*) AS size, sha256(string_agg(CAST(node AS VARCHAR), '|' ORDER BY node)) AS fingerprint FROM c GROUP BY 1 HAVING count(*) > 1", True)

@@ -15,6 +15,7 @@ from palimpsest.operators import retrieval as R
 from palimpsest.operators import similarity as S
 from palimpsest.operators import temporal as T
 from palimpsest.operators import traces
+from palimpsest.plans import graphs as graph_plans
 
 
 def rows(df, *order):
@@ -58,6 +59,14 @@ def ring(spark):
     return spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "src long, dst long")
 
 
+def test_cycles_of_any_length(spark):
+    pairs = [(i, (i + 1) % 9) for i in range(9)] + [(20, 21), (21, 20), (8, 20), (50, 50)]
+    h = SimpleNamespace(module_edges=lambda: spark.createDataFrame(pairs, "src long, dst long"))
+    want = [(i, 0) for i in range(9)] + [(20, 20), (21, 20), (50, 50)]
+    assert rows(graph_plans.scc_cycles(h), "node") == want
+    assert sorted((r["component"], r["size"]) for r in graph_plans.cycle_fingerprints(h).collect()) == [(0, 9), (20, 2)]
+
+
 def test_cycles_paths_and_impact(ring):
     assert rows(G.scc_cycles(ring, 4), "node") == [(1, 1), (2, 1), (3, 1)]
     assert ("2", "4>1>2") in [(str(r[0]), r[2]) for r in rows(G.shortest_path(ring, 4, 4))]
