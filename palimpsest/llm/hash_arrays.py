@@ -20,6 +20,7 @@ _MANIFEST = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("path", pa.
 PAIRS = pa.schema([("kind", pa.int32()), ("hash", pa.int64()), ("value", pa.float64())])
 PAIRS_DDL = "kind int, hash long, value double"
 _MERGE_AT = 4_000_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,9 +57,10 @@ class Sums:
         self.held, self.n = [], 0
 
 
-def write_arrays(rows: DataFrame, folder: str, least: dict[int, float] | None = None) -> dict:
+def write_arrays(rows: DataFrame, folder: str, least: dict[int, float] | None = None, small: tuple[int, ...] = (), free: bool = False) -> dict:
     """Sum ``rows`` (kind, hash, value) by kind and hash and write each kind's arrays, keys with a sum below
-    least[kind] left out. Returns for each kind its files and figures over all keys: total, keys, and n1 to n4,
+    least[kind] left out. Sums of the ``small`` kinds are whole numbers, mostly below 255, and take a byte each;
+    others lie apart with their places. With ``free``, what was shuffled goes once the arrays are written. Returns for each kind its files and figures over all keys: total, keys, and n1 to n4,
     the keys with a sum of 1 to 4. The driver gets one row for each kind and file."""
     spark, least = rows.sparkSession, least or {}
     bits = max(3, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
@@ -85,14 +87,26 @@ def write_arrays(rows: DataFrame, folder: str, least: dict[int, float] | None =
             stay = values >= least[kind] if kind in least else slice(None)
             path = f"{folder}/kind{kind}-{shard:06d}-{uuid.uuid4().hex}.arrays"
             kept = keys[stay]
-            write_bytes(path, kept.tobytes(), values[stay].astype("<f8").tobytes())
+            if kind in small:
+                v = values[stay]
+                big = np.flatnonzero(v >= 255)
+                write_bytes(path, kept.tobytes(), big.astype("<i8").tobytes(), v[big].astype("<f8").tobytes(), np.minimum(v, 255).astype(np.uint8).tobytes())
+            else:
+                write_bytes(path, kept.tobytes(), values[stay].astype("<f8").tobytes())
             yield batch_of(_MANIFEST, [kind], [shard], [path], [len(kept)], [float(values.sum())], [len(keys)], *([c] for c in counts))
 
     ddl = "kind int, shard long, path string, kept long, total double, keys long, n1 long, n2 long, n3 long, n4 long"
-    placed = rows.repartitionById(1 << bits, F.shiftrightunsigned("hash", 64 - bits).cast("int"))
+    before = spark.conf.get(_CLEANUP, None)
+    if free:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        manifest = rows.repartitionById(1 << bits, F.shiftrightunsigned("hash", 64 - bits).cast("int")).mapInArrow(own, ddl).collect()
+    finally:
+        if free:
+            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out: dict = {}
-    for r in placed.mapInArrow(own, ddl).collect():
-        m = out.setdefault(r["kind"], {"bits": bits, "files": {}, "total": 0.0, "keys": 0, "n": [0, 0, 0, 0]})
+    for r in manifest:
+        m = out.setdefault(r["kind"], {"bits": bits, "small": r["kind"] in small, "files": {}, "total": 0.0, "keys": 0, "n": [0, 0, 0, 0]})
         m["files"][r["shard"]] = (r["path"], r["kept"])
         m["total"] += r["total"]
         m["keys"] += r["keys"]
@@ -100,13 +114,31 @@ def write_arrays(rows: DataFrame, folder: str, least: dict[int, float] | None =
     return out
 
 
-_open: OrderedDict[str, tuple[np.ndarray, np.ndarray]] = OrderedDict()
+def joined(parts: list[dict]) -> dict:
+    """One manifest of several whose keys lie in different ranges of shards."""
+    out: dict = {}
+    for part in parts:
+        for kind, m in part.items():
+            o = out.setdefault(kind, m | {"files": {}, "total": 0.0, "keys": 0, "n": [0, 0, 0, 0]})
+            o["files"] |= m["files"]
+            o["total"] += m["total"]
+            o["keys"] += m["keys"]
+            o["n"] = [a + b for a, b in zip(o["n"], m["n"])]
+    return out
+
+
+_open: OrderedDict[str, tuple[np.ndarray, ...]] = OrderedDict()
 
 
-def _file(path: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _file(path: str, n: int, small: bool = False) -> tuple[np.ndarray, ...]:
+    """Keys and values; of small values also the places and values of those that a byte doesn't hold."""
     if path not in _open:
         data = mapped(path)
-        _open[path] = (np.frombuffer(data, np.uint64, n), np.frombuffer(data, "<f8", n, 8 * n)) if n else (np.empty(0, np.uint64), np.empty(0))
+        if small and n:
+            m = (len(data) - 9 * n) // 16
+            _open[path] = (np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.uint8, n, 8 * n + 16 * m), np.frombuffer(data, "<i8", m, 8 * n), np.frombuffer(data, "<f8", m, 8 * n + 8 * m))
+        else:
+            _open[path] = (np.frombuffer(data, np.uint64, n), np.frombuffer(data, "<f8", n, 8 * n)) if n else (np.empty(0, np.uint64), np.empty(0))
         while len(_open) > 4096:
             _open.popitem(last=False)
     return _open[path]
@@ -124,11 +156,15 @@ def look_up(manifest: dict | None, keys: np.ndarray, missing: float = 0.0) -> np
     for shard, (path, n) in manifest["files"].items():
         a, z = bounds[shard], bounds[shard + 1]
         if a < z and n:
-            have, values = _file(path, n)
+            have, values, *apart = _file(path, n, manifest.get("small", False))
             at = np.minimum(np.searchsorted(have, ranked[a:z]), n - 1)
             hit = have[at] == ranked[a:z]
             part = np.full(z - a, missing)
-            part[hit] = values[at[hit]]
+            part[hit] = got = values[at[hit]].astype(np.float64)
+            if apart and (got == 255).any():
+                big = at[hit][got == 255]
+                got[got == 255] = apart[1][np.searchsorted(apart[0], big)]
+                part[hit] = got
             found[a:z] = part
     out = np.empty(len(keys))
     out[order] = found

@@ -352,6 +352,38 @@ def test_base_score_and_traversal(spark, none):
     assert A.train_and_score(none).count() == 0
 
 
+def test_scores_are_those_of_the_backoff_model(spark):
+    """All orders up to three, with n-grams seen once, and counts that a byte doesn't hold."""
+    r = random.Random(31)
+    pairs = [(i, " ".join(r.choice("a b c d e f g h i j".split()) for _ in range(r.randint(0, 30)))) for i in range(60)] + [(90, "a b c " * 400), (91, "new words here")]
+    docs = docs_of(spark, pairs)
+    texts = [t.split() + ["\n"] for i, t in pairs if zlib.crc32(str(i).encode()) % 5 != 1]
+    grams, after = Counter(), defaultdict(set)
+    for t in texts:
+        w = ["^", *t]
+        grams["^",] += 1
+        for i in range(1, len(w)):
+            for k in (1, 2, 3):
+                if i - k + 1 >= 0:
+                    g = tuple(w[i - k + 1 : i + 1])
+                    grams[g] += 1
+                    after[g[:-1]].add(g[-1])
+    level = {k: [c for g, c in grams.items() if len(g) == k and g[-1] != "^"] for k in (1, 2, 3)}
+    d = {k: level[k].count(1) / (level[k].count(1) + 2 * level[k].count(2)) for k in (2, 3)}
+    n, v = sum(level[1]), len(level[1])
+
+    def p(state, w):
+        if not state:
+            return (grams[w,] + 0.5) / (n + 0.5 * (v + 1))
+        low, c = p(state[1:], w), grams[state]
+        return (max(grams[*state, w] - d[len(state) + 1], 0) + d[len(state) + 1] * len(after[state]) * low) / c if c else low
+
+    got = {x["doc_id"]: x["score"] for x in A.train_and_score(docs).collect()}
+    for i, t in pairs:
+        w = ["^", *t.split(), "\n"]
+        assert got[i] == pytest.approx(sum(math.log10(p(tuple(w[max(0, j - 2) : j]), w[j])) for j in range(1, len(w))))
+
+
 def rules_brute(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
