@@ -2,8 +2,10 @@
 
 Passwords and tokens that a name is assigned to, access keys and long hexadecimal strings are reported as they
 stand. Weak candidates (account names, bare keys, endpoints) are reported only where a part that completes them
-lies within ``scope`` characters in the same text: spans are put in order by their starts, and a window over the
-range of starts around each is its interval join with the other parts, which makes no pairs.
+lies in the same text with at most ``scope`` characters between the two spans, none where they touch or overlap:
+with spans in order of their starts, the largest end so far and the next start of each role are its interval join
+with the other parts, which makes no pairs. A weak span may hold or cross one of the others, as an endpoint does
+that has its secret in it; one that lies within an assignment, access key or hexadecimal string is that one's text.
 
 Positions come from the pieces between matches: a match starts after all pieces and matches before it.
 
@@ -62,13 +64,17 @@ def linked_secrets(docs: DataFrame, scope: int = 400) -> DataFrame:
     dropped = placed.groupBy("doc_id", "key", "n").agg(F.max("copies").alias("copies"))
 
     base = F.col("kind") <= BASE
-    ordered = of_text.orderBy("start", "kind")
-    before = F.max(F.when(base, F.col("end"))).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.min(F.when(base, F.col("start"))).over(ordered.rowsBetween(0, Window.unboundedFollowing))
-    apart = valid.withColumn("clear", base | ~(F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False)))).where(F.col("kind").isNull() | F.col("clear"))
-    near = of_text.orderBy("start").rangeBetween(-scope, scope)
-    has = {name: F.max(F.col("kind").isin(*kinds).cast("int")).over(near) for name, kinds in (("i", IDENTIFIERS), ("s", SECRETS), ("e", ENDPOINTS))}
-    seen = apart.select("*", *(c.alias(name) for name, c in has.items()))
+    so_far, onward = of_text.orderBy("start").rangeBetween(Window.unboundedPreceding, 0), of_text.orderBy("start").rangeBetween(0, Window.unboundedFollowing)
+    within = F.max(F.when(base, F.col("end"))).over(so_far) >= F.col("end")
+    apart = valid.withColumn("clear", base | ~F.coalesce(within, F.lit(False))).where(F.col("kind").isNull() | F.col("clear"))
+
+    def reached(kinds: tuple[int, ...]) -> Column:
+        of_role = F.col("kind").isin(*kinds)
+        before = F.max(F.when(of_role, F.col("end"))).over(so_far) >= F.col("start") - scope
+        after = F.min(F.when(of_role, F.col("start"))).over(onward) <= F.col("end") + scope
+        return (F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))).cast("int")
+
+    seen = apart.select("*", *(reached(kinds).alias(name) for name, kinds in (("i", IDENTIFIERS), ("s", SECRETS), ("e", ENDPOINTS))))
     linked = base
     for weak, parts in COMPLEMENTS.items():
         some = F.lit(False)

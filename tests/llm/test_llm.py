@@ -291,6 +291,15 @@ def test_parts_are_linked_only_together(spark):
     assert got[1][1] == "account:0:15,bare:20:60" and got[4][1] == "endpoint:0:24,assign:25:44"
 
 
+def test_parts_are_linked_by_the_gap_between_them(spark):
+    long, bare, host = "token = " + "aB3_" * 150, "aB3" * 13 + "x", "https://db.example.com/x"
+    texts = [f"{long}\nendpoint = db.example.com", f"{long}\nlogin = someone", f"https://{'h' * 500}/x {long}", f"{long}{' ' * 400}login = someone", f"{long}{' ' * 401}login = someone"]
+    texts += [f"{host}{' ' * 400}token = abcdefgh123", f"{host}{' ' * 401}token = abcdefgh123", "https://host/?api_key=XXXXXXXX", f"login = someone token={bare}", f"{long} {host} {' ' * 300}key = secret=abcdefgh1"]
+    got = {r["doc_id"]: (r["n_linked"], r["spans"]) for r in X.linked_secrets(docs_of(spark, [*enumerate(texts)])).collect()}
+    assert [got[i][0] for i in range(len(texts))] == [1, 1, 1, 1, 0, 1, 0, 1, 1, 1]
+    assert got[7][1] == "endpoint:0:30,assign:14:30" and got[8][1] == f"account:0:15,assign:16:{22 + len(bare)}"
+
+
 def test_licences(spark, none):
     mit = dict(L.TEMPLATES)["mit-permission"]
     pairs = [(1, "prose\nReleased under the MIT License."), (2, None), (3, ""), (4, mit.replace(" ", "\n", 3)), (5, "released under the mit licence terms of nothing at all here"), (6, "x\n\nDistributed under the terms\nof the BSD 3-Clause License.\n\ny"), (None, "Licensed under the Apache License, Version 2.0."), (7, "one"), (7, "one")]
