@@ -161,11 +161,16 @@ class IndexReader:
         return None
 
 
+def _owner_bits(spark) -> int:
+    """Owners are a power of two, at least the number of shuffle partitions."""
+    return max(3, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length())
+
+
 def build_index(docs: DataFrame, folder: str | None = None, capacity: int = 64) -> DataFrame:
     """Index the distinct texts; returns the manifest (owner, stem, texts, depth, buckets), a written table."""
     spark = docs.sparkSession
     folder = folder or work_dir(spark, "exact-index")
-    bits = max(3, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length())
+    bits = _owner_bits(spark)
 
     def representatives(batches):
         held: dict[bytes, list] = {}
@@ -222,7 +227,8 @@ def read_groups(manifest: DataFrame) -> DataFrame:
                     if e := index.bucket(k):
                         yield batch_of(_GROUP, [x[7].hex() for x in e], [x[4] for x in e], [x[5] for x in e], [x[6] for x in e])
 
-    return manifest.repartition(32).mapInArrow(read, "text_sha256 string, keep_chars long, keep_id long, group_size long")
+    owners = 1 << _owner_bits(manifest.sparkSession)
+    return manifest.repartition(owners, "owner", "stem").mapInArrow(read, "text_sha256 string, keep_chars long, keep_id long, group_size long")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -256,11 +262,13 @@ def exact_duplicates(docs: DataFrame, capacity: int = 64) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, capacity: int = 64) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = exact_duplicates(docs, capacity).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    body = F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), "[ \\t\\n\\x0B\\f\\r]+", ""), 256)
-    n_chars = F.coalesce(F.length(F.col("text").cast("string")), F.lit(0))
-    w = Window.partitionBy("_sha", "_long").orderBy(n_chars.desc())
-    rows = docs.withColumn("_sha", body).withColumn("_long", F.col("doc_id").cast("long")).withColumn("_nth", F.row_number().over(w)).where("_nth = 1")
-    same = (rows["_sha"] == kept["_sha"]) & rows["_long"].eqNullSafe(kept["_id"])
-    return rows.join(kept.hint("merge"), same, "left_semi").select(*docs.columns)
+    """The rows of docs that stay, with all their columns. Rows meet the groups' digests by digest, doc_id and
+    length, which spreads a large group, and rows alike in all three are numbered where they lie; so whole rows
+    are shuffled once."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    body = F.sha2(F.regexp_replace(text, "[ \\t\\n\\x0B\\f\\r]+", ""), 256)
+    key = ["text_sha256", "keep_id", "keep_chars"]
+    rows = docs.select(body.alias(key[0]), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias(key[1]), F.length(text).cast("long").alias(key[2]), F.struct("*").alias("row"))
+    groups = read_groups(build_index(docs, capacity=capacity)).select(*key)
+    kept = rows.join(groups.hint("merge"), key, "left_semi")  # its size can't be estimated, and it grows with the rows
+    return kept.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))).where("nth = 1").select("row.*")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batch_of, mapped, write_bytes
+from .shared import batch_of, kept_in_worker, mapped, write_bytes
 
 _MANIFEST = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("path", pa.string()), ("kept", pa.int64()), ("total", pa.float64()), ("keys", pa.int64()), *((f"n{i}", pa.int64()) for i in (1, 2, 3, 4))])
 PAIRS = pa.schema([("kind", pa.int32()), ("hash", pa.int64()), ("value", pa.float64())])
@@ -127,21 +127,31 @@ def joined(parts: list[dict]) -> dict:
     return out
 
 
-_open: OrderedDict[str, tuple[np.ndarray, ...]] = OrderedDict()
+class OpenFiles:
+    """Arrays of the files of one folder. Files that are mapped cost nothing here; of those read, the last ones
+    used that hold at most ``most_bytes`` are kept."""
 
+    def __init__(self, most_bytes: int = 128 << 20):
+        self.files: OrderedDict[str, tuple[np.ndarray, ...]] = OrderedDict()
+        self.most_bytes, self.held = most_bytes, 0
 
-def _file(path: str, n: int, small: bool = False) -> tuple[np.ndarray, ...]:
-    """Keys and values; of small values also the places and values of those that a byte doesn't hold."""
-    if path not in _open:
+    def get(self, path: str, n: int, small: bool) -> tuple[np.ndarray, ...]:
+        """Keys and values; of small values also the places and values of those that a byte doesn't hold."""
+        if path in self.files:
+            self.files.move_to_end(path)
+            return self.files[path]
         data = mapped(path)
         if small and n:
             m = (len(data) - 9 * n) // 16
-            _open[path] = (np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.uint8, n, 8 * n + 16 * m), np.frombuffer(data, "<i8", m, 8 * n), np.frombuffer(data, "<f8", m, 8 * n + 8 * m))
+            found = (np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.uint8, n, 8 * n + 16 * m), np.frombuffer(data, "<i8", m, 8 * n), np.frombuffer(data, "<f8", m, 8 * n + 8 * m))
         else:
-            _open[path] = (np.frombuffer(data, np.uint64, n), np.frombuffer(data, "<f8", n, 8 * n)) if n else (np.empty(0, np.uint64), np.empty(0))
-        while len(_open) > 4096:
-            _open.popitem(last=False)
-    return _open[path]
+            found = (np.frombuffer(data, np.uint64, n), np.frombuffer(data, "<f8", n, 8 * n)) if n else (np.empty(0, np.uint64), np.empty(0))
+        self.files[path] = found
+        self.held += len(data) if isinstance(data, bytes) else 0
+        while self.held > self.most_bytes and len(self.files) > 1:
+            _, old = self.files.popitem(last=False)
+            self.held -= sum(a.nbytes for a in old)
+        return found
 
 
 def look_up(manifest: dict | None, keys: np.ndarray, missing: float = 0.0) -> np.ndarray:
@@ -153,10 +163,12 @@ def look_up(manifest: dict | None, keys: np.ndarray, missing: float = 0.0) -> np
     found = np.full(len(keys), missing)
     bounds = np.searchsorted(ranked, np.arange(1 << manifest["bits"], dtype=np.uint64) << np.uint64(64 - manifest["bits"]))
     bounds = np.append(bounds, len(ranked))
+    files: OpenFiles | None = None
     for shard, (path, n) in manifest["files"].items():
         a, z = bounds[shard], bounds[shard + 1]
         if a < z and n:
-            have, values, *apart = _file(path, n, manifest.get("small", False))
+            files = files or kept_in_worker(("arrays", path.rpartition("/")[0]), OpenFiles)
+            have, values, *apart = files.get(path, n, manifest.get("small", False))
             at = np.minimum(np.searchsorted(have, ranked[a:z]), n - 1)
             hit = have[at] == ranked[a:z]
             part = np.full(z - a, missing)

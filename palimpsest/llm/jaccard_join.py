@@ -34,7 +34,8 @@ _POSTINGS = pa.schema([("kind", pa.int32()), ("token", pa.int64()), ("set", pa.i
 _EDGES = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 _PLACES = pa.schema([("set", pa.int64()), ("path", pa.string()), ("at", pa.int64()), ("n", pa.int64())])
 RARE, FREQUENT = 0, 1
-BLOCK = 4096
+#: Shingles of a block of sets, all told.
+BLOCK = 1 << 18
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -137,15 +138,18 @@ def block_links(probes: list[np.ndarray], others: list[np.ndarray], same: bool,
     base = 0 if same else len(probes)
     sizes = np.array([len(s) for s in others], np.int64)
     tokens = np.concatenate(others)
-    owner = np.repeat(np.arange(len(others)), sizes)
     order = np.argsort(tokens, kind="stable")
-    names, first = np.unique(tokens[order], return_index=True)
-    lists = np.split(owner[order], first[1:])
+    tokens = tokens[order]
+    owner = np.repeat(np.arange(len(others), dtype=np.int32), sizes)[order]
+    del order
 
     def counted(s: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(names, s), len(names) - 1)
-        some = [lists[i] for i in at[names[at] == s]]
-        return np.bincount(np.concatenate(some), minlength=len(others)) if some else np.zeros(len(others), np.int64)
+        """How often each other has one of the shingles: their lists are stretches of owner."""
+        low, high = np.searchsorted(tokens, s), np.searchsorted(tokens, s, "right")
+        length = high - low
+        ends = np.cumsum(length)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - length), length)
+        return np.bincount(owner[at], minlength=len(others))
 
     links: list[tuple[int, int]] = []
     before, counts = np.empty(0, np.uint64), np.zeros(len(others), np.int64)
@@ -308,7 +312,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, frequent: in
     settled = pivot_links.select(F.col("a").alias("component"), F.col("b").alias("node"), F.lit(True).alias("settled"))
     told = members.where("node <> component").join(settled, ["component", "node"], "left").select("component", "node", "p", F.coalesce("settled", F.lit(False)).alias("settled"))
     # blocks of bounded size: unsettled ones meet each other and all settled ones
-    per = told.groupBy("component", "settled").agg(F.count("*").alias("size"))
+    per = told.groupBy("component", "settled").agg(F.sum("p.n").alias("size"))
     sizes = per.groupBy("component").agg(*(F.coalesce(F.max(F.when(F.col("settled") == s, F.ceil(F.col("size") / BLOCK))), F.lit(0)).cast("int").alias(c) for s, c in ((False, "open"), (True, "done"))))
     dealt = told.join(sizes.where("open > 0"), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("settled"), F.col("done")).otherwise(F.col("open"))).cast("int"))
     numbers = F.when(F.col("settled"), F.transform(F.sequence(F.lit(0), F.col("open") - 1), lambda i: F.struct(i.alias("i"), (F.col("block") + F.col("open")).alias("j"), F.lit(1).alias("side")))).otherwise(
@@ -343,7 +347,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, frequent: in
 
 def one_of_each(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, with all their columns. A row with a null
-    doc_id stays when its component has no other."""
-    stay = near_duplicates(docs, k, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.withColumn("_long", F.col("doc_id").cast("long"))
-    return rows.join(stay, rows["_long"].eqNullSafe(stay["_id"]), "left_semi").select(*docs.columns)
+    doc_id stays when its component has no other; rows that share the doc_id that stays all stay."""
+    stay = near_duplicates(docs, k, percent).where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(_LAST)).alias("stay")).distinct()
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("stay"), F.struct("*").alias("row"))
+    return rows.join(stay, "stay", "left_semi").select("row.*")

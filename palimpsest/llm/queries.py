@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from . import license_dice
 from .shared import ship_package
 
-TOKENIZERS = "/opt/tokenizers"
+#: Names of public tokenizers.
+BYTES, WORDS = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Shares of tokens wanted of plain, poor and toxic text.
 MIX_WEIGHTS = [0.85, 0.14, 0.01]
 
@@ -41,7 +42,7 @@ def op3_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sstable import read_shards, write_shards
 
-    rows = read_shards(write_shards(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json"))
+    rows = read_shards(write_shards(table(spark, sf_dir, "documents"), BYTES))
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -60,7 +61,7 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    pieces = pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    pieces = pack_documents(table(spark, sf_dir, "documents"), WORDS)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

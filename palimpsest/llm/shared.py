@@ -55,6 +55,24 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+_kept: dict = {}
+
+
+def kept_in_worker(key, make):
+    """What a Python worker keeps from task to task: one thing, so that operators which run in the same workers
+    one after another don't add up. Asking for another drops the one before."""
+    if key not in _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def as_row(docs: DataFrame) -> DataFrame:
+    """The rows of docs whole in a column "row", so that columns put beside it can't clash with the caller's."""
+    return docs.select(F.struct("*").alias("row"))
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run of an operator."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

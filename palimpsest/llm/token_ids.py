@@ -1,7 +1,8 @@
 """Token ids by the tokenizers library, with a bounded memory of the pieces that words have given.
 
 A text is cut only where the tokenizer's own first split always cuts, each distinct part is encoded by the
-library once, and the ids of the parts are joined. The result equals that of encoding the whole text.
+library once, and the ids of the parts are joined. The result equals that of encoding the whole text. Texts
+that may hold the string of a special token are given to the library whole.
 """
 
 from __future__ import annotations
@@ -9,25 +10,45 @@ from __future__ import annotations
 import gc
 import os
 import re
+import unicodedata
 
 import numpy as np
 
+from .shared import kept_in_worker
+
 #: A space or line end before more white space; without one, every space and line end starts a part.
 _RUN = re.compile(r"[ \n]\s")
 _SPACE = re.compile(r" (?=\S)")
 _MARKS = ".,!|;:?"
+#: Strings of special tokens begin so.
+_SPECIAL = "<|"
+
+
+def located(tokenizer: str) -> str:
+    """A path, or the name of one of the public tokenizers, which is looked up where it is used."""
+    if os.path.sep in tokenizer:
+        return tokenizer
+    import public_tokenizers
+
+    return public_tokenizers.path(tokenizer)
+
+
+def only_letters(text: str) -> bool:
+    """Whether the text is letters alone, and stays so when it is normalised and put in lower case."""
+    return text.isalpha() and (text.isascii() or unicodedata.normalize("NFC", text).lower().isalpha())
 
 
 class Encoder:
     """kind "byte": byte-level BPE that keeps white space, a single space going with the word after it.
-    kind "word": BPE with word ends that drops white space. Strings of special tokens are ordinary text."""
+    kind "word": BPE with word ends that drops white space. Ids are those of the library as it stands; with
+    ``special_as_text`` strings of special tokens are ordinary text. ``most`` bounds the parts that are kept."""
 
-    def __init__(self, path: str, kind: str, most: int = 900_000):
+    def __init__(self, tokenizer: str, kind: str, most: int = 500_000, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library = Tokenizer.from_file(located(tokenizer))
+        self.library.encode_special_tokens = special_as_text
         self.kind, self.most = kind, most
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.plain: dict[str, bytes] = {}  # of texts as they stand
@@ -38,13 +59,13 @@ class Encoder:
         many such words are encoded as one text and told apart by the pieces' numbers."""
         new = [t for t in dict.fromkeys(texts) if t not in self.plain]
         gap = "" if self.kind == "byte" else " "
-        words = [t for t in new if (t[1:] if t[:1] == " " else t).isalpha() and (self.kind == "word" or t[:1] == " ")]
+        words = [t for t in new if only_letters(t[1:] if t[:1] == " " else t) and (self.kind == "word" or t[:1] == " ")]
         runs = [words[i : i + 256] for i in range(0, len(words), 256)]
         for run, e in zip(runs, self.library.encode_batch([gap.join(r) for r in runs], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.dtype).tobytes()
             at = np.flatnonzero(np.diff(np.array(e.word_ids, np.int64), prepend=-1)) * self.dtype.itemsize
-            if len(at) != len(run):
-                raise ValueError("a word was split in two")
+            if len(at) != len(run):  # the tokenizer sees a letter otherwise: the run's words are encoded alone
+                continue
             for t, a, z in zip(run, at.tolist(), [*at.tolist()[1:], len(ids)], strict=True):
                 self.plain[t] = ids[a:z]
         rest = [t for t in new if t not in self.plain]
@@ -60,6 +81,12 @@ class Encoder:
             gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
+        special = [i for i, t in enumerate(texts) if _SPECIAL in t]
+        if special:
+            whole = self.library.encode_batch_fast([texts[i] for i in special], add_special_tokens=False)
+            plain = iter(self._encode([t for t in texts if _SPECIAL not in t]))
+            of = {i: np.array(e.ids, self.dtype).tobytes() for i, e in zip(special, whole, strict=True)}
+            return [of[i] if i in of else next(plain) for i in range(len(texts))]
         for known in (self.plain, self.parts):
             if len(known) > self.most:
                 known.clear()
@@ -78,7 +105,7 @@ class Encoder:
             # letters and the marks after them never share a token
             core = p.rstrip(_MARKS)
             lead = " " if self.kind == "byte" and p[:1] != "\n" else ""
-            forms.append((p, lead + core, p[len(core) :]) if core.isalpha() else (p, lead + p, ""))
+            forms.append((p, lead + core, p[len(core) :]) if only_letters(core) else (p, lead + p, ""))
         self._learn([x for f in forms for x in f[1:]] + heads)
         for p, a, b in forms:
             self.parts[p] = self.plain[a] + self.plain[b]
@@ -87,11 +114,6 @@ class Encoder:
         return [self.plain[h] + x for h, x in zip(heads, out, strict=True)] if heads else out
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
-def encoder(path: str, kind: str) -> Encoder:
-    """The worker's encoder, loaded once for each process."""
-    if (path, kind) not in _encoders:
-        _encoders[path, kind] = Encoder(path, kind)
-    return _encoders[path, kind]
+def encoder(tokenizer: str, kind: str) -> Encoder:
+    """The worker's encoder, kept from task to task."""
+    return kept_in_worker(("encoder", tokenizer, kind), lambda: Encoder(tokenizer, kind))

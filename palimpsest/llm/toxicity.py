@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batch_of, split_batches
+from .shared import batch_of, kept_in_worker, split_batches
 
 SPAN, DECAY = 7, 0.6
 #: (gap to the second, gap to the third character) of subsequences of three.
@@ -241,19 +241,13 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_land
     return {"machine": (machine.codes, machine.weights, machine.bias), "a": max(float(beta[0]), 0.0), "b": float(beta[1]), "landmarks": landmarks}
 
 
-_scorers: dict[bytes, Scorer] = {}
-
-
 def scores_of(model: dict, texts: list[str]) -> np.ndarray:
     """Scores from 0 to 1."""
     if model["machine"] is None:
         return np.full(len(texts), model["share"])
     codes, weights, bias = model["machine"]
-    key = weights.tobytes()
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(Machine(codes, weights, bias))
-    return 1 / (1 + np.exp(-np.clip(model["a"] * _scorers[key].margins(texts) + model["b"], -30, 30)))
+    scorer = kept_in_worker(("toxicity", weights.tobytes()), lambda: Scorer(Machine(codes, weights, bias)))
+    return 1 / (1 + np.exp(-np.clip(model["a"] * scorer.margins(texts) + model["b"], -30, 30)))
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
