@@ -24,11 +24,12 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the smallest doc_id."""
+    """One document of each group of near duplicates (shingles of five words, a similarity of 0.8 or more) stays,
+    that of the smallest doc_id."""
     from palimpsest.llm.jaccard_join import one_of_each
 
     ship_package(spark)
-    return one_of_each(docs)
+    return one_of_each(docs, k=5, percent=80)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +43,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens, as pieces of documents with their ids."""
     from palimpsest.llm.packing import pack_documents
-    from palimpsest.llm.queries import TOKENIZERS
+    from palimpsest.llm.queries import WORDS
 
     ship_package(spark)
-    return pack_documents(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    return pack_documents(docs, WORDS)
 
 
 STAGES = [
