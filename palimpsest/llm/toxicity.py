@@ -1,20 +1,27 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
-The kernel of two strings sums, over the subsequences of three characters that both hold, decay to the power of
-the spans they cover, spans beyond seven characters left out; it is normalised to 1 for equal strings. So a
-string with a gap or an inserted character stays near to the one without. Sentences of labelled rows train it:
-a sentence of a toxic row counts as toxic by a witness, a word that toxic rows hold far more often than others,
-and all sentences of the other rows are clean, the words nearest to the margin among them taken in again as
-hard negatives. A support vector machine is trained on the Nyström features of words against landmark words; a
-document's margin is the largest over its words, runs of single characters read as one word also, and a
-logistic curve over the training rows' margins turns it into a score.
-
-As the kernel is a product of sparse vectors, the machine folds into one weight for each subsequence of the
-landmarks, which tasks apply to each distinct word once.
-
-Edge cases: null or empty texts have the margin of no evidence; a null label counts as no label, a null doc_id
-as the text "" where rows are held out; rows that repeat are scored each; without labels of both classes every
-score is the share of toxic labels, or 0; an empty table gives no rows; other columns are ignored.
+The kernel of two words sums, over the subsequences of three characters that both hold, decay to the power of
+the spans they cover, spans beyond seven characters left out; it is normalised to 1 for equal words and taken to
+the fourth power. So a word with a gap or an inserted character stays near to the one without; marks within a word
+don't count, and a run of single characters is read as one word. The kernel of two sentences is the sum over their
+pairs of words, so that an insult of several words adds up.
+
+The machine is trained on the sentences of labelled rows: all those of clean rows count as clean, and a toxic row
+is shown by its witnesses, which no clean row may hold also. These are the sentences with a word that is typical of
+toxic rows beyond chance and, for some rounds, the one that the machine of the round before finds most toxic. Rows
+in which none shows are left out, as labels can be wrong; sentences that copies of a text repeat count once. A
+witness is learnt from twice, the second time with a character put into the middle of its most telling word.
+
+Sentences have Nyström features: those of their words against landmark words, added up. Landmarks are typical words
+that aren't near to each other, common ones, and the words of clean sentences that a first machine finds most toxic.
+A row's margin is the largest of its sentences, and a logistic curve, fitted on labelled rows that the machine
+wasn't trained on with margins beyond 1 taken as 1, turns it into a score. As the features of words add up, a word
+has a weight of its own and a sentence the sum of its words' weights, so that tasks score distinct words once.
+
+Edge cases: null or empty texts have the margin of no words; a null label counts as no label, a null doc_id
+as the text "" where rows are held out; of labelled rows that share a doc_id one text is learnt from; rows that
+repeat are scored each; without labels of both classes every score is the share of toxic labels, or 0; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,30 +33,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batch_of, kept_in_worker, split_batches
+from .shared import batch_of, bounded_sample, kept_in_worker, split_batches
 
-SPAN, DECAY = 7, 0.6
+SPAN, DECAY = 7, 0.8
 #: (gap to the second, gap to the third character) of subsequences of three.
 _GAPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 _ODD = re.compile(r"[\W_]+")
 _SINGLE = re.compile(r"(?:\b\w[\W_]+){2,}\w\b")
-_WORDS = pa.schema([("word", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
-_MARGINS = pa.schema([("label", pa.int32()), ("margin", pa.float64())])
+_END = re.compile(r"[.!?]+\s|[\n|]+")
+BEGIN = "^"
+#: Power of the kernel of two words, which tells near words from others.
+POWER = 4
+#: Words of a stretch that is read as one sentence where no end comes; stretches overlap by half.
+STRETCH = 24
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
-_NO_EVIDENCE = -2.0
 
 
-def word_strings(text: str) -> set[str]:
-    """The strings of a text that the kernel sees, in lower case."""
-    low = text.lower()
-    found = set(low.split())
-    for m in _SINGLE.finditer(low):
-        found.add(m[0])
-    return found
+def sentences(text: str) -> list[set[str]]:
+    """The words of each sentence, each once, in lower case."""
+    out = []
+    for part in _END.split(text.lower()):
+        words = _SINGLE.sub(lambda m: _ODD.sub("", m[0]), part).split()
+        if len(words) <= STRETCH:
+            if words:
+                out.append({*words})
+        else:
+            out += [{*words[i : i + STRETCH]} for i in range(0, len(words) - STRETCH // 2, STRETCH // 2)]
+    return out
 
 
 def folded(word: str) -> str:
-    return word if word.isalnum() else _ODD.sub("", word)
+    """The word's letters and digits after a mark, so that what a word begins with counts."""
+    return BEGIN + (word if word.isalnum() else _ODD.sub("", word))
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,180 +88,252 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row[first], code[first], np.add.reduceat(weight, first)
 
 
-def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernel values, words by landmarks."""
+def normalised(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The subsequences with weights that make each word's vector one long."""
     r, c, w = subsequences(words)
-    lr, lc, lw = subsequences(landmarks)
-    norm = np.sqrt(np.bincount(r, w * w, len(words)))
-    l_norm = np.sqrt(np.bincount(lr, lw * lw, len(landmarks)))
-    out = np.zeros((len(words), len(landmarks)))
-    for k in range(len(landmarks)):
-        mine = lr == k
-        codes = lc[mine]
-        if len(codes):
-            at = np.minimum(np.searchsorted(codes, c), len(codes) - 1)
-            hit = codes[at] == c
-            out[:, k] = np.bincount(r[hit], w[hit] * lw[mine][at[hit]], len(words)) / l_norm[k]
-    return out / np.maximum(norm, 1e-12)[:, None]
+    return r, c, w / np.sqrt(np.maximum(np.bincount(r, w * w, len(words)), 1e-24))[r] if len(r) else w
+
+
+def kernel(words: list[str], landmarks: list[str], power: int = POWER, some: int = 20_000) -> np.ndarray:
+    """Normalised kernel values to a power, words by landmarks."""
+    lr, lc, lw = normalised(landmarks)
+    order = np.argsort(lc, kind="stable")
+    lr, lc, lw = lr[order], lc[order], lw[order]
+    out = np.zeros((len(words), len(landmarks)), np.float32)
+    for a in range(0, len(words) if len(lc) else 0, some):
+        r, c, w = normalised(words[a : a + some])
+        low = np.searchsorted(lc, c)
+        n = np.searchsorted(lc, c, "right") - low
+        hit = np.flatnonzero(n)
+        r, w, low, n = r[hit], w[hit], low[hit], n[hit]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - n), n)
+        size = len(words[a : a + some])
+        flat = np.bincount(np.repeat(r, n) * len(landmarks) + lr[at], np.repeat(w, n) * lw[at], size * len(landmarks))
+        out[a : a + size] = flat.reshape(size, -1)
+    return out**power
 
 
 class Machine:
-    """Weights by subsequence, and margins of words kept by word."""
-
-    def __init__(self, codes: np.ndarray, weights: np.ndarray, bias: float):
-        self.codes, self.weights, self.bias = codes, weights, bias
-
-    @classmethod
-    def trained(cls, positive: dict[str, float], negative: dict[str, float], landmarks: list[str], cost: float = 4.0) -> Machine:
-        """A linear machine with squared hinge loss over the Nyström features, by gradient descent with
-        momentum; both classes weigh alike."""
-        words = [*positive, *negative]
-        y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        weigh = np.array([*positive.values(), *negative.values()])
-        for side in (y > 0, y < 0):
-            weigh[side] /= weigh[side].sum()
-        values, vectors = np.linalg.eigh(kernel(landmarks, landmarks))
+    """A weight for each landmark, and a bias."""
+
+    def __init__(self, landmarks: list[str], alpha: np.ndarray, bias: float):
+        self.landmarks, self.alpha, self.bias = landmarks, alpha, bias
+
+    def weights_of(self, words: list[str]) -> np.ndarray:
+        """What each word adds to a sentence's margin."""
+        return kernel(words, self.landmarks) @ self.alpha
+
+
+def least_squared_hinge(x: np.ndarray, y: np.ndarray, weigh: np.ndarray, start: np.ndarray, pull: float) -> np.ndarray:
+    """The linear machine (last entry: bias) with the least sum of weighted squared hinge losses and pull / 2
+    times the squared weights, by Newton steps over the rows within the margin, halved while they don't help."""
+    ridge = np.append(np.full(x.shape[1], pull), pull * 1e-3)
+
+    def loss(w):
+        gap = np.maximum(0, 1 - y * (x @ w[:-1] + w[-1]))
+        return 0.5 * float(ridge @ (w * w)) + float(weigh @ (gap * gap)), gap
+
+    w = start.copy()
+    now, gap = loss(w)
+    for _ in range(40):
+        on = np.flatnonzero(gap)
+        xs = np.hstack([x[on], np.ones((len(on), 1), x.dtype)]).astype(np.float64)
+        slope = ridge * w - 2 * xs.T @ (weigh[on] * y[on] * gap[on])
+        move = np.linalg.solve(2 * xs.T @ (xs * weigh[on][:, None]) + np.diag(ridge), slope)
+        step = 1.0
+        while step > 1e-6:
+            then, new_gap = loss(w - step * move)
+            if then <= now:
+                break
+            step /= 2
+        else:
+            break
+        w, gain, now, gap = w - step * move, now - then, then, new_gap
+        if gain <= 1e-9 * max(now, 1e-12):
+            break
+    return w
+
+
+def typical_words(parts: list[np.ndarray], toxic: np.ndarray, n_words: int) -> np.ndarray:
+    """For each word how typical it is of toxic sentences: twice the log-likelihood ratio of its sentences' kinds,
+    0 where chance among so many words would give as much."""
+    tally = np.zeros((2, n_words))
+    for y in (0, 1):
+        some = [p for p, t in zip(parts, toxic.tolist(), strict=True) if t == y]
+        if some:
+            tally[y] = np.bincount(np.concatenate(some), minlength=n_words)
+    seen, base = tally.sum(0), toxic.mean() if len(toxic) else 0.0
+    rate = tally[1] / np.maximum(seen, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * sum(np.where(t > 0, t * np.log(t / np.maximum(seen * b, 1e-12)), 0.0) for t, b in ((tally[1], base), (tally[0], 1 - base)))
+    return np.where((rate > base) & (ratio > 2 * np.log(n_words + 1)), ratio, 0.0)
+
+
+def diverse(words: list[str], chosen: list[str], until: int) -> list[str]:
+    """The chosen ones and, in their order, those of the words that aren't near to one before, until so many."""
+    chosen = list(chosen)
+    for a in range(0, len(words), 200):
+        if len(chosen) >= until:
+            break
+        some = words[a : a + 200]
+        near, taken = kernel(some, chosen + some, 1), [*range(len(chosen))]
+        for k, word in enumerate(some):
+            if len(chosen) < until and (not taken or near[k, taken].max() < 0.8):
+                taken.append(near.shape[1] - len(some) + k)
+                chosen.append(word)
+    return chosen
+
+
+def learn(texts: list[str], labels: list[int], most_landmarks: int = 192, rounds: int = 4, pull: float = 1e-4) -> dict:
+    """A model from texts and their labels, 0 or 1. A quarter of the rows is for the curve alone."""
+    label = (np.array(labels) > 0).astype(np.int64)
+    if label.min(initial=1) == label.max(initial=0):
+        return {"machine": None, "share": float(label.max(initial=0))}
+    vocabulary: dict[str, int] = {}
+    names: list[str] = []
+    forms: dict[str, int] = {}
+
+    def number(word: str) -> int:
+        if word not in vocabulary:
+            form = folded(word)
+            if form not in forms:
+                forms[form] = len(names)
+                names.append(form)
+            vocabulary[word] = forms[form]
+        return vocabulary[word]
+
+    # sentences are told apart, so that those which copies of a text repeat count once
+    of_words: dict[bytes, int] = {}
+    every: list[np.ndarray] = []
+    split: list[list[int]] = []
+    for t in texts:
+        own = []
+        for words in sentences(t):
+            x = np.array(sorted({*map(number, words)}))
+            if x.tobytes() not in of_words:
+                of_words[x.tobytes()] = len(every)
+                every.append(x)
+            own.append(of_words[x.tobytes()])
+        split.append(own)
+    tuning = np.zeros(len(texts), bool)
+    for y in (0, 1):  # every fourth of a class, by the order of the rows
+        tuning[np.flatnonzero(label == y)[3::4]] = True
+    shown_clean = np.zeros(len(every), bool)
+    shown_toxic = np.zeros(len(every), bool)
+    for i in np.flatnonzero(~tuning).tolist():
+        (shown_toxic if label[i] else shown_clean)[split[i]] = True
+    shown_toxic &= ~shown_clean
+    known = np.flatnonzero(shown_clean | shown_toxic)
+    typical = typical_words([every[i] for i in known.tolist()], shown_toxic[known], len(names))
+
+    clean = np.flatnonzero(shown_clean)
+    toxic = [own for i, row in enumerate(split) if label[i] and not tuning[i] and len(own := np.array([s for s in row if shown_toxic[s]], np.int64))]
+    typically = np.flatnonzero([shown_toxic[k] and typical[s].max() > 0 for k, s in enumerate(every)])
+    in_clean = np.zeros(len(names), bool)
+    in_clean[np.concatenate([np.empty(0, np.int64), *(every[i] for i in clean.tolist())])] = True
+    long = np.array([len(n) > 3 for n in names], bool)
+
+    def fitted(marks: list[str]) -> tuple:
+        """The landmarks' weights and the bias, the words' weights and the sentences' margins."""
+        values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
         keep = values > 1e-6
-        root = vectors[:, keep] / np.sqrt(values[keep])
-        x = kernel(words, landmarks) @ root
-        x = np.hstack([x, np.ones((len(x), 1))])
-        w, speed = np.zeros(x.shape[1]), np.zeros(x.shape[1])
-        step = 1 / (1 + 2 * cost * 4)
-        for _ in range(1500):
-            loss = np.maximum(0, 1 - y * (x @ w))
-            slope = w * np.append(np.full(len(w) - 1, 0.02), 0) - 2 * cost * (x.T @ (weigh * y * loss))
-            speed = 0.9 * speed - step * slope
-            w += speed
-        alpha = root @ w[:-1]
-        r, c, v = subsequences(landmarks)
-        norm = np.sqrt(np.bincount(r, v * v, len(landmarks)))
-        codes, at = np.unique(c, return_inverse=True)
-        return cls(codes, np.bincount(at, v * (alpha / np.maximum(norm, 1e-12))[r], len(codes)), float(w[-1]))
-
-    def margins(self, words: list[str]) -> np.ndarray:
-        r, c, w = subsequences(words)
-        if not len(r):
-            return np.full(len(words), self.bias)
-        at = np.minimum(np.searchsorted(self.codes, c), len(self.codes) - 1)
-        hit = self.codes[at] == c
-        norm = np.sqrt(np.bincount(r, w * w, len(words)))
-        return self.bias + np.bincount(r[hit], (w * self.weights[at])[hit], len(words)) / np.maximum(norm, 1e-12)
+        root = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
+        z = kernel(names, marks) @ root
+        x = np.empty((len(every), z.shape[1]), np.float32)
+        for a in range(0, len(every), 4096):
+            some = every[a : a + 4096]
+            x[a : a + len(some)] = np.add.reduceat(z[np.concatenate(some)], np.cumsum([0] + [len(s) for s in some[:-1]]))
+        w, tells, margins = np.zeros(x.shape[1] + 1), typical, None
+        for _ in range(rounds + 1):
+            witness = typically
+            if margins is not None:
+                most = np.array([own[margins[own].argmax()] for own in toxic], np.int64)
+                witness = np.union1d(typically, most[margins[most] > 0])
+            telling = np.array([every[s][tells[every[s]].argmax()] for s in witness])
+            spelt, at = np.unique(telling, return_inverse=True)
+            halves = [(names[i][: len(names[i]) // 2 + 1], names[i][len(names[i]) // 2 + 1 :]) for i in spelt.tolist()]
+            varied = x[witness] - z[telling] + (kernel([f"{a}x{b}" for a, b in halves], marks) @ root)[at]
+            rows = np.concatenate([x[witness], varied, x[clean]])
+            y = np.where(np.arange(len(rows)) < 2 * len(witness), 1.0, -1.0)
+            w = least_squared_hinge(rows, y, np.where(y > 0, 0.25 / len(witness), 0.5 / len(clean)), w, pull)
+            margins = x @ w[:-1] + w[-1]
+            tells = np.where(typical > 0, typical, z @ w[:-1])
+        return root.astype(np.float64) @ w[:-1], float(w[-1]), z @ w[:-1], margins
+
+    if not len(typically) or not len(clean):
+        return {"machine": None, "share": float(label.mean())}
+    telling = diverse([names[i] for i in np.argsort(-typical, kind="stable").tolist() if typical[i] > 0 and long[i]], [], most_landmarks // 2)
+    often = np.bincount(np.concatenate(every), minlength=len(names)) * (long & (typical == 0))
+    common = [names[i] for i in np.argsort(-often, kind="stable")[: most_landmarks - len(telling)].tolist() if often[i]]
+    _, _, weights, _ = fitted(telling + common)
+    # the words of clean sentences that look most toxic take the place of half of the common ones
+    hard = [names[i] for i in np.argsort(-weights, kind="stable").tolist() if in_clean[i] and typical[i] == 0 and long[i] and weights[i] > 0]
+    hard = diverse(hard, telling, len(telling) + len(common) // 2)[len(telling) :]
+    marks = [*dict.fromkeys(telling + hard + common[: most_landmarks - len(telling) - len(hard)])]
+    alpha, bias, _, margins = fitted(marks)
+    row_margin = np.array([margins[row].max() if row else bias for row in split])
+    return {"machine": (marks, alpha, bias)} | logistic(np.clip(row_margin[tuning], -1, 1), label[tuning] > 0)
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> dict:
+    """A logistic curve of margins, by Newton steps with the smoothed targets that keep it finite."""
+    n1, n0 = int(y.sum()), int((~y).sum())
+    target = np.where(y, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    design, beta = np.stack([x, np.ones_like(x)], 1), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+        h = design.T @ (design * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
+        beta = beta - np.clip(np.linalg.solve(h, design.T @ (p - target) + 1e-3 * (beta - [1.0, 0.0])), -2, 2)
+    return {"a": max(float(beta[0]), 0.0), "b": float(beta[1])}
 
 
 class Scorer:
-    """Largest margins of texts; holds the margins of up to ``most`` words."""
+    """Largest margins of texts; holds the weights of up to ``most`` words."""
 
-    def __init__(self, machine: Machine, most: int = 400_000):
+    def __init__(self, machine: Machine, most: int = 300_000):
         self.machine, self.most, self.known = machine, most, {}
 
     def margins(self, texts: list[str]) -> np.ndarray:
         if len(self.known) > self.most:
             self.known.clear()
-        held = [word_strings(t) for t in texts]
-        new = [w for w in set().union(*held) if w not in self.known]
+        split = [sentences(t) for t in texts]
+        new = [w for w in {w for row in split for s in row for w in s} if w not in self.known]
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
-            forms = [folded(w) for w in some]
-            # longer strings are read in overlapping stretches
-            parts = [(k, f[a : a + 32]) for k, f in enumerate(forms) for a in range(0, max(1, len(f) - 16), 16)]
+            # a long string is read in overlapping stretches and has the largest weight of these
+            parts = [(k, f[a : a + 32]) for k, f in enumerate(map(folded, some)) for a in range(0, max(1, len(f) - 16), 16)]
             found = np.full(len(some), -np.inf)
-            np.maximum.at(found, [k for k, _ in parts], self.machine.margins([p for _, p in parts]))
+            np.maximum.at(found, [k for k, _ in parts], self.machine.weights_of([p for _, p in parts]))
             self.known.update(zip(some, found.tolist(), strict=True))
-        get = self.known.__getitem__
-        return np.array([max(map(get, h), default=_NO_EVIDENCE) for h in held])
+        get, bias = self.known.__getitem__, self.machine.bias
+        return np.array([bias + max((sum(map(get, s)) for s in row), default=0.0) for row in split])
 
 
 def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_landmarks: int = 96) -> dict:
-    """A model from labelled rows that aren't held out: at most most_rows of them, the first by a hash. The
-    driver gets witnesses, a bounded sample of clean words and one margin for each row of the sample."""
-    rows = labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).distinct()
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most_rows)
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 6_000, most_landmarks: int = 192) -> dict:
+    """A model from labelled rows that aren't held out. ``most_rows`` bounds the labelled rows that are learnt
+    from, the first by a hash, and so what the driver gets: their texts. ``most_landmarks`` bounds the landmarks.
+    Nothing else is left out."""
+    rows = labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic").cast("int") > 0).cast("int").alias("label")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    labelled = texts.join(F.broadcast(sample), "doc_id").select("label", "text")  # most_rows bounds what is sent
-
-    def words(batches):
-        count: dict[str, list[int]] = {}
-        n = [0, 0]
-        for b in split_batches(batches, 4 << 20):
-            for y, t in zip(b.column("label").to_pylist(), b.column("text").to_pylist(), strict=True):
-                n[y > 0] += 1
-                for w in {folded(w)[:64] for w in word_strings(t)}:
-                    count.setdefault(w, [0, 0])[y > 0] += 1
-        count[""] = n  # rows of each class
-        items = list(count.items())
-        for i in range(0, len(items), 100_000):
-            some = items[i : i + 100_000]
-            yield batch_of(_WORDS, [w for w, _ in some], [v[1] for _, v in some], [v[0] for _, v in some])
-
-    counted = labelled.mapInArrow(words, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).persist()
-    totals = counted.where("word = ''").first()
-    n_toxic, n_clean = (totals["toxic"], totals["clean"]) if totals else (0, 0)
-    if not n_toxic or not n_clean:
-        return {"machine": None, "share": 1.0 if n_toxic else 0.0}
-    seen = counted.where(F.length("word") >= 3)
-    rate = (F.col("toxic") / n_toxic) / ((F.col("clean") + 0.5) / n_clean)
-    witness = seen.where((F.col("toxic") >= 2) & (rate >= 8)).orderBy(F.desc(F.col("toxic") * F.log(rate)), "word").limit(3000).collect()
-    strong = [r for r in witness if r["toxic"] >= max(3, 0.004 * n_toxic)] or witness
-    clean = {r["word"]: 1.0 for r in seen.where("clean > 0 and toxic = 0").orderBy(F.xxhash64("word")).limit(12_000).collect()}
-    common = seen.where(rate < 2).orderBy(F.desc("clean"), "word").limit(4000).collect()
-    negative = clean | {r["word"]: 1.0 + np.log(r["clean"] + 1) for r in common}
-    if not strong:
-        return {"machine": None, "share": n_toxic / (n_toxic + n_clean)}
-    positive = {r["word"]: float(r["toxic"]) for r in strong}
-    candidates = list(positive)[:600]
-    near = kernel(candidates, candidates)
-    chosen: list[int] = []
-    for k in range(len(candidates)):
-        if len(chosen) < 2 * most_landmarks // 3 and (not chosen or near[k, chosen].max() < 0.8):
-            chosen.append(k)
-    landmarks = [candidates[k] for k in chosen] + [r["word"] for r in common[: most_landmarks // 3]]
-    for hard_rounds in (1, 0):
-        machine = Machine.trained(positive, negative, landmarks)
-        if not hard_rounds:
-            break
-
-        def hard(batches):
-            for b in batches:
-                some = b.column(0).to_pylist()
-                m = machine.margins(some)
-                at = np.flatnonzero(m > -0.6)
-                yield batch_of(pa.schema([("word", pa.string()), ("margin", pa.float64())]), [some[i] for i in at], m[at])
-
-        near_words = seen.where("clean > 0").where(rate < 2).select("word").mapInArrow(hard, "word string, margin double").orderBy(F.desc("margin"), "word").limit(3000).collect()
-        negative |= {r["word"]: 4.0 for r in near_words if r["word"] not in positive}
-    counted.unpersist()
-
-    def margins(batches):
-        scorer = Scorer(machine)
-        for b in split_batches(batches, 2 << 20):
-            yield batch_of(_MARGINS, b.column("label"), scorer.margins(b.column("text").to_pylist()))
-
-    got = np.array([(r["label"] > 0, r["margin"]) for r in labelled.mapInArrow(margins, "label int, margin double").collect()], float)
-    y, x = got[:, 0], got[:, 1]
-    # logistic curve by Newton steps, with the smoothed targets that keep it finite; the rarer class
-    # weighs more, by the root of the classes' ratio, as words that few rows show leave small margins
-    target = np.where(y > 0, (n_toxic + 1) / (n_toxic + 2), 1 / (n_clean + 2))
-    rare = min(max((y > 0).mean(), 1e-3), 0.999)
-    even = np.where(y > 0, np.sqrt((1 - rare) / rare), 1.0)
-    design, beta = np.stack([x, np.ones_like(x)], 1), np.array([1.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        h = design.T @ (design * (even * p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
-        move = np.linalg.solve(h, design.T @ (even * (p - target)) + 1e-3 * (beta - [1.0, 0.0]))
-        beta = beta - np.clip(move, -2, 2)
-    return {"machine": (machine.codes, machine.weights, machine.bias), "a": max(float(beta[0]), 0.0), "b": float(beta[1]), "landmarks": landmarks}
+    sample = bounded_sample(rows, most_rows, "doc_id", "label")
+    # most_rows bounds what is sent
+    got = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).toArrow()
+    order = np.lexsort((got.column("label").to_numpy(), got.column("doc_id").to_numpy()))
+    got = got.take(pa.array(order))
+    return learn(got.column("text").to_pylist(), got.column("label").to_pylist(), most_landmarks)
 
 
 def scores_of(model: dict, texts: list[str]) -> np.ndarray:
     """Scores from 0 to 1."""
     if model["machine"] is None:
         return np.full(len(texts), model["share"])
-    codes, weights, bias = model["machine"]
-    scorer = kept_in_worker(("toxicity", weights.tobytes()), lambda: Scorer(Machine(codes, weights, bias)))
+    landmarks, alpha, bias = model["machine"]
+    scorer = kept_in_worker(("toxicity", alpha.tobytes(), bias), lambda: Scorer(Machine(landmarks, alpha, bias)))
     return 1 / (1 + np.exp(-np.clip(model["a"] * scorer.margins(texts) + model["b"], -30, 30)))
 
 

@@ -477,6 +477,7 @@ def test_toxicity_on_held_out_rows(spark, none):
     truth = {i: y for i, _, y in labels}
     held = [i for i in truth if got[i]["held_out"]]
     assert held and np.mean([got[i]["predicted"] == truth[i] for i in held]) > 0.95
+    assert sum(got[i]["predicted"] for i in held if truth[i]) >= 0.9 * sum(truth[i] for i in held)
     assert [got[i]["predicted"] for i in (900, 901, 902, None)] == [0] * 4
     assert [got[i]["predicted"] for i in (910, 911, 912, 913)] == [1] * 4
     kept = T.without_toxic(docs, model)
@@ -485,7 +486,7 @@ def test_toxicity_on_held_out_rows(spark, none):
 
 
 def test_kernel_tolerates_gaps():
-    k = T.kernel(["blorgwit", "blorxgwit", "river"], ["blorgwit"])[:, 0]
+    k = T.kernel(["blorgwit", "blorxgwit", "river"], ["blorgwit"], power=1)[:, 0]
     assert k[0] == pytest.approx(1) and k[1] > 0.5 > k[2]
 
 
@@ -501,7 +502,26 @@ def test_kernel_is_the_subsequence_kernel():
     for x, y in (("banana", "bandana"), ("aaaa", "aa"), ("stone", "tones")):
         p, q = phi(x), phi(y)
         norm = math.sqrt(sum(v * v for v in p.values()) * sum(v * v for v in q.values()))
-        assert T.kernel([x], [y])[0, 0] == pytest.approx(sum(v * q[u] for u, v in p.items()) / norm if norm else 0)
+        assert T.kernel([x], [y], power=1)[0, 0] == pytest.approx(sum(v * q[u] for u, v in p.items()) / norm if norm else 0)
+
+
+def test_sentences():
+    assert T.sentences("A b. C d! e\nx | y") == [{"a", "b"}, {"c", "d"}, {"e"}, {"x"}, {"y"}]
+    assert T.sentences("you b.l.o-r and b l o r s") == [{"you", "blor", "and", "blors"}]
+    long = T.sentences(" ".join(f"w{i}" for i in range(1000)))
+    assert set().union(*long) == {f"w{i}" for i in range(1000)} and max(map(len, long)) <= T.STRETCH
+
+
+def test_linear_machine_is_the_least_of_its_loss():
+    r = np.random.default_rng(1)
+    x, y = r.normal(size=(200, 5)), np.where(r.random(200) < 0.4, 1.0, -1.0)
+    weigh = r.random(200) / 200
+    w = T.least_squared_hinge(x, y, weigh, np.zeros(6), 1e-2)
+
+    def loss(w):
+        return 0.5 * 1e-2 * (w[:-1] @ w[:-1] + 1e-3 * w[-1] ** 2) + weigh @ np.maximum(0, 1 - y * (x @ w[:-1] + w[-1])) ** 2
+
+    assert all(loss(w) <= loss(w + d) + 1e-9 for d in r.normal(scale=1e-3, size=(200, 6)))
 
 
 def test_pipeline_stages(spark, tmp_path):
