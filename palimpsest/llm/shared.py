@@ -100,6 +100,12 @@ def bounded_sample(rows: DataFrame, most: int, *key: str) -> DataFrame:
     return rows.orderBy(h, *key).limit(most)
 
 
+def join_small(rows: DataFrame, small: DataFrame, on: str, most_rows: int = 10_000, how: str = "left") -> DataFrame:
+    """Join rows with a written table that has one row for each value of ``on``: broadcast when a count shows that
+    it has at most ``most_rows`` rows, and otherwise by a shuffle, in which no value is that common."""
+    return rows.join(F.broadcast(small) if small.count() <= most_rows else small.hint("merge"), on, how)
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if not uri.startswith("file:/") or uri.startswith("file:///") else "file:///" + uri[5:].lstrip("/"))
 

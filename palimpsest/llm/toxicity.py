@@ -111,7 +111,7 @@ def kernel(words: list[str], landmarks: list[str], power: int = POWER, some: int
         size = len(words[a : a + some])
         flat = np.bincount(np.repeat(r, n) * len(landmarks) + lr[at], np.repeat(w, n) * lw[at], size * len(landmarks))
         out[a : a + size] = flat.reshape(size, -1)
-    return out**power
+    return np.power(out, power, out=out)
 
 
 class Machine:
@@ -125,31 +125,36 @@ class Machine:
         return kernel(words, self.landmarks) @ self.alpha
 
 
-def least_squared_hinge(x: np.ndarray, y: np.ndarray, weigh: np.ndarray, start: np.ndarray, pull: float) -> np.ndarray:
-    """The linear machine (last entry: bias) with the least sum of weighted squared hinge losses and pull / 2
-    times the squared weights, by Newton steps over the rows within the margin, halved while they don't help."""
-    ridge = np.append(np.full(x.shape[1], pull), pull * 1e-3)
+def least_squared_hinge(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], start: np.ndarray, pull: float, some: int = 8192) -> np.ndarray:
+    """The linear machine (last entry: bias) with the least sum of weighted squared hinge losses over blocks of
+    (rows, +-1, weights) and pull / 2 times the squared weights, by Newton steps over the rows within the margin,
+    halved while they don't help. Rows are taken some at a time."""
+    ridge = np.append(np.full(len(start) - 1, pull), pull * 1e-3)
 
     def loss(w):
-        gap = np.maximum(0, 1 - y * (x @ w[:-1] + w[-1]))
-        return 0.5 * float(ridge @ (w * w)) + float(weigh @ (gap * gap)), gap
+        gaps = [np.maximum(0, 1 - y * (x @ w[:-1].astype(x.dtype) + w[-1])) * (weigh > 0) for x, y, weigh in blocks]
+        return 0.5 * float(ridge @ (w * w)) + sum(float(weigh @ (gap * gap)) for gap, (_, _, weigh) in zip(gaps, blocks)), gaps
 
     w = start.copy()
-    now, gap = loss(w)
+    now, gaps = loss(w)
     for _ in range(40):
-        on = np.flatnonzero(gap)
-        xs = np.hstack([x[on], np.ones((len(on), 1), x.dtype)]).astype(np.float64)
-        slope = ridge * w - 2 * xs.T @ (weigh[on] * y[on] * gap[on])
-        move = np.linalg.solve(2 * xs.T @ (xs * weigh[on][:, None]) + np.diag(ridge), slope)
-        step = 1.0
+        slope, square = ridge * w, np.diag(ridge)
+        for gap, (x, y, weigh) in zip(gaps, blocks):
+            on = np.flatnonzero(gap)
+            for a in range(0, len(on), some):
+                at = on[a : a + some]
+                xs = np.hstack([x[at], np.ones((len(at), 1), x.dtype)]).astype(np.float64)
+                slope = slope - 2 * xs.T @ (weigh[at] * y[at] * gap[at])
+                square += 2 * xs.T @ (xs * weigh[at][:, None])
+        move, step = np.linalg.solve(square, slope), 1.0
         while step > 1e-6:
-            then, new_gap = loss(w - step * move)
+            then, new_gaps = loss(w - step * move)
             if then <= now:
                 break
             step /= 2
         else:
             break
-        w, gain, now, gap = w - step * move, now - then, then, new_gap
+        w, gain, now, gaps = w - step * move, now - then, then, new_gaps
         if gain <= 1e-9 * max(now, 1e-12):
             break
     return w
@@ -239,7 +244,7 @@ def learn(texts: list[str], labels: list[int], most_landmarks: int = 192, rounds
         values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
         keep = values > 1e-6
         root = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
-        z = kernel(names, marks) @ root
+        z = np.concatenate([kernel(names[a : a + 20_000], marks) @ root for a in range(0, len(names), 20_000)])
         x = np.empty((len(every), z.shape[1]), np.float32)
         for a in range(0, len(every), 4096):
             some = every[a : a + 4096]
@@ -254,12 +259,13 @@ def learn(texts: list[str], labels: list[int], most_landmarks: int = 192, rounds
             spelt, at = np.unique(telling, return_inverse=True)
             halves = [(names[i][: len(names[i]) // 2 + 1], names[i][len(names[i]) // 2 + 1 :]) for i in spelt.tolist()]
             varied = x[witness] - z[telling] + (kernel([f"{a}x{b}" for a, b in halves], marks) @ root)[at]
-            rows = np.concatenate([x[witness], varied, x[clean]])
-            y = np.where(np.arange(len(rows)) < 2 * len(witness), 1.0, -1.0)
-            w = least_squared_hinge(rows, y, np.where(y > 0, 0.25 / len(witness), 0.5 / len(clean)), w, pull)
-            margins = x @ w[:-1] + w[-1]
-            tells = np.where(typical > 0, typical, z @ w[:-1])
-        return root.astype(np.float64) @ w[:-1], float(w[-1]), z @ w[:-1], margins
+            y, weigh = np.full(len(every), -1.0), np.zeros(len(every))
+            weigh[clean] = 0.5 / len(clean)
+            y[witness], weigh[witness] = 1.0, 0.25 / len(witness)
+            w = least_squared_hinge([(x, y, weigh), (varied, np.ones(len(varied)), np.full(len(varied), 0.25 / len(varied)))], w, pull)
+            margins = x @ w[:-1].astype(np.float32) + w[-1]
+            tells = np.where(typical > 0, typical, z @ w[:-1].astype(np.float32))
+        return root.astype(np.float64) @ w[:-1], float(w[-1]), z @ w[:-1].astype(np.float32), margins
 
     if not len(typically) or not len(clean):
         return {"machine": None, "share": float(label.mean())}
@@ -314,7 +320,7 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 6_000, most_landmarks: int = 192) -> dict:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 3_000, most_landmarks: int = 192) -> dict:
     """A model from labelled rows that aren't held out. ``most_rows`` bounds the labelled rows that are learnt
     from, the first by a hash, and so what the driver gets: their texts. ``most_landmarks`` bounds the landmarks.
     Nothing else is left out."""

@@ -425,15 +425,85 @@ def test_quality_rules(spark, none):
     assert Q.quality_rules(none).count() == 0
 
 
-def test_probabilities_add_up(spark):
-    docs = docs_of(spark, [(i, prose(i, 40)) for i in range(20)])
-    model = Q.train(docs, work_dir(spark, "t"), order=3)
-    letters = sorted({c for w in WORDS for c in w + "sed"})
-    total = sum(10 ** Q.word_log10(model, "en", [x])[0] for x in [""])  # the end at once
-    starts = [10 ** (Q.word_log10(model, "en", [c])[0]) for c in letters]
-    assert 0 < total + sum(starts) < 1
-    known, odd = Q.word_log10(model, "en", ["alpha", "qqqqq"])
-    assert known > odd
+def kneser_ney(texts, order):
+    """Log10 probability of a text by the definition, with dictionaries."""
+    s, e = "<s>", "</s>"
+    counts = {k: Counter() for k in range(1, order + 1)}
+    streams = [[s] * (order - 1) + [*t] + [e] for t in texts]
+    for x in streams:
+        for i in range(order - 1, len(x)):
+            counts[order][tuple(x[i - order + 1 : i + 1])] += 1
+    raw = {order: counts[order]}
+    for k in range(order - 1, 0, -1):
+        raw[k] = Counter()
+        for g, n in raw[k + 1].items():
+            raw[k][g[1:]] += n
+            counts[k][g[1:]] += 1
+        for g in counts[k]:
+            if g[0] == s:
+                counts[k][g] = raw[k][g]
+    d, sums = {}, {}
+    for k, c in counts.items():
+        n = [sum(v == i for v in c.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        some = (1 - 2 * y * n[2] / n[1] if n[1] else 0.5, 2 - 3 * y * n[3] / n[2] if n[2] else 1.0, 3 - 4 * y * n[4] / n[3] if n[3] else 1.5)
+        d[k] = [0, *(min(max(x, 0.05), 0.95 * i) for i, x in enumerate(some, 1))]
+        for g, v in c.items():
+            a = sums.setdefault((k, g[:-1]), [0, 0.0])
+            a[0] += v
+            a[1] += d[k][min(v, 3)]
+    types = len(counts[1])
+
+    def p(context, c):
+        k = len(context) + 1
+        below = p(context[1:], c) if context else 1 / (types + 1)
+        if (k, context) not in sums:
+            return below
+        all_, off = sums[k, context]
+        v = counts[k].get((*context, c), 0)
+        return ((v - d[k][min(v, 3)]) if v else 0) / all_ + off / all_ * below
+
+    def score(t):
+        x = [s] * (order - 1) + [*t] + [e]
+        return sum(math.log10(p(tuple(x[i - order + 1 : i]), x[i])) for i in range(order - 1, len(x)))
+
+    return score, p, [g[0] for g in counts[1]]
+
+
+@pytest.mark.parametrize("order", [2, 5])
+def test_perplexity_is_that_of_kneser_ney(spark, order):
+    texts = {lang: [prose(100 * k + i, 30) for i in range(12)] + ["short", "ÉÉ\u4e2d"] for k, lang in enumerate(("en", "de"))}
+    pairs = [(1000 * k + i, t) for k, some in enumerate(texts.values()) for i, t in enumerate(some)]
+    model = Q.train(docs_of(spark, pairs, {i: "de" for i, _ in pairs if i >= 1000}), work_dir(spark, "t"), order)
+    for lang, half in [(x, h) for x in texts for h in (0, 1)]:
+        some = [t for t in texts[lang] if Q.half_of(t.encode().split()) == half]
+        score, p, letters = kneser_ney(some, order)
+        lang = Q.name_of(lang, half)
+        asked = [*some, "unseen Zz q\u00df words", " ".join(reversed(some[0].split()))]
+        got, n = Q.text_log10(model, lang, [t.encode().split() for t in asked])
+        assert n.tolist() == [len(t) + 1 for t in asked]
+        assert got.tolist() == pytest.approx([score(t) for t in asked], abs=1e-9)
+        # what may follow adds up to 1 with one unknown character
+        context = tuple("alpha"[: order - 1])
+        codes = np.array([[*map(ord, context), Q.END if c == "</s>" else ord(c)] for c in [*letters, "\u00df"]], np.uint32)
+        assert (10 ** Q.gram_log10(model, lang, codes)).sum() == pytest.approx(1, abs=1e-9)
+
+
+def test_bands_reject_both_ways(spark):
+    r = random.Random(12)
+    pairs = [(i, prose(i, 120)) for i in range(80)]
+    shuffled = list(prose(500, 120))
+    r.shuffle(shuffled)
+    long = [w for w in prose(501, 2000).split() if len(w) > 7][:150]
+    pairs += [(200, "".join(shuffled)), (201, " ".join(long)), (202, prose(600, 20_000))]
+    rows = {x["doc_id"]: x for x in Q.quality_rules(docs_of(spark, pairs), width=1.5, least=0.01, repeat_percent=100).collect()}
+    logs = sorted(x["log_perplexity"] for x in rows.values())
+    lower, upper = rows[0]["lower"], rows[0]["upper"]
+    q1, q3 = np.quantile(logs, [0.25, 0.75], method="inverted_cdf")
+    assert [lower, upper] == pytest.approx([q1 - max(1.5 * (q3 - q1), 0.01), q3 + max(1.5 * (q3 - q1), 0.01)], abs=1e-9)
+    assert rows[200]["log_perplexity"] > upper and rows[201]["log_perplexity"] < lower
+    assert all(x["kept"] == (not x["base_failed"] and lower <= x["log_perplexity"] <= upper) for x in rows.values())
+    assert not rows[200]["kept"] and not rows[201]["kept"] and rows[202]["kept"]
 
 
 # --- mixing, toxicity, pipeline
@@ -516,7 +586,7 @@ def test_linear_machine_is_the_least_of_its_loss():
     r = np.random.default_rng(1)
     x, y = r.normal(size=(200, 5)), np.where(r.random(200) < 0.4, 1.0, -1.0)
     weigh = r.random(200) / 200
-    w = T.least_squared_hinge(x, y, weigh, np.zeros(6), 1e-2)
+    w = T.least_squared_hinge([(x[:120], y[:120], weigh[:120]), (x[120:], y[120:], weigh[120:])], np.zeros(6), 1e-2, 50)
 
     def loss(w):
         return 0.5 * 1e-2 * (w[:-1] @ w[:-1] + 1e-3 * w[-1] ** 2) + weigh @ np.maximum(0, 1 - y * (x @ w[:-1] + w[-1])) ** 2
