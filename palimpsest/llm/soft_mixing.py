@@ -2,16 +2,19 @@
 
 A classifier learnt from a labelled table gives each document a posterior over domains. With n tokens and
 posterior p of a document, rates r >= 0 are sought for which the domains' expected tokens, the sums of r n p,
-come nearest to their targets in least squares, with a small pull of all rates to 1. Projected gradient descent
-runs over all documents: a step needs the residual of each domain, one sum over the rows, and changes a rate by
-its document's own n p. So the driver holds a residual for each step and domain, and a document's rate follows
-from these, which tasks work out anew in each pass; nothing is kept by document.
+come nearest to their targets in least squares, with a small pull of all rates to 1.
+
+Projected gradient descent runs over all documents, in its lazy form: a rate's own slope is n times p times the
+domains' gaps, so a step for each domain moves a rate by p times the steps (the metric weighs documents by their
+tokens), steps add up, and the rates are the projection of 1 and all steps so far on r >= 0. The steps are those of
+the gaps in the metric of the rates above 0, halved while they don't help, which settles in a few rounds. A pass
+is one aggregation of built-in functions, and the driver holds a number for each domain; nothing is kept by document.
 
 The classifier is multinomial logistic regression over hashed words, each word counted once in a document, from
 at most ``most_rows`` labelled rows, the first by a hash. It folds into a weight for each bucket and domain.
 
 Edge cases: null or empty texts have one token and the posterior of no words; a null label or doc_id in the
-labelled table counts as no label; without labels every document has the same posterior; rows that repeat count
+labelled table counts as no label; of labelled rows that share a doc_id one text is learnt from; without labels every document has the same posterior; rows that repeat count
 each; a null doc_id is kept; an empty table gives no rows; other columns are ignored.
 """
 
@@ -23,10 +26,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batch_of, materialise, split_batches, text_bytes
+from .shared import batch_of, bounded_sample, materialise, split_batches, text_bytes
 
 _BAG = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("buckets", pa.list_(pa.int32()))])
 _SOFT = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("p", pa.list_(pa.float64()))])
@@ -56,22 +59,22 @@ def train(docs: DataFrame, labels: DataFrame, domain, domains: list[str], most_r
     """``domain`` is a column expression over labels that gives one of ``domains``."""
     number = F.array_position(F.array(*map(F.lit, domains)), domain).cast("int") - 1
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), number.alias("label")).where("doc_id IS NOT NULL AND label >= 0").distinct()
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    sample = bounded_sample(rows, most_rows, "doc_id", "label")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def bags(batches):
         for b in split_batches(batches, 4 << 20):
             yield batch_of(_BAG, b.column("doc_id"), b.column("label"), [buckets_of(t, size).tolist() for t in b.column("text").to_pylist()])
 
     # most_rows bounds what is broadcast and, with the buckets, what comes to the driver
-    got = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(bags, "doc_id long, label int, buckets array<int>")
-    arrow = got.limit(2 * most_rows).toArrow()
+    once = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").cast("binary").alias("text"))
+    arrow = once.mapInArrow(bags, "doc_id long, label int, buckets array<int>").toArrow()
     k = len(domains)
     weights, bias = np.zeros((size, k)), np.zeros(k)
     n = arrow.num_rows
     if not n:
         return Classifier(weights, bias)
-    order = np.argsort(arrow.column("doc_id").to_numpy(), kind="stable")
+    order = np.lexsort((arrow.column("label").to_numpy(), arrow.column("doc_id").to_numpy()))
     bag = [np.array(x, np.int64) for x in arrow.column("buckets").to_pylist()]
     bag = [bag[i] for i in order]
     y = np.eye(k)[arrow.column("label").to_numpy()[order]]
@@ -107,69 +110,66 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     return rows.mapInArrow(soft, "row long, doc_id long, n_tokens long, p array<double>")
 
 
-def rates_of(soft: pa.RecordBatch, steps: np.ndarray, scale: float, pull: float) -> np.ndarray:
-    """Rates after the steps: each takes a document's share of the domains' residuals, and the pull to 1."""
-    n = soft.column("n_tokens").to_numpy(zero_copy_only=False) * scale
-    p = np.array(soft.column("p").to_pylist()).reshape(len(n), -1)
-    r = np.ones(len(n))
-    for s in steps:
-        r = np.maximum(0, r - (n * (p @ s[:-1]) + s[-1] * pull * n * (r - 1)))
-    return r
-
-
-def fit(soft: DataFrame, weights: list[float], total: str | float = "same", pull: float = 1e-4, rounds: int = 40, close: float = 1e-4) -> dict:
-    """Steps that fit the rates to ``weights``. total: "same" keeps the expected number of tokens, "cover" takes
-    the least with which no domain loses any, a number is the tokens wanted."""
-    k = len(weights)
-    share = np.array(weights, float) / sum(weights)
-    sums = soft.agg(F.count("*"), F.sum("n_tokens"), *(F.sum(F.col("n_tokens") * F.col("p")[j]) for j in range(k)), *(F.sum(F.col("n_tokens") ** 2 * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(k)), F.max("n_tokens")).first()
-    if not sums[0]:
-        return {"steps": np.empty((0, k + 1)), "scale": 1.0, "pull": pull, "target": share, "reached": share}
-    now = np.array(sums[2 : 2 + k], float)
-    want = float(sums[1]) if total == "same" else float(max(now / np.maximum(share, 1e-12))) if total == "cover" else float(total)
-    scale = 1 / float(sums[1])
-    square = np.array(sums[2 + k : 2 + k + k * k], float).reshape(k, k) * scale * scale
-    target = want * share * scale
-    step = 1 / (float(np.linalg.eigvalsh(square)[-1]) + pull * float(sums[-1]) * scale)
-    # in each direction of the domains the step is that direction's own
-    values, vectors = np.linalg.eigh(square)
-    inverse = vectors @ np.diag(1 / np.maximum(values, values[-1] * 1e-6)) @ vectors.T
-    steps, reached = np.empty((0, k + 1)), now * scale
-    for _ in range(rounds):
-        gap = reached - target
-        if np.abs(gap).max() <= close * target.sum():
-            break
-        steps = np.vstack([steps, np.append(inverse @ gap, step)])
-        reached = _reached(soft, steps, scale, pull, k)
-    return {"steps": steps, "scale": scale, "pull": pull, "target": target / scale, "reached": reached / scale}
-
-
-def _reached(soft: DataFrame, steps: np.ndarray, scale: float, pull: float, k: int) -> np.ndarray:
-    schema = pa.schema([(f"s{j}", pa.float64()) for j in range(k)])
-
-    def part(batches):
-        for b in batches:
-            r = rates_of(b, steps, scale, pull)
-            n = b.column("n_tokens").to_numpy(zero_copy_only=False) * scale
-            p = np.array(b.column("p").to_pylist()).reshape(len(n), -1)
-            yield batch_of(schema, *([float(x)] for x in (r * n) @ p))
-
-    got = soft.mapInArrow(part, ", ".join(f"s{j} double" for j in range(k))).agg(*(F.sum(f"s{j}") for j in range(k))).first()
-    return np.array([x or 0.0 for x in got])
+def rate_of(p, steps):
+    """The rate of a posterior after all steps, a column or an array: 1 and the steps, projected on r >= 0."""
+    moved = 1.0 + sum(x * float(s) for x, s in zip(p, steps, strict=True))
+    return F.greatest(F.lit(0.0), moved) if isinstance(moved, Column) else np.maximum(0.0, moved)
+
+
+def fit(soft: DataFrame, weights: list[float], total: str | float = "same", pull: float = 1e-4, rounds: int = 60, close: float = 1e-7) -> dict:
+    """Rates with the least sum of the squared gaps of the domains' tokens to their targets (as shares of all
+    tokens) and pull times the squared distance of rates to 1, weighted by tokens. total: "same" keeps the expected
+    number of tokens, "cover" takes the least with which no domain loses any, a number is the tokens wanted.
+
+    Raises RuntimeError when the slope isn't ``close`` to 0 after so many rounds."""
+    k, share = len(weights), np.array(weights, float) / sum(weights)
+    n, p = F.col("n_tokens").cast("double"), [F.col("p")[j] for j in range(k)]
+
+    def measured(steps: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray]:
+        """All tokens; and of the rates after the steps the domains' tokens, the squares, and the products of the
+        posteriors where the rate is above 0: the sums that a step needs, in one pass over the documents."""
+        r = rate_of(p, steps)
+        on = F.when(r > 0, n)
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        row = soft.agg(F.sum(n), *(F.sum(n * r * x) for x in p), F.sum(n * r * r), *(F.sum(on * p[i] * p[j]) for i, j in pairs)).first()
+        found = np.array([x or 0.0 for x in row], float)
+        square = np.zeros((k, k))
+        for (i, j), x in zip(pairs, found[k + 2 :]):
+            square[i, j] = square[j, i] = x
+        all_ = found[0] or 1.0
+        return found[0], found[1 : k + 1] / all_, found[k + 1] / all_, square / all_
+
+    steps = np.zeros(k)
+    tokens, reached, squares, square = measured(steps)
+    if not tokens:
+        return {"steps": steps, "target": share, "reached": share, "rounds": 0}
+    want = 1.0 if total == "same" else float(max(reached / np.maximum(share, 1e-12))) if total == "cover" else float(total) / tokens
+    target = want * share
+
+    def height(steps, squares):
+        """What the steps bring down: its slope is the gap and the pull."""
+        return 0.5 * squares - float(target @ steps) + 0.5 * pull * float(steps @ steps)
+
+    for done in range(rounds):
+        slope = reached - target + pull * steps
+        if np.abs(slope).max() <= close * want:
+            return {"steps": steps, "target": target * tokens, "reached": reached * tokens, "rounds": done}
+        move, size, now = np.linalg.solve(square + pull * np.eye(k), slope), 1.0, height(steps, squares)
+        while True:
+            then = steps - size * move
+            _, reached, new, square = measured(then)
+            if height(then, new) <= now + 1e-12 or size < 1e-6:
+                break
+            size /= 2
+        steps, squares = then, new
+    raise RuntimeError(f"the rates didn't settle in {rounds} rounds: reached {reached * tokens}, wanted {target * tokens}")
 
 
 def with_rates(soft: DataFrame, fitted: dict, seed: int = 11) -> DataFrame:
     """(row, doc_id, n_tokens, p, rate, copies): copies is the rate rounded up or down by a hash of the row."""
-    steps, scale, pull = fitted["steps"], fitted["scale"], fitted["pull"]
-    schema = pa.schema([*_SOFT, ("rate", pa.float64()), ("copies", pa.int64())])
-
-    def rated(batches):
-        for b in batches:
-            r = rates_of(b, steps, scale, pull)
-            u = np.array([xxhash.xxh3_64_intdigest(f"{d} {k}", seed) for d, k in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), strict=True)], np.float64) / 2**64
-            yield batch_of(schema, *(b.column(c) for c in ("row", "doc_id", "n_tokens", "p")), r, np.floor(r + u).astype(np.int64))
-
-    return soft.mapInArrow(rated, "row long, doc_id long, n_tokens long, p array<double>, rate double, copies long")
+    rate = rate_of([F.col("p")[j] for j in range(len(fitted["steps"]))], fitted["steps"])
+    part = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "row"), 11) / float(1 << 53)
+    return soft.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + part).cast("long"))
 
 
 #: Domains by the label columns: plain text, poor text, toxic text.
@@ -181,31 +181,27 @@ def label_domain():
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: list[float], domains: list[str] = DOMAINS, total: str | float = "same") -> DataFrame:
-    """doc_id, n_tokens, a posterior column for each domain, rate and copies of each row."""
+    """doc_id, n_tokens, a posterior column for each domain, rate and copies of each row; and for each domain the
+    tokens aimed at and reached by the rates, which are alike in all rows."""
     soft = materialise(memberships(docs, train(docs, labels, label_domain(), domains)), "memberships")
-    rows = with_rates(soft, fit(soft, weights, total))
-    return rows.select("doc_id", "n_tokens", *(F.col("p")[j].alias(f"p_{d}") for j, d in enumerate(domains)), "rate", "copies")
+    fitted = fit(soft, weights, total)
+    of_all = [F.lit(float(fitted[what][j])).alias(f"{what}_{d}") for what in ("target", "reached") for j, d in enumerate(domains)]
+    return with_rates(soft, fitted).select("doc_id", "n_tokens", *(F.col("p")[j].alias(f"p_{d}") for j, d in enumerate(domains)), "rate", "copies", *of_all)
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, weights: list[float], domains: list[str] = DOMAINS) -> DataFrame:
     """The rows of docs, each as often as its rate says and at least once, with all their columns. The targets
     cover what every domain has, so that only rows of domains with too little are repeated."""
     model = train(docs, labels, label_domain(), domains)
-    soft = materialise(memberships(docs, model), "memberships")
-    fitted = fit(soft, weights, "cover")
-    steps, scale, pull, w, bias = fitted["steps"], fitted["scale"], fitted["pull"], model.weights, model.bias
+    steps, w, bias = fit(materialise(memberships(docs, model), "memberships"), weights, "cover")["steps"], model.weights, model.bias
 
     def repeated(batches):
-        own = Classifier(w, bias)
-        row, part = 0, TaskContext.get().partitionId()
+        own, row, part = Classifier(w, bias), 0, TaskContext.get().partitionId()
         for b in split_batches(batches, 4 << 20):
-            texts = [(t or "").encode() for t in b.column("text").cast(pa.string()).to_pylist()]
-            ids = b.column("doc_id").to_pylist()
-            some = batch_of(_SOFT, [0] * len(texts), pa.array([0] * len(texts), pa.int64()), [len(t.split()) + 1 for t in texts], [own.posterior(t).tolist() for t in texts])
-            r = rates_of(some, steps, scale, pull)
-            u = np.array([xxhash.xxh3_64_intdigest(f"{d} {part} {row + i}", 11) for i, d in enumerate(ids)], np.float64) / 2**64
-            row += len(texts)
-            copies = np.maximum(1, np.floor(r + u).astype(np.int64))
-            yield b.take(pa.array(np.repeat(np.arange(len(texts)), copies)))
+            p = np.array([own.posterior((t or "").encode()) for t in b.column("text").cast(pa.string()).to_pylist()]).reshape(b.num_rows, -1)
+            u = np.array([xxhash.xxh3_64_intdigest(f"{d} {part} {row + i}", 11) for i, d in enumerate(b.column("doc_id").to_pylist())], np.float64) / 2**64
+            row += b.num_rows
+            copies = np.maximum(1, np.floor(rate_of(p.T, steps) + u).astype(np.int64)) if b.num_rows else np.empty(0, np.int64)
+            yield b.take(pa.array(np.repeat(np.arange(b.num_rows), copies)))
 
     return docs.mapInArrow(repeated, docs.schema)

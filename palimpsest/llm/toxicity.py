@@ -193,7 +193,7 @@ def diverse(words: list[str], chosen: list[str], until: int) -> list[str]:
 def learn(texts: list[str], labels: list[int], most_landmarks: int = 192, rounds: int = 4, pull: float = 1e-4) -> dict:
     """A model from texts and their labels, 0 or 1. A quarter of the rows is for the curve alone."""
     label = (np.array(labels) > 0).astype(np.int64)
-    if label.min(initial=1) == label.max(initial=0):
+    if len({*label.tolist()}) < 2:
         return {"machine": None, "share": float(label.max(initial=0))}
     vocabulary: dict[str, int] = {}
     names: list[str] = []

@@ -537,6 +537,31 @@ def test_mixing_meets_its_targets(spark, none):
     assert {r["copies"] for r in M.mix(docs, table.limit(0), [1, 1, 1]).collect()} <= {0, 1, 2}
 
 
+def least_squares(n, p, target, pull):
+    """Rates by many small steps of plain projected gradient descent."""
+    r, share = np.ones(len(n)), n / n.sum()
+    a = (share[:, None] * p).T
+    step = 1 / (np.linalg.norm(a / np.sqrt(share), 2) ** 2 + pull)
+    for _ in range(200_000):
+        r = np.maximum(0, r - step * (a.T @ (a @ r - target) / share + pull * (r - 1)))
+    return r
+
+
+@pytest.mark.parametrize("weights", [[0.6, 0.3, 0.1], [0.05, 0.05, 0.9], [1, 0, 0]])
+def test_rates_are_those_of_least_squares(spark, weights):
+    r = np.random.default_rng(3)
+    n, p = r.integers(1, 500, 60), r.dirichlet([0.5, 0.3, 0.2], 60)
+    n[:3], p[:3] = 100, p[3]  # ties
+    soft = spark.createDataFrame([(i, i, int(x), y.tolist()) for i, (x, y) in enumerate(zip(n, p))], "row long, doc_id long, n_tokens long, p array<double>")
+    fitted = M.fit(soft, weights, pull=1e-2)
+    got = [x["rate"] for x in M.with_rates(soft, fitted).orderBy("row").collect()]
+    want = least_squares(n.astype(float), p, np.array(weights) / sum(weights), 1e-2)
+    assert np.abs(np.array(got) - want).max() < 1e-3 and fitted["rounds"] < 30
+    assert fitted["reached"].tolist() == pytest.approx(((np.array(got) * n) @ p).tolist())
+    with pytest.raises(RuntimeError):
+        M.fit(soft, weights, rounds=1)
+
+
 def test_toxicity_on_held_out_rows(spark, none):
     pairs, labels = labelled(spark)
     extra = [(900, "a quiet river"), (901, None), (902, ""), (None, "some text")]
