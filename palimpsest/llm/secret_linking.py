@@ -1,16 +1,19 @@
 """Secret scans that link the parts of a credential, in DataFrame functions only.
 
 Passwords and tokens that a name is assigned to, access keys and long hexadecimal strings are reported as they
-stand. Weak candidates (account names, bare keys, endpoints) are reported only where a part that completes them
-lies in the same text with at most ``scope`` characters between the two spans, none where they touch or overlap:
-with spans in order of their starts, the largest end so far and the next start of each role are its interval join
+stand. Weak candidates are reported only where parts that complete them lie in the same text with at most ``scope``
+characters between the spans, none where they touch or overlap: an account name with a secret or a bare key, a bare
+key with an access key or an account name, an endpoint with a secret, or with a bare key and an identifier. An
+endpoint alone doesn't vouch for a bare key, nor the key for it.
+
+With spans in order of their starts, the largest end so far and the next start of each role are its interval join
 with the other parts, which makes no pairs. A weak span may hold or cross one of the others, as an endpoint does
 that has its secret in it; one that lies within an assignment, access key or hexadecimal string is that one's text.
 
 Positions come from the pieces between matches: a match starts after all pieces and matches before it.
 
 Edge cases: null or empty texts have no spans; rows that agree in doc_id and text are scanned once and given
-back as often as they came; a null doc_id is kept; an empty table gives no rows; other columns are ignored.
+back as often as they came (texts of one doc_id are told apart by length and a 64-bit hash); a null doc_id is kept; an empty table gives no rows; other columns are ignored.
 Characters are code points.
 """
 
@@ -29,17 +32,17 @@ KINDS = [
     ("endpoint", r"""(?i:https?|ftp|postgres|postgresql|mysql|redis|amqp|mongodb|s3)://[^\x20\x09-\x0D"'<>]{4,}|(?i:endpoint|hostname)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.:/-]{4,}""", 0, 4),
 ]
 BASE = 3
-IDENTIFIERS, SECRETS, ENDPOINTS = (2, 4), (1, 3, 5), (6,)
-#: What completes a weak kind.
-COMPLEMENTS = {4: SECRETS, 5: IDENTIFIERS + ENDPOINTS, 6: SECRETS}
+ACCOUNT, BARE, ENDPOINT = 4, 5, 6
+#: What can complete weak parts: identifiers, secrets that stand by themselves, and bare keys.
+ROLES = {"identifier": (2, ACCOUNT), "secret": (1, 3), "bare": (BARE,)}
 
 
 def _matches(text: Column, number: int, pattern: str, group: int) -> Column:
     """An array of (kind, pos, gap before, length, length that counts) of the pattern's matches."""
-    found = F.transform(
-        F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"), F.slice(F.split(text, pattern, -1), 1, F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("s")),
-        lambda x, i: F.struct(F.lit(number).alias("kind"), i.alias("pos"), F.length(x["s"]).alias("gap"), F.length(x["m"]).alias("size"), F.length(x["g"]).alias("counts")),
-    )
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+    zipped = F.filter(F.arrays_zip(whole.alias("m"), counted.alias("g"), F.split(text, pattern, -1).alias("s")), lambda x: x["m"].isNotNull())
+    found = F.transform(zipped, lambda x, i: F.struct(F.lit(number).alias("kind"), i.alias("pos"), F.length(x["s"]).alias("gap"), F.length(x["m"]).alias("size"), F.length(x["g"]).alias("counts")))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<kind:int,pos:int,gap:int,size:int,counts:int>>"))
 
 
@@ -74,14 +77,12 @@ def linked_secrets(docs: DataFrame, scope: int = 400) -> DataFrame:
         after = F.min(F.when(of_role, F.col("start"))).over(onward) <= F.col("end") + scope
         return (F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))).cast("int")
 
-    seen = apart.select("*", *(reached(kinds).alias(name) for name, kinds in (("i", IDENTIFIERS), ("s", SECRETS), ("e", ENDPOINTS))))
+    seen = apart.select("*", *(reached(kinds).alias(role) for role, kinds in ROLES.items()))
+    near = {role: F.col(role) == 1 for role in ROLES}
+    whole = {ACCOUNT: near["secret"] | near["bare"], BARE: near["identifier"], ENDPOINT: near["secret"] | (near["bare"] & near["identifier"])}
     linked = base
-    for weak, parts in COMPLEMENTS.items():
-        some = F.lit(False)
-        for name, kinds in (("i", IDENTIFIERS), ("s", SECRETS), ("e", ENDPOINTS)):
-            if kinds[0] in parts:
-                some = some | (F.col(name) == 1)
-        linked = linked | ((F.col("kind") == weak) & some)
+    for kind, parts in whole.items():
+        linked = linked | ((F.col("kind") == kind) & parts)
     kept = seen.where(linked)
 
     names = F.array(*(F.lit(k[0]) for k in KINDS))

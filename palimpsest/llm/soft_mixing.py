@@ -116,7 +116,7 @@ def rate_of(p, steps):
     return F.greatest(F.lit(0.0), moved) if isinstance(moved, Column) else np.maximum(0.0, moved)
 
 
-def fit(soft: DataFrame, weights: list[float], total: str | float = "same", pull: float = 1e-4, rounds: int = 60, close: float = 1e-7) -> dict:
+def fit(soft: DataFrame, weights: list[float], total: str | float = "same", pull: float = 1e-5, rounds: int = 60, close: float = 1e-7) -> dict:
     """Rates with the least sum of the squared gaps of the domains' tokens to their targets (as shares of all
     tokens) and pull times the squared distance of rates to 1, weighted by tokens. total: "same" keeps the expected
     number of tokens, "cover" takes the least with which no domain loses any, a number is the tokens wanted.
