@@ -1,6 +1,6 @@
 """Licence scans by the Dice coefficient over word bigrams, in DataFrame functions only.
 
-A text is read as a whole, by paragraphs and by lines. Each such unit is normalised (lower case, runs of other
+A text is read as a whole, by paragraphs, by lines, and by sentences of lines. Each such unit is normalised (lower case, runs of other
 characters than a-z and 0-9 as one space), and its set of word bigrams is compared with each template's. With a
 coefficient of at least ``least``, t, a unit's set of a bigrams and a template's of b obey
 t / (2 - t) * b <= a <= (2 - t) / t * b; other pairs aren't compared. By the same bound a unit lacks at most
@@ -40,6 +40,38 @@ TEMPLATES = [
     ("mit-permission", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."),
     ("bsd-redistribution", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
     ("apache-2.0-notice", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0."),
+    ("cc-by-4.0-short", "Licensed under CC BY 4.0."),
+    ("cc-by-sa-4.0-short", "Licensed under CC BY-SA 4.0."),
+    ("cc-by-nc-4.0-short", "Licensed under CC BY-NC 4.0."),
+    ("cc-by-nd-4.0-short", "Licensed under CC BY-ND 4.0."),
+    ("cc-by-nc-sa-4.0-short", "Licensed under CC BY-NC-SA 4.0."),
+    ("cc-by-nc-nd-4.0-short", "Licensed under CC BY-NC-ND 4.0."),
+    ("cc-by-nc-4.0-statement", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-nd-4.0-statement", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc-by-nc-sa-4.0-statement", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("cc-by-nc-nd-4.0-statement", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("epl-2.0-statement", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0."),
+    ("epl-2.0-licensed", "Licensed under the Eclipse Public License, version 2.0."),
+    ("artistic-2.0-statement", "This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0."),
+    ("bsl-1.0-statement", "Distributed under the Boost Software License, Version 1.0."),
+    ("zlib-warranty", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("zlib-permission", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("mit-permission-full", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("mit-notice", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit-warranty", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("isc-warranty", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("bsd-source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd-binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd-3-names", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-warranty", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("apache-2.0-header", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache-2.0-warranty", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("mpl-2.0-header", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("gpl-2.0-notice", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("gpl-warranty", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("lgpl-notice", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("unlicense-anyone", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
 ]
 
@@ -79,7 +111,7 @@ def license_matches(docs: DataFrame, least: float = 0.8, templates: list[tuple[s
     low, high = least / (2 - least), (2 - least) / least
 
     text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    units = F.concat(F.array("t"), F.split("t", "\n[ \\t\\r]*\n"), F.split("t", "\n"))
+    units = F.concat(F.array("t"), F.split("t", "\n[ \\t\\r]*\n"), F.split("t", "\n"), F.split(F.regexp_replace("t", "([.!?])[ \\t]+", "$1\n"), "\n"))
     near = F.filter(F.array_distinct(units), lambda u: u.rlike(pattern))
     # at most longest bigrams of a long unit could match, so that its words needn't be bounded from above here
     words = F.filter(F.transform(near, lambda u: F.split(F.trim(F.regexp_replace(u, "[^a-z0-9]+", " ")), " ")), lambda w: F.size(w) - 1 >= low * shortest)
@@ -97,12 +129,12 @@ def license_matches(docs: DataFrame, least: float = 0.8, templates: list[tuple[s
 
 def oracle(least: float = 0.8) -> str:
     """The same in SQL, without anchors or bounds."""
-    values = ", ".join(f"({k}, '{name}', '{' '.join(normal_words(t))}')" for k, (name, t) in enumerate(TEMPLATES))
+    values = ", ".join(f"({k}, '{name}', '{' '.join(normal_words(t))}')" for k, (name, t) in enumerate(TEMPLATES))  # normalised words hold no quotes
     return f"""
         WITH t AS (SELECT k, name, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS own
                    FROM (SELECT k, name, string_split(body, ' ') AS w FROM (VALUES {values}) v(k, name, body))),
         d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
-        u AS (SELECT DISTINCT doc_id, unnest(list_concat([t], string_split_regex(t, '\\n[ \\t\\r]*\\n'), string_split(t, '\\n'))) AS unit FROM d),
+        u AS (SELECT DISTINCT doc_id, unnest(list_concat([t], string_split_regex(t, '\\n[ \\t\\r]*\\n'), string_split(t, '\\n'), string_split(regexp_replace(t, '([.!?])[ \\t]+', '\\1' || '\\n', 'g'), '\\n'))) AS unit FROM d),
         w AS (SELECT doc_id, unit, string_split(trim(regexp_replace(unit, '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM u),
         b AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS own FROM w WHERE len(w) > 1),
         s AS (SELECT doc_id, unit, k, name, round(2.0 * len(list_intersect(b.own, t.own)) / (len(b.own) + len(t.own)), 6) AS dice
