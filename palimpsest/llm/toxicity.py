@@ -67,25 +67,36 @@ def folded(word: str) -> str:
     return BEGIN + (word if word.isalnum() else _ODD.sub("", word))
 
 
+def _narrow(chars: np.ndarray) -> np.ndarray:
+    """Characters in 16 bits; those beyond are folded into them."""
+    return ((chars >> np.uint32(16)) * np.uint32(40503) + chars & np.uint32(0xFFFF)).astype(np.uint64)
+
+
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, code, weight) of the words' subsequences, codes ascending in a word and each once."""
-    lengths = np.array([len(w) for w in words], np.int64)
-    chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(words)), lengths)
-    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(chars))
-    rows, codes, weights = [], [], []
-    for i, j in _GAPS:
-        at = np.flatnonzero(left > j)
-        rows.append(owner[at])
-        codes.append(chars[at] << np.uint64(42) | chars[at + i] << np.uint64(21) | chars[at + j])
-        weights.append(np.full(len(at), DECAY ** (j + 1)))
-    row, code, weight = (np.concatenate(x) for x in (rows, codes, weights))
-    order = np.lexsort((code, row))
-    row, code, weight = row[order], code[order], weight[order]
-    if not len(row):
-        return row, code, weight
-    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])]))
-    return row[first], code[first], np.add.reduceat(weight, first)
+    """(word, code, weight) of the words' subsequences, each once for a word; words of a length are taken together,
+    and a subsequence's code has its gap's class in the lowest bits while they are sorted."""
+    by_length: dict[int, list[int]] = {}
+    for k, w in enumerate(words):
+        by_length.setdefault(len(w), []).append(k)
+    rows, codes, weights = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0)]
+    of_class = DECAY ** (np.arange(8) + 3.0)
+    for n, which in by_length.items():
+        spans = [(a, a + i, a + j, j) for i, j in _GAPS for a in range(n - j)]
+        if not spans:
+            continue
+        first, second, third, gap = (np.array(x) for x in zip(*spans))
+        chars = _narrow(np.frombuffer("".join([words[k] for k in which]).encode("utf-32-le"), np.uint32)).reshape(len(which), n)
+        keys = chars[:, first] << np.uint64(35) | chars[:, second] << np.uint64(19) | chars[:, third] << np.uint64(3) | (gap - 2).astype(np.uint64)
+        keys.sort(axis=1)
+        code = (keys >> np.uint64(3)).ravel()
+        new = np.empty(code.shape, bool)
+        new[1:] = code[1:] != code[:-1]
+        new[:: len(spans)] = True
+        at = np.flatnonzero(new)
+        rows.append(np.array(which)[at // len(spans)])
+        codes.append(code[at])
+        weights.append(np.add.reduceat(of_class[(keys & np.uint64(7)).ravel()], at))
+    return np.concatenate(rows), np.concatenate(codes), np.concatenate(weights)
 
 
 def normalised(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,35 +105,67 @@ def normalised(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r, c, w / np.sqrt(np.maximum(np.bincount(r, w * w, len(words)), 1e-24))[r] if len(r) else w
 
 
-def kernel(words: list[str], landmarks: list[str], power: int = POWER, some: int = 20_000) -> np.ndarray:
-    """Normalised kernel values to a power, words by landmarks."""
-    lr, lc, lw = normalised(landmarks)
-    order = np.argsort(lc, kind="stable")
-    lr, lc, lw = lr[order], lc[order], lw[order]
-    out = np.zeros((len(words), len(landmarks)), np.float32)
-    for a in range(0, len(words) if len(lc) else 0, some):
-        r, c, w = normalised(words[a : a + some])
-        low = np.searchsorted(lc, c)
-        n = np.searchsorted(lc, c, "right") - low
-        hit = np.flatnonzero(n)
-        r, w, low, n = r[hit], w[hit], low[hit], n[hit]
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - n), n)
-        size = len(words[a : a + some])
-        flat = np.bincount(np.repeat(r, n) * len(landmarks) + lr[at], np.repeat(w, n) * lw[at], size * len(landmarks))
-        out[a : a + size] = flat.reshape(size, -1)
-    return np.power(out, power, out=out)
+class Landmarks:
+    """The landmarks' subsequences, found by the numbers of their characters."""
+
+    def __init__(self, words: list[str]):
+        self.n = len(words)
+        r, c, w = normalised(words)
+        order = np.argsort(c, kind="stable")
+        self.row, self.weight = r[order], w[order]
+        names, self.first, self.length = np.unique(c[order], return_index=True, return_counts=True)
+        letters = np.unique(np.concatenate([names >> np.uint64(s) & np.uint64(0xFFFF) for s in (32, 16, 0)]))
+        self.size = len(letters) + 1
+        self.letter = np.zeros(1 << 16, np.int64)
+        self.letter[letters.astype(np.int64)] = np.arange(1, self.size)
+        self.names = names
+        self.place = None
+        if self.size <= 128:
+            self.place = np.full(self.size**3, -1, np.int32)
+            self.place[self._spot(names)] = np.arange(len(names))
+
+    def _spot(self, codes: np.ndarray) -> np.ndarray:
+        a, b, c = (self.letter[codes >> np.uint64(s) & np.uint64(0xFFFF)] for s in (32, 16, 0))
+        return (a * self.size + b) * self.size + c
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the codes the landmarks have, and their places."""
+        if self.place is not None:
+            at = self.place[self._spot(codes)]
+            hit = np.flatnonzero(at >= 0)
+            return hit, at[hit]
+        at = np.minimum(np.searchsorted(self.names, codes), max(len(self.names) - 1, 0))
+        hit = np.flatnonzero(self.names[at] == codes) if len(self.names) else np.empty(0, np.int64)
+        return hit, at[hit]
+
+    def kernel(self, words: list[str], power: int = POWER, some: int = 10_000) -> np.ndarray:
+        """Normalised kernel values to a power, words by landmarks."""
+        out = np.zeros((len(words), self.n), np.float32)
+        for a in range(0, len(words), some):
+            r, c, w = normalised(words[a : a + some])
+            hit, at = self.find(c)
+            r, w, n, low = r[hit], w[hit], self.length[at], self.first[at]
+            ends = np.cumsum(n)
+            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - n), n)
+            size = len(words[a : a + some])
+            flat = np.bincount(np.repeat(r * self.n, n) + self.row[at], np.repeat(w, n) * self.weight[at], size * self.n)
+            out[a : a + size] = flat.reshape(size, -1)
+        return np.power(out, power, out=out)
+
+
+def kernel(words: list[str], landmarks: list[str], power: int = POWER) -> np.ndarray:
+    return Landmarks(landmarks).kernel(words, power)
 
 
 class Machine:
     """A weight for each landmark, and a bias."""
 
     def __init__(self, landmarks: list[str], alpha: np.ndarray, bias: float):
-        self.landmarks, self.alpha, self.bias = landmarks, alpha, bias
+        self.landmarks, self.alpha, self.bias = Landmarks(landmarks), alpha, bias
 
     def weights_of(self, words: list[str]) -> np.ndarray:
         """What each word adds to a sentence's margin."""
-        return kernel(words, self.landmarks) @ self.alpha
+        return self.landmarks.kernel(words) @ self.alpha
 
 
 def least_squared_hinge(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], start: np.ndarray, pull: float, some: int = 8192) -> np.ndarray:
@@ -297,7 +340,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> dict:
 class Scorer:
     """Largest margins of texts; holds the weights of up to ``most`` words."""
 
-    def __init__(self, machine: Machine, most: int = 300_000):
+    def __init__(self, machine: Machine, most: int = 500_000):
         self.machine, self.most, self.known = machine, most, {}
 
     def margins(self, texts: list[str]) -> np.ndarray:
