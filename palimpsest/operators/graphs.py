@@ -7,32 +7,25 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import numbered, written
 from ..functions.scalars import first_match
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int | None) -> DataFrame:
     """(seed, node, depth): nodes within ``depth`` steps of each seed with the least depth, or without one, all
-    nodes that a seed reaches. A step expands only what the one before found, and keeps what wasn't known."""
-    e = edges.select("src", "dst").distinct()
-    known = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct()
-    frontier = known
+    nodes that a seed reaches. A step expands only what the one before found, and keeps what wasn't known; each
+    step is written, so that later ones don't repeat it."""
+    e = written(edges.select("src", "dst").distinct())
+    known = frontier = written(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct())
     for d in count(1) if depth is None else range(1, depth + 1):
         step = frontier.join(e, frontier["node"] == e["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = step.join(known.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(d))
-        if has_checkpoint(frontier):
-            frontier = frontier.checkpoint()
-        elif depth is None:  # each step is asked whether it is the last, and must not repeat those before
-            frontier = frontier.localCheckpoint()
-        if depth is None and frontier.isEmpty():
+        frontier = written(step.join(known.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(d)))
+        if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
     return known
 
 
-def has_checkpoint(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-
-
 def bfs_subgraph(edges: DataFrame, start: int, depth: int, most_nodes: int) -> DataFrame:
     """(node, depth) around a node, both ways along edges; at most most_nodes, the nearest and then the least."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -53,23 +46,56 @@ def shortest_path(edges: DataFrame, start: int, depth: int) -> DataFrame:
     spark = edges.sparkSession
     e = edges.select("src", "dst").distinct()
     known = spark.createDataFrame([(start,)], f"node {dict(edges.dtypes)['src']}").select("node", F.lit(0).alias("distance"), F.array(F.col("node").cast("long")).alias("p"))
-    frontier = known
-    for d in count(1) if depth is None else range(1, depth + 1):
+    e, frontier = written(e), known
+    for d in range(1, depth + 1):
         step = frontier.join(e, frontier["node"] == e["src"]).groupBy("dst").agg(F.min(F.concat("p", F.array(F.col("dst").cast("long")))).alias("p")).select(F.col("dst").alias("node"), F.lit(d).alias("distance"), "p")
-        frontier = step.join(known.select("node"), "node", "left_anti")
+        frontier = written(step.join(known.select("node"), "node", "left_anti"))
+        if frontier.isEmpty():
+            break
         known = known.unionByName(frontier)
     return known.select("node", "distance", F.array_join(F.transform("p", lambda x: x.cast("string")), ">").alias("path"))
 
 
-def scc_cycles(edges: DataFrame, depth: int | None = None) -> DataFrame:
-    """(node, component) of the nodes on cycles: those that reach each other, by the least node. ``depth`` bounds
-    the steps and is at least the number of nodes of the largest cycle; without it steps go on until nothing new
-    is found. Loops of one node count."""
-    nodes = edges.select(F.col("src").alias("node")).distinct()
-    paths = reach(edges, nodes, depth).where("depth > 0").select("seed", "node")
-    loops = edges.where("src = dst").select(F.col("src").alias("seed"), F.col("dst").alias("node"))
-    back = paths.select(F.col("node").alias("seed"), F.col("seed").alias("node"))
-    return paths.join(back, ["seed", "node"]).unionByName(loops).groupBy("seed").agg(F.min("node").alias("low")).select(F.col("seed").alias("node"), F.least("seed", "low").alias("component"))
+def spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label): the largest of the labels (node, label) of all nodes that reach a node along edges, its own
+    included, by rounds of joins in which only nodes whose label grew pass it on."""
+    known = changed = written(labels.select("node", "label"))
+    while not changed.isEmpty():
+        passed = changed.join(edges, changed["node"] == edges["src"]).groupBy("dst").agg(F.max("label").alias("passed"))
+        joined = known.join(passed, known["node"] == passed["dst"], "left").select("node", "label", "passed")
+        joined = written(joined.select("node", F.coalesce(F.greatest("label", "passed"), "label").alias("label"), (F.col("passed") > F.col("label")).alias("grew")))
+        known, changed = joined.select("node", "label"), joined.where("grew").select("node", "label")
+    return known
+
+
+def scc_cycles(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes on cycles: those that reach each other, by the least node. Loops of one node
+    count. By colouring: each node takes the largest node that reaches it; those of a colour that reach the node of
+    that colour, backwards within the colour, are its component and leave the graph, and the rest go on. Nodes
+    without a way in or out leave first. No pairs of nodes are made."""
+    rest = written(edges.select("src", "dst").distinct())
+    loops = rest.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
+    rest, found = written(rest.where("src <> dst")), None
+    while not rest.isEmpty():
+        trimmed = written(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        if trimmed.count() < rest.count():
+            rest = trimmed
+            continue
+        nodes = rest.select(F.col("src").alias("node")).distinct()
+        colours = spread(rest, nodes.withColumn("label", F.col("node")))
+        within = written(
+            rest.join(colours.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(colours.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "a")
+        )
+        # backwards from the roots within their colours: 1 where a root is reached
+        reached = spread(within.select("src", "dst"), colours.select("node", (F.col("node") == F.col("label")).cast("int").alias("label"))).where("label = 1").select("node")
+        members = colours.join(reached, "node", "left_semi").select("node", F.col("label").alias("root"))
+        of_root = members.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
+        some = written(members.join(of_root, "root").select("node", "component"))
+        found = some if found is None else found.unionByName(some)
+        gone = written(reached)
+        rest = written(rest.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    alone = loops if found is None else loops.join(found, "node", "left_anti")
+    return alone if found is None else found.unionByName(alone)
 
 
 def cycle_fingerprints(components: DataFrame) -> DataFrame:
@@ -86,15 +112,17 @@ def graph_view(edges: DataFrame, metrics: DataFrame, most_nodes: int) -> DataFra
 
 #: Layers by words of a path, in the order in which they are tried.
 LAYERS = [
-    ("presentation", "ui views pages components frontend"), ("api", "api routes endpoints"), ("controller", "controller controllers"), ("service", "service services"), ("domain", "domain"),
-    ("repository", "repository repositories dao"), ("database", "database db model models migrations"), ("infrastructure", "infrastructure infra"), ("utility", "util utils helpers"), ("test", "test tests spec specs"),
+    ("presentation", ["ui", "views", "pages", "components", "frontend"]), ("api", ["api", "routes", "endpoints"]), ("controller", ["controller", "controllers"]),
+    ("service", ["service", "services"]), ("domain", ["domain"]), ("repository", ["repository", "repositories", "dao"]),
+    ("database", ["database", "db", "model", "models", "migrations"]), ("infrastructure", ["infrastructure", "infra"]), ("utility", ["util", "utils", "helpers"]),
+    ("test", ["test", "tests", "spec", "specs"]),
 ]
 
 
 def layer_of(path: Column) -> Column:
     """The layer that a path's words name, or unknown."""
     words = F.split(F.lower(path), "[^a-z0-9]+")
-    return first_match([(F.arrays_overlap(words, F.array(*map(F.lit, v.split()))), k) for k, v in LAYERS], "unknown")
+    return first_match([(F.arrays_overlap(words, F.array(*map(F.lit, v))), k) for k, v in LAYERS], "unknown")
 
 
 def rule_violations(edges: DataFrame, rules: DataFrame, layers: DataFrame, least: float = 0.8) -> DataFrame:
@@ -110,11 +138,10 @@ def rule_violations(edges: DataFrame, rules: DataFrame, layers: DataFrame, least
 
 def select_snapshots(commits: DataFrame, n: int, most: int) -> DataFrame:
     """Every nth commit, the first, the last and the tagged ones; of these the last ``most`` and the first."""
-    w = Window.orderBy("moment", "commit_id")
-    rows = commits.withColumn("k", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy()))
-    chosen = rows.where((F.pmod(F.col("k") - 1, F.lit(n)) == 0) | (F.col("k") == F.col("n")) | F.col("tagged"))
-    back = F.row_number().over(Window.orderBy(F.col("k").desc()))
-    return chosen.withColumn("b", back).where((F.col("b") < most) | (F.col("k") == 1)).select("commit_id", "moment")
+    rows, total = numbered(commits, "k", "moment", "commit_id")
+    chosen = rows.where((F.pmod(F.col("k") - 1, F.lit(n)) == 0) | (F.col("k") == total) | F.col("tagged"))
+    last = chosen.orderBy(F.desc("k")).limit(most - 1)
+    return last.unionByName(chosen.where("k = 1")).distinct().select("commit_id", "moment")
 
 
 def directory_rollup(files: DataFrame) -> DataFrame:

@@ -62,9 +62,8 @@ def interval_join(points: DataFrame, intervals: DataFrame) -> DataFrame:
 TIERS = [("qualified", 0.98), ("same_file", 0.95), ("imported", 0.90), ("same_module", 0.82), ("unique", 0.72)]
 
 
-def resolve_references(candidates: DataFrame, most: int = 20) -> DataFrame:
-    """(ref, target, tier, confidence) of rows (ref, symbol, tier): the first tier with exactly one symbol; the
-    last tier gives up beyond ``most`` symbols anyway."""
+def resolve_references(candidates: DataFrame) -> DataFrame:
+    """(ref, target, tier, confidence) of rows (ref, symbol, tier): the first tier with exactly one symbol."""
     per = candidates.groupBy("ref", "tier").agg(F.count_distinct("symbol").alias("n"), F.min("symbol").alias("symbol")).where("n = 1")
     order = F.create_map(*(x for i, (t, _) in enumerate(TIERS) for x in (F.lit(t), F.lit(i))))
     sure = F.create_map(*(x for t, c in TIERS for x in (F.lit(t), F.lit(c))))
@@ -107,7 +106,8 @@ def status_normalize(rows: DataFrame) -> DataFrame:
     return rows.select("key", F.when(F.col("state").isNull(), "missing").when(F.col("state") == "failed", "failed").when(F.col("state") == "running", "running").when(stale, "stale").otherwise("ready").alias("status"))
 
 
-def parse_status(files: DataFrame, most_bytes: int, languages: list[str]) -> DataFrame:
-    """(file_id, status): the first of excluded, too large, binary and unsupported, else parsed."""
-    s = F.when(F.col("path").rlike(r"(^|/)(node_modules|vendor|dist|build)/"), "excluded").when(F.col("size_bytes") > most_bytes, "too_large").when(F.col("is_binary"), "binary").when(~F.col("language").isin(languages), "unsupported").otherwise("parsed")
+def parse_status(files: DataFrame, most_bytes: int) -> DataFrame:
+    """(file_id, status) of files (file_id, path, size_bytes, is_binary, supported): the first of excluded, too
+    large, binary and unsupported, else parsed."""
+    s = F.when(F.col("path").rlike(r"(^|/)(node_modules|vendor|dist|build)/"), "excluded").when(F.col("size_bytes") > most_bytes, "too_large").when(F.col("is_binary"), "binary").when(~F.col("supported"), "unsupported").otherwise("parsed")
     return files.select("file_id", s.alias("status"))

@@ -46,11 +46,13 @@ def knowledge_concentration(knowledge: DataFrame) -> DataFrame:
     return per.select("file_id", "people", F.round("top", LABEL).alias("top_share"), F.round(entropy, LABEL).alias("entropy"), label.alias("label"))
 
 
-def entity_activity(changes: DataFrame, commits: DataFrame, as_of: Column) -> DataFrame:
+def entity_activity(changes: DataFrame, commits: DataFrame, as_of: Column, rewrite: Column, gone: Column) -> DataFrame:
     """Activity of each file up to a time: changes, churn of all rows, counts of the last 30, 90 and 180 days,
-    renames, people, age and idle days."""
+    renames, rewrites (changes for which ``rewrite`` holds), people, age and idle days, and whether the last change
+    deleted it (``gone``)."""
     rows = changes.join(commits.select("commit_id", "author_id", "moment"), "commit_id")
-    lines = rows.groupBy("file_id").agg(F.sum(F.col("additions") + F.col("deletions")).alias("churn"), F.sum("additions").alias("added"), F.sum("deletions").alias("deleted"), F.count_if(F.col("change_type") == "renamed").alias("renames"))
+    order = F.struct("moment", "commit_id", "change_order", "additions", "deletions")
+    lines = rows.groupBy("file_id").agg(F.sum(F.col("additions") + F.col("deletions")).alias("churn"), F.sum("additions").alias("added"), F.sum("deletions").alias("removed"), F.count_if(F.col("change_type") == "renamed").alias("renames"), F.count_if(rewrite).alias("rewrites"), F.max_by(gone, order).alias("deleted"))
     once = rows.select("file_id", "commit_id", "author_id", "moment").distinct()
     recent = [F.count_if(elapsed_days(as_of, F.col("moment")) <= n).alias(f"changes_{n}") for n in (30, 90, 180)]
     per = once.groupBy("file_id").agg(F.count("*").alias("changes"), *recent, F.countDistinct("author_id").alias("people"), elapsed_days(as_of, F.min("moment")).alias("age_days"), elapsed_days(as_of, F.max("moment")).alias("idle_days"))
@@ -58,15 +60,16 @@ def entity_activity(changes: DataFrame, commits: DataFrame, as_of: Column) -> Da
 
 
 def volatility(activity: DataFrame) -> DataFrame:
-    """(file_id, volatility, stability, label) by fixed formulas, the first rule that holds naming the label."""
+    """(file_id, volatility, stability, label); the first rule that holds names the label. The weights,
+    the bounds and the order of the rules."""
     r, t, p = F.least(F.col("changes_180") / 6, F.lit(1.0)), F.least(F.col("changes") / 12, F.lit(1.0)), F.least(F.col("people") / 5, F.lit(1.0))
     w = F.least(F.col("rewrites") / 3, F.lit(1.0))
     d = F.col("idle_days")
-    scored = activity.withColumn("rewrites", F.lit(0)).withColumn("volatility", F.round(0.35 * r + 0.30 * t + 0.20 * w + 0.15 * p, LABEL))
+    scored = activity.withColumn("volatility", F.round(0.35 * r + 0.30 * t + 0.20 * w + 0.15 * p, LABEL))
     scored = scored.withColumn("stability", F.round(0.50 * d / (d + 180) + 0.30 / (1 + F.col("changes") / 4) + 0.20 * (1 - r), LABEL))
     recent, age, old = F.col("changes_180"), F.col("age_days"), F.col("age_days") >= 365
     cases = [
-        ((F.col("rewrites") > 0) & (recent > 0), "recently_rewritten"), (old & (recent == 0) & (F.col("changes") <= 2), "stable_legacy"), (age < 90, "new_code"),
+        (F.col("deleted"), "deleted"), ((F.col("rewrites") > 0) & (recent > 0), "recently_rewritten"), (old & (recent == 0) & (F.col("changes") <= 2), "stable_legacy"), (age < 90, "new_code"),
         (F.col("volatility") >= 0.65, "frequently_changed"), (old & (recent > 0), "long_lived_active"), (recent == 0, "recently_inactive"),
     ]
     return scored.select("file_id", "volatility", "stability", first_match(cases, "active").alias("label"))

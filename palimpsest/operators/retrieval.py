@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written
 from ..functions.scalars import SCORE, cosine
 
 #: What is taken for a secret, and what stands in its place.
 REDACTIONS = [
-    (r"(?i)(token|secret|password|passwd|api_key)(\s*[=:]\s*)[\"']?[^\s\"']+[\"']?", "$1$2[REDACTED]"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]"),
+    (r"(?s)-----BEGIN [^-]*PRIVATE KEY-----.*?-----END [^-]*PRIVATE KEY-----", "[REDACTED PRIVATE KEY]"),
+    (r"""(?i)((?:password|passwd|token|secret|api[_-]?key)\s*[:=]\s*)(?:"[^"]*"|'[^']*'|\S+)""", "$1[REDACTED]"),
+    (r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16})\b", "[REDACTED TOKEN]"),
+    (r"""(?i)(?:[A-Z]:\\|/(?:home|users)/)[^\s"']+""", "[REDACTED LOCAL PATH]"),
 ]
 
 
 def redacted(text: Column) -> Column:
+    """The text without private keys, assigned secrets, providers' tokens and local paths, in this order."""
     for pattern, with_ in REDACTIONS:
         text = F.regexp_replace(text, pattern, with_)
     return text
@@ -112,18 +116,22 @@ def sufficiency(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(level.alias("level"))
 
 
-def token_set_pairs(docs: DataFrame, least: float, most_shared: int = 40) -> DataFrame:
+def token_set_pairs(docs: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity): documents of the same language whose sets of words are at least so similar by Jaccard.
-    Words are ordered by rarity; two sets so similar share one of their first words, and words that more than
-    most_shared sets have among these are taken with the length of the set, which must be near too."""
+    Words are ordered by rarity; two sets so similar share one of their first words, at places after which enough
+    words are left in both, and their sizes are near. Words are told apart by 64-bit hashes."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != ""))
-    sets = docs.select("doc_id", "lang", words.alias("w")).where(F.size("w") > 0).withColumn("n", F.size("w"))
+    sets = docs.select("doc_id", "lang", F.transform(words, lambda w: F.xxhash64(w)).alias("w")).where(F.size("w") > 0)
+    sets = written(sets.withColumn("n", F.size("w")))
     each = sets.select("doc_id", "lang", "n", F.explode("w").alias("word"))
     df = each.groupBy("word").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "word"))
-    first = each.join(df, "word").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("doc_id", "lang", "n", "word")
-    a, b = (first.select(F.col("doc_id").alias(k), "lang", "word", F.col("n").alias(f"n_{k}")) for k in "ab")
-    pairs = a.join(b, ["lang", "word"]).where((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))).select("a", "b").distinct()
+    first = each.join(df, "word").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
+    first = written(first.select("doc_id", "lang", "n", "word", "r"))
+    a, b = (first.select(F.col("doc_id").alias(k), "lang", "word", F.col("n").alias(f"n_{k}"), F.col("r").alias(f"r_{k}")) for k in "ab")
+    shared = 1 + F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b"))
+    near = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")) & (shared * (1 + least) >= least * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    pairs = a.join(b, ["lang", "word"]).where(near).select("a", "b").distinct()
     x, y = (sets.select(F.col("doc_id").alias(k), F.col("w").alias(f"w_{k}")) for k in "ab")
     both = F.size(F.array_intersect("w_a", "w_b"))
     scored = pairs.join(x, "a").join(y, "b").select("a", "b", F.round(both / (F.size("w_a") + F.size("w_b") - both), SCORE).alias("similarity"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import numbered
 from ..functions.scalars import DRIFT, SCORE
 
 
@@ -64,21 +65,20 @@ def occurrence_names(rows: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def every_nth(rows: DataFrame, n: int, *order: str) -> DataFrame:
-    """Rows 1, n + 1, 2 n + 1 and so on, and the last. The order is over all rows: for lists of commits."""
-    w = Window.orderBy(*order)
-    k = F.row_number().over(w)
-    return rows.withColumn("_k", k).withColumn("_n", F.count("*").over(Window.partitionBy())).where((F.pmod(F.col("_k") - 1, F.lit(n)) == 0) | (F.col("_k") == F.col("_n"))).drop("_k", "_n")
+    """Rows 1, n + 1, 2 n + 1 and so on in a unique order, and the last."""
+    placed, total = numbered(rows, "_k", *order)
+    return placed.where((F.pmod(F.col("_k") - 1, F.lit(n)) == 0) | (F.col("_k") == total)).drop("_k")
 
 
 def violation_intervals(edges: DataFrame, snapshots: DataFrame, broken: Column) -> DataFrame:
     """(src, dst, introduced, resolved, snapshots): runs of consecutive snapshots in which an edge breaks a rule;
     resolved is the first snapshot after a run, null while it lasts. A violation that comes back is a new row."""
-    numbered = snapshots.select("snapshot", F.row_number().over(Window.orderBy("snapshot")).alias("ord"))  # one row a snapshot
-    hits = edges.where(broken).select("snapshot", "src", "dst").distinct().join(F.broadcast(numbered), "snapshot")
+    order, _ = numbered(snapshots.select("snapshot"), "ord", "snapshot")
+    hits = edges.where(broken).select("snapshot", "src", "dst").distinct().join(order, "snapshot")
     island = F.col("ord") - F.row_number().over(Window.partitionBy("src", "dst").orderBy("ord"))
     runs = hits.withColumn("i", island).groupBy("src", "dst", "i").agg(F.min("snapshot").alias("introduced"), F.max("ord").alias("last"), F.count("*").alias("snapshots"))
-    after = numbered.select((F.col("ord") - 1).alias("last"), F.col("snapshot").alias("resolved"))
-    return runs.join(F.broadcast(after), "last", "left").select("src", "dst", "introduced", "resolved", "snapshots")
+    after = order.select((F.col("ord") - 1).alias("last"), F.col("snapshot").alias("resolved"))
+    return runs.join(after, "last", "left").select("src", "dst", "introduced", "resolved", "snapshots")
 
 
 def graph_diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -91,11 +91,11 @@ def graph_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 def consecutive(edges: DataFrame) -> DataFrame:
     """(snapshot, src, dst, weight, before): each edge in each snapshot of its life or the one after, with its
     weight in the snapshot before; null where it isn't there."""
-    order = edges.select("snapshot").distinct().withColumn("ord", F.row_number().over(Window.orderBy("snapshot")))
-    numbered = edges.join(F.broadcast(order), "snapshot")
-    now = numbered.select("ord", "src", "dst", "weight")
-    last = numbered.select((F.col("ord") + 1).alias("ord"), "src", "dst", F.col("weight").alias("before"))
-    return now.join(last, ["ord", "src", "dst"], "full").join(F.broadcast(order), "ord").where("ord > 1").select("snapshot", "src", "dst", "weight", "before")
+    order, _ = numbered(edges.select("snapshot").distinct(), "ord", "snapshot")
+    placed = edges.join(order, "snapshot")
+    now = placed.select("ord", "src", "dst", "weight")
+    last = placed.select((F.col("ord") + 1).alias("ord"), "src", "dst", F.col("weight").alias("before"))
+    return now.join(last, ["ord", "src", "dst"], "full").join(order, "ord").where("ord > 1").select("snapshot", "src", "dst", "weight", "before")
 
 
 def structural_drift(edges: DataFrame) -> DataFrame:

@@ -26,18 +26,18 @@ def import_extraction(h):
     return C.imports(h.sources().select("file_id", F.when(F.col("file_id") % 2 == 0, "python").otherwise("java").alias("language"), text.alias("text")))
 
 
-@query("sources", "SELECT file_id, unnest(['C' || file_id, 'C' || file_id || '.run', 'top']) AS qualified, unnest(['class', 'method', 'function']) AS kind FROM sources WHERE file_id % 10 = 0")
+@query("sources", "SELECT file_id, unnest(['C' || file_id, 'C' || file_id || '.run', 'top']) AS qualified, unnest(['class', 'method', 'function']) AS kind FROM sources")
 def source_symbols(h):
     n = F.col("file_id").cast("string")
     text = F.concat(F.lit("class C"), n, F.lit(":\n    def run(self):\n        return 1\n\ndef top():\n    pass\n"))
-    return C.symbols(h.sources().where("file_id % 10 = 0").select("file_id", text.alias("text"))).select("file_id", "qualified", "kind")
+    return C.symbols(h.sources().select("file_id", text.alias("text"))).select("file_id", "qualified", "kind")
 
 
-@query(sql="WITH RECURSIVE p AS (SELECT o_orderkey AS child, o_orderkey // 2 AS parent FROM orders WHERE o_orderkey > 1), r AS (SELECT o_orderkey AS commit_id, parent AS ancestor, 1 AS distance FROM orders JOIN p ON child = o_orderkey WHERE o_orderkey % 97 = 0 UNION SELECT commit_id, parent, distance + 1 FROM r JOIN p ON child = ancestor WHERE distance < 6) SELECT commit_id, ancestor, distance FROM r")
+@query(sql="WITH RECURSIVE p AS (SELECT o_orderkey AS child, o_orderkey // 2 AS parent FROM orders WHERE o_orderkey > 1), r AS (SELECT o_orderkey AS commit_id, parent AS ancestor, 1 AS distance FROM orders JOIN p ON child = o_orderkey UNION SELECT commit_id, parent, distance + 1 FROM r JOIN p ON child = ancestor WHERE distance < 6) SELECT commit_id, ancestor, distance FROM r")
 def ancestry(h):
     o = h.table("orders").select(F.col("o_orderkey").alias("commit_id"))
     parents = o.where("commit_id > 1").select(F.col("commit_id").alias("child"), F.floor(F.col("commit_id") / 2).alias("parent"))
-    return G.ancestors(parents, o.where("commit_id % 97 = 0"), 6)
+    return G.ancestors(parents, o, 6)
 
 
 @query("lines edges", "WITH m AS (SELECT min(src) AS n FROM edges) SELECT 'out' AS direction, dst AS other, weight FROM edges, m WHERE src = n UNION ALL SELECT 'in', src, weight FROM edges, m WHERE dst = n")
@@ -46,14 +46,15 @@ def node_neighbourhood(h):
     return G.neighbourhood(e, e.agg(F.min("src")).first()[0] or 0)
 
 
-@query("lines edges", "SELECT src, dst, weight FROM edges WHERE src % 6 = 0 OR dst % 6 = 0")
+@query("lines edges", "WITH t AS (SELECT n_nationkey AS node FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA') SELECT src, dst, weight FROM edges WHERE src IN (SELECT node FROM t) OR dst IN (SELECT node FROM t)")
 def dependency_context(h):
-    return G.touching(h.module_edges(), h.table("nation").select(F.col("n_nationkey").alias("node")).where("node % 6 = 0"))
+    asked = h.table("nation").join(h.table("region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return G.touching(h.module_edges(), asked.select(F.col("n_nationkey").alias("node")))
 
 
-@query("commits changes", "WITH s AS (SELECT commit_id AS id FROM commits WHERE commit_id % 50 = 0), a AS (SELECT DISTINCT author_id AS id FROM commits WHERE commit_id IN (SELECT id FROM s)), f AS (SELECT DISTINCT file_id AS id FROM changes WHERE commit_id IN (SELECT id FROM s)) SELECT 'commit' AS kind, id FROM s UNION ALL SELECT 'author', id FROM a UNION ALL SELECT 'file', id FROM f")
+@query("commits changes", "WITH s AS (SELECT commit_id AS id FROM commits WHERE is_merge), a AS (SELECT DISTINCT author_id AS id FROM commits WHERE commit_id IN (SELECT id FROM s)), f AS (SELECT DISTINCT file_id AS id FROM changes WHERE commit_id IN (SELECT id FROM s)) SELECT 'commit' AS kind, id FROM s UNION ALL SELECT 'author', id FROM a UNION ALL SELECT 'file', id FROM f")
 def relationship_expansion(h):
-    seeds = h.commits().where("commit_id % 50 = 0").select(F.lit("commit").alias("kind"), F.col("commit_id").alias("id"))
+    seeds = h.commits().where("is_merge").select(F.lit("commit").alias("kind"), F.col("commit_id").alias("id"))
     by = h.commits().select(F.lit("commit").alias("kind_a"), F.col("commit_id").alias("a"), F.lit("author").alias("kind_b"), F.col("author_id").alias("b"))
     of = h.changes().select(F.lit("commit").alias("kind_a"), F.col("commit_id").alias("a"), F.lit("file").alias("kind_b"), F.col("file_id").alias("b"))
     return G.expand_relations(seeds, [by, of])

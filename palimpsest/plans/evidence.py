@@ -9,7 +9,11 @@ TOKENS = ["license", "moron", "que", "tion", "token"]
 LEX = "SELECT doc_id, {n} AS matched FROM documents WHERE {n} > 0".format(n=" + ".join(f"CAST(contains(lower(text), '{t}') AS INTEGER)" for t in TOKENS))
 
 
-@query(sql=r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(?i)(token|secret|password|passwd|api_key)(\s*[=:]\s*)["'']?[^\s"'']+["'']?', '\1\2[REDACTED]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+', '[EMAIL]', 'g')) AS digest FROM documents""")
+REDACTED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '(?s)-----BEGIN [^-]*PRIVATE KEY-----.*?-----END [^-]*PRIVATE KEY-----', '[REDACTED PRIVATE KEY]', 'g'),
+ '(?i)((?:password|passwd|token|secret|api[_-]?key)\s*[:=]\s*)(?:"[^"]*"|''[^'']*''|\S+)', '\1[REDACTED]', 'g'), '\b(?:gh[pousr]_[A-Za-z0-9]{{20,}}|AKIA[0-9A-Z]{{16}})\b', '[REDACTED TOKEN]', 'g'), '(?i)(?:[A-Z]:\\|/(?:home|users)/)[^\s"'']+', '[REDACTED LOCAL PATH]', 'g')"""
+
+
+@query(sql="SELECT doc_id, sha256(" + REDACTED.format(t="text") + ") AS digest FROM documents")
 def redact_secrets(h):
     return h.table("documents").select("doc_id", F.sha2(R.redacted(F.col("text")), 256).alias("digest"))
 

@@ -10,6 +10,9 @@ DEPTH = 4
 REACH = "r AS (SELECT DISTINCT src AS seed, dst AS node, 1 AS depth FROM {e} UNION SELECT seed, dst, depth + 1 FROM r JOIN {e} ON node = src WHERE depth < {d})"
 
 
+CLOSURE = "q AS (SELECT src AS seed, dst AS node FROM edges UNION SELECT seed, dst FROM q JOIN edges ON node = src)"
+
+
 @query("lines edges", "WITH b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), r AS (SELECT (SELECT min(src) FROM edges) AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN b ON node = src WHERE depth < 3), m AS (SELECT node, min(depth) AS depth FROM r GROUP BY 1) SELECT node, depth FROM m ORDER BY depth, node LIMIT 15", True)
 def bfs_subgraph(h):
     e = h.module_edges().select("src", "dst")
@@ -27,12 +30,12 @@ def shortest_path(h):
     return G.shortest_path(e, e.agg(F.min("src")).first()[0] or 0, DEPTH)
 
 
-@query("lines edges", "WITH " + REACH.format(e="edges", d=6) + ", q AS (SELECT DISTINCT seed, node FROM r), m AS (SELECT a.seed, a.node FROM q a JOIN q b ON a.seed = b.node AND a.node = b.seed) SELECT seed AS node, min(node) AS component FROM m GROUP BY 1", True)
+@query("lines edges", "WITH " + CLOSURE + ", m AS (SELECT a.seed, a.node FROM q a JOIN q b ON a.seed = b.node AND a.node = b.seed) SELECT seed AS node, min(node) AS component FROM m GROUP BY 1", True)
 def scc_cycles(h):
     return G.scc_cycles(h.module_edges()).select("node", "component")
 
 
-@query("lines edges", "WITH " + REACH.format(e="edges", d=6) + ", q AS (SELECT DISTINCT seed, node FROM r), m AS (SELECT a.seed, a.node FROM q a JOIN q b ON a.seed = b.node AND a.node = b.seed), c AS (SELECT seed AS node, min(node) AS component FROM m GROUP BY 1) SELECT component, count(*) AS size, sha256(string_agg(CAST(node AS VARCHAR), '|' ORDER BY node)) AS fingerprint FROM c GROUP BY 1 HAVING count(*) > 1", True)
+@query("lines edges", "WITH " + CLOSURE + ", m AS (SELECT a.seed, a.node FROM q a JOIN q b ON a.seed = b.node AND a.node = b.seed), c AS (SELECT seed AS node, min(node) AS component FROM m GROUP BY 1) SELECT component, count(*) AS size, sha256(string_agg(CAST(node AS VARCHAR), '|' ORDER BY node)) AS fingerprint FROM c GROUP BY 1 HAVING count(*) > 1", True)
 def cycle_fingerprints(h):
     return G.cycle_fingerprints(scc_cycles(h))
 

@@ -52,12 +52,12 @@ def interval_join(h):
     return I.interval_join(p.select(F.col("p_brand").alias("file_id"), ((F.col("p_partkey") * 13) % 550).alias("line")).distinct(), intervals)
 
 
-@query(sql="""WITH c AS (SELECT l_orderkey AS ref, l_partkey AS symbol, CASE l_linenumber % 5 WHEN 0 THEN 'unique' WHEN 1 THEN 'qualified' WHEN 2 THEN 'same_file' WHEN 3 THEN 'imported' ELSE 'same_module' END AS tier FROM lineitem WHERE l_orderkey % 2 = 0 OR l_linenumber > 2),
+@query(sql="""WITH c AS (SELECT l_orderkey AS ref, l_partkey AS symbol, CASE l_linenumber % 5 WHEN 0 THEN 'unique' WHEN 1 THEN 'qualified' WHEN 2 THEN 'same_file' WHEN 3 THEN 'imported' ELSE 'same_module' END AS tier FROM lineitem),
  g AS (SELECT ref, tier, min(symbol) AS symbol, CASE tier WHEN 'qualified' THEN 0 WHEN 'same_file' THEN 1 WHEN 'imported' THEN 2 WHEN 'same_module' THEN 3 ELSE 4 END AS k FROM c GROUP BY 1, 2 HAVING count(DISTINCT symbol) = 1), b AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY k) AS r FROM g)
  SELECT ref, symbol AS target, tier, CAST(CASE k WHEN 0 THEN 0.98 WHEN 1 THEN 0.95 WHEN 2 THEN 0.90 WHEN 3 THEN 0.82 ELSE 0.72 END AS DOUBLE) AS confidence FROM b WHERE r = 1""")
 def reference_resolution(h):
     names = F.array(*map(F.lit, ("unique", "qualified", "same_file", "imported", "same_module")))
-    rows = h.table("lineitem").where("l_orderkey % 2 = 0 OR l_linenumber > 2").select(F.col("l_orderkey").alias("ref"), F.col("l_partkey").alias("symbol"), F.element_at(names, (F.col("l_linenumber") % 5 + 1).cast("int")).alias("tier"))
+    rows = h.table("lineitem").select(F.col("l_orderkey").alias("ref"), F.col("l_partkey").alias("symbol"), F.element_at(names, (F.col("l_linenumber") % 5 + 1).cast("int")).alias("tier"))
     return I.resolve_references(rows)
 
 
@@ -94,6 +94,6 @@ def status_normalize(h):
 
 @query("sources", "SELECT file_id, CASE WHEN file_id % 11 = 0 THEN 'excluded' WHEN lines * 100 > 4500 THEN 'too_large' WHEN file_id % 13 = 0 THEN 'binary' WHEN language NOT LIKE 'S%' AND language NOT LIKE 'P%' THEN 'unsupported' ELSE 'parsed' END AS status FROM sources")
 def parse_status(h):
-    names = [r[0] for r in h.sources().select("language").where("language LIKE 'S%' OR language LIKE 'P%'").distinct().collect()]  # languages are few
     path = F.when(F.col("file_id") % 11 == 0, F.concat(F.lit("x/vendor/"), F.col("path"))).otherwise(F.col("path"))
-    return I.parse_status(h.sources().select("file_id", path.alias("path"), (F.col("lines") * 100).alias("size_bytes"), (F.col("file_id") % 13 == 0).alias("is_binary"), "language"), 4500, names)
+    known = F.col("language").rlike("^[SP]")
+    return I.parse_status(h.sources().select("file_id", path.alias("path"), (F.col("lines") * 100).alias("size_bytes"), (F.col("file_id") % 13 == 0).alias("is_binary"), known.alias("supported")), 4500)

@@ -13,11 +13,12 @@ KNOW = "WITH " + ASOF + """, f1 AS (SELECT *, row_number() OVER (PARTITION BY fi
  i AS (SELECT *, CAST(start = min(start) OVER (PARTITION BY file_id) AS INTEGER) AS introduced FROM p),
  w AS (SELECT *, 0.65 * commits + 0.25 * exp(-(""" + DAYS.format(now="(SELECT now FROM o)", moment="last_at") + """) / 365.0) + 0.10 * introduced AS raw FROM i),
  kn AS (SELECT file_id, author_id, commits, lines, introduced, round(raw / sum(raw) OVER (PARTITION BY file_id), 6) AS knowledge, round(commits / CAST(sum(commits) OVER (PARTITION BY file_id) AS DOUBLE), 6) AS share FROM w)"""
-ACT = "WITH " + ASOF + """, x AS (SELECT file_id, changes.commit_id, author_id, moment, additions, deletions, change_type FROM changes JOIN commits ON changes.commit_id = commits.commit_id),
- l AS (SELECT file_id, CAST(sum(additions + deletions) AS BIGINT) AS churn, CAST(sum(additions) AS BIGINT) AS added, CAST(sum(deletions) AS BIGINT) AS deleted, count(*) FILTER (WHERE change_type = 'renamed') AS renames FROM x GROUP BY 1),
+ACT = "WITH " + ASOF + """, x AS (SELECT file_id, changes.commit_id, author_id, moment, change_order, additions, deletions, change_type FROM changes JOIN commits ON changes.commit_id = commits.commit_id),
+ l AS (SELECT file_id, CAST(sum(additions + deletions) AS BIGINT) AS churn, CAST(sum(additions) AS BIGINT) AS added, CAST(sum(deletions) AS BIGINT) AS removed, count(*) FILTER (WHERE change_type = 'renamed') AS renames, count(*) FILTER (WHERE additions > 48 AND deletions > 9) AS rewrites,
+  arg_max(deletions >= additions, (moment, commit_id, change_order, additions, deletions)) AS deleted FROM x GROUP BY 1),
  y AS (SELECT DISTINCT file_id, commit_id, author_id, moment, """ + DAYS.format(now="(SELECT now FROM o)", moment="moment") + """ AS ago FROM x),
  act AS (SELECT y.file_id, count(*) AS changes, count(*) FILTER (WHERE ago <= 30) AS changes_30, count(*) FILTER (WHERE ago <= 90) AS changes_90, count(*) FILTER (WHERE ago <= 180) AS changes_180, count(DISTINCT author_id) AS people, max(ago) AS age_days, min(ago) AS idle_days,
-  any_value(churn) AS churn, any_value(added) AS added, any_value(deleted) AS deleted, any_value(renames) AS renames FROM y JOIN l ON y.file_id = l.file_id GROUP BY 1)"""
+  any_value(churn) AS churn, any_value(added) AS added, any_value(removed) AS removed, any_value(renames) AS renames, any_value(rewrites) AS rewrites, any_value(deleted) AS deleted FROM y JOIN l ON y.file_id = l.file_id GROUP BY 1)"""
 
 
 def as_of(h):
@@ -47,12 +48,12 @@ def knowledge_concentration(h):
 
 @query("commits changes", ACT + " SELECT * FROM act")
 def entity_activity(h):
-    return P.entity_activity(h.changes(), h.commits(), as_of(h))
+    return P.entity_activity(h.changes(), h.commits(), as_of(h), (F.col("additions") > 48) & (F.col("deletions") > 9), F.col("deletions") >= F.col("additions"))
 
 
-@query("commits changes", ACT + """, v AS (SELECT *, least(changes_180 / 6.0, 1.0) AS r, least(changes / 12.0, 1.0) AS t, least(people / 5.0, 1.0) AS p FROM act),
- s AS (SELECT *, round(0.35 * r + 0.30 * t + 0.15 * p, 4) AS vol, round(0.50 * idle_days / (idle_days + 180.0) + 0.30 / (1 + changes / 4.0) + 0.20 * (1 - r), 4) AS stab FROM v)
- SELECT file_id, CAST(vol AS DOUBLE) AS volatility, CAST(stab AS DOUBLE) AS stability, CASE WHEN age_days >= 365 AND changes_180 = 0 AND changes <= 2 THEN 'stable_legacy' WHEN age_days < 90 THEN 'new_code' WHEN vol >= 0.65 THEN 'frequently_changed' WHEN age_days >= 365 AND changes_180 > 0 THEN 'long_lived_active' WHEN changes_180 = 0 THEN 'recently_inactive' ELSE 'active' END AS label FROM s""")
+@query("commits changes", ACT + """, v AS (SELECT *, least(changes_180 / 6.0, 1.0) AS r, least(changes / 12.0, 1.0) AS t, least(people / 5.0, 1.0) AS p, least(rewrites / 3.0, 1.0) AS w FROM act),
+ s AS (SELECT *, round(0.35 * r + 0.30 * t + 0.20 * w + 0.15 * p, 4) AS vol, round(0.50 * idle_days / (idle_days + 180.0) + 0.30 / (1 + changes / 4.0) + 0.20 * (1 - r), 4) AS stab FROM v)
+ SELECT file_id, CAST(vol AS DOUBLE) AS volatility, CAST(stab AS DOUBLE) AS stability, CASE WHEN deleted THEN 'deleted' WHEN rewrites > 0 AND changes_180 > 0 THEN 'recently_rewritten' WHEN age_days >= 365 AND changes_180 = 0 AND changes <= 2 THEN 'stable_legacy' WHEN age_days < 90 THEN 'new_code' WHEN vol >= 0.65 THEN 'frequently_changed' WHEN age_days >= 365 AND changes_180 > 0 THEN 'long_lived_active' WHEN changes_180 = 0 THEN 'recently_inactive' ELSE 'active' END AS label FROM s""")
 def volatility(h):
     return P.volatility(entity_activity(h))
 

@@ -6,7 +6,7 @@ of a finer grain, customers are authors, and events are the states of long-lived
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch
@@ -56,16 +56,17 @@ class History:
         customer = self.table("customer").select("c_custkey", F.col("c_nationkey").alias("dst"))
         return lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).where("src <> dst").select("src", "dst", "o_orderdate")
 
-    def module_edges(self, share: float = 375.0) -> DataFrame:
-        """Edges (src, dst, weight) of the pairs of modules with more than a share of all lines."""
-        total = self.table("lineitem").agg((F.count("*") / share).alias("least"))
-        return self.module_lines().groupBy("src", "dst").agg(F.count("*").alias("weight")).where(F.col("weight") > total.scalar()).select("src", "dst", "weight")
+    def module_edges(self) -> DataFrame:
+        """Edges (src, dst, weight) of the pairs of modules with more lines than chance would give: more than the
+        product of the lines that leave the one and of those that reach the other, by all lines. As the bound is
+        relative, the graph keeps about its shape at every size."""
+        return above_chance(self.module_lines().groupBy("src", "dst").agg(F.count("*").alias("weight"))).select("src", "dst", "weight")
 
-    def snapshots(self, share: float = 4500.0) -> DataFrame:
-        """Edges (month, src, dst, weight) of a graph for each quarter, numbered by months since year 0."""
-        total = self.table("lineitem").agg((F.count("*") / share).alias("least"))
-        month = F.year("o_orderdate") * 4 + F.quarter("o_orderdate")
-        return self.module_lines().groupBy(month.cast("long").alias("snapshot"), "src", "dst").agg(F.count("*").alias("weight")).where(F.col("weight") > total.scalar()).select("snapshot", "src", "dst", "weight")
+    def snapshots(self) -> DataFrame:
+        """Edges (snapshot, src, dst, weight) of such a graph for each quarter; quarters count from year 0."""
+        quarter = F.year("o_orderdate") * 4 + F.quarter("o_orderdate")
+        counted = self.module_lines().groupBy(quarter.cast("long").alias("snapshot"), "src", "dst").agg(F.count("*").alias("weight"))
+        return above_chance(counted, "snapshot").select("snapshot", "src", "dst", "weight")
 
     def versions(self) -> DataFrame:
         """States of entities in order of (at, version_id); kind is introduced, deleted or changed."""
@@ -73,6 +74,15 @@ class History:
         return self.table("events").select(F.col("user_id").alias("lineage"), F.col("event_id").alias("version_id"), epoch("ts").alias("moment"), F.col("event_type").alias("name"), kind.alias("kind"), "value", "props")
 
 
+def above_chance(edges: DataFrame, *of: str) -> DataFrame:
+    """Edges heavier than their ends' weights would have it. Edges are counts of pairs of modules, which are few
+    beside the lines they count."""
+    by = lambda *x: Window.partitionBy(*of, *x)
+    weight = F.col("weight")
+    sums = edges.withColumn("_out", F.sum(weight).over(by("src"))).withColumn("_in", F.sum(weight).over(by("dst"))).withColumn("_all", F.sum(weight).over(by()))
+    return sums.where(weight * F.col("_all") > F.col("_out") * F.col("_in"))
+
+
 #: The same views in SQL.
 SQL = {
     "commits": "commits AS (SELECT o_orderkey AS commit_id, o_custkey AS author_id, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS moment, o_orderstatus = 'P' AS is_merge, o_orderpriority AS message FROM orders)",
@@ -81,8 +91,8 @@ SQL = {
     "sources": "sources AS (SELECT p_partkey AS file_id, p_brand AS module, p_type AS language, p_size AS lines, p_brand || '/' || p_type || '/' || p_partkey AS path FROM part)",
     "refs": "refs AS (SELECT * FROM (SELECT l_suppkey AS src, 1 + l_partkey % (SELECT max(s_suppkey) FROM supplier) AS dst, CASE l_returnflag WHEN 'A' THEN 'IMPORTS' WHEN 'N' THEN 'CALLS' WHEN 'R' THEN 'REFERENCES' END AS type FROM lineitem) WHERE src <> dst)",
     "lines": "lines AS (SELECT s_nationkey AS src, c_nationkey AS dst, o_orderdate FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey <> c_nationkey)",
-    "edges": "edges AS (SELECT src, dst, count(*) AS weight FROM lines GROUP BY src, dst HAVING count(*) > (SELECT count(*) / 375.0 FROM lineitem))",
-    "snaps": "snaps AS (SELECT CAST(year(o_orderdate) * 4 + quarter(o_orderdate) AS BIGINT) AS snapshot, src, dst, count(*) AS weight FROM lines GROUP BY 1, 2, 3 HAVING count(*) > (SELECT count(*) / 4500.0 FROM lineitem))",
+    "edges": "edges AS (SELECT src, dst, weight FROM (SELECT src, dst, count(*) AS weight FROM lines GROUP BY 1, 2) QUALIFY weight * sum(weight) OVER () > sum(weight) OVER (PARTITION BY src) * sum(weight) OVER (PARTITION BY dst))",
+    "snaps": "snaps AS (SELECT snapshot, src, dst, weight FROM (SELECT CAST(year(o_orderdate) * 4 + quarter(o_orderdate) AS BIGINT) AS snapshot, src, dst, count(*) AS weight FROM lines GROUP BY 1, 2, 3) QUALIFY weight * sum(weight) OVER (PARTITION BY snapshot) > sum(weight) OVER (PARTITION BY snapshot, src) * sum(weight) OVER (PARTITION BY snapshot, dst))",
     "versions": "versions AS (SELECT user_id AS lineage, event_id AS version_id, CAST(floor(epoch(ts)) AS BIGINT) AS moment, event_type AS name, CASE event_type WHEN 'signup' THEN 'introduced' WHEN 'error' THEN 'deleted' ELSE 'changed' END AS kind, value, props FROM events)",
 }
 

@@ -5,6 +5,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions.lineage import numbered
 from palimpsest.functions.scalars import cosine
 from palimpsest.operators import coupling as C
 from palimpsest.operators import graphs as G
@@ -16,6 +17,7 @@ from palimpsest.operators import similarity as S
 from palimpsest.operators import temporal as T
 from palimpsest.operators import traces
 from palimpsest.plans import graphs as graph_plans
+from palimpsest.sources.domain import History
 
 
 def rows(df, *order):
@@ -67,8 +69,27 @@ def test_cycles_of_any_length(spark):
     assert sorted((r["component"], r["size"]) for r in graph_plans.cycle_fingerprints(h).collect()) == [(0, 9), (20, 2)]
 
 
+def test_cycle_of_fifty_and_two_that_touch(spark):
+    pairs = [(i, (i + 1) % 50) for i in range(50)] + [(60, 61), (61, 62), (62, 60), (10, 60), (62, 70), (70, 71), (80, 80), (49, 49)]
+    got = rows(G.scc_cycles(spark.createDataFrame(pairs, "src long, dst long")), "node")
+    assert got == [(i, 0) for i in range(50)] + [(60, 60), (61, 60), (62, 60), (80, 80)]
+    assert G.scc_cycles(spark.createDataFrame([(1, 2)], "src long, dst long")).count() == 0
+
+
+def test_numbers_over_ranges(spark):
+    df = spark.createDataFrame([(i * 7 % 101, i) for i in range(101)], "k long, v long").repartition(5)
+    got, n = numbered(df, "n", "k")
+    assert n == 101 and [(r["k"], r["n"]) for r in got.orderBy("k").collect()] == [(i, i + 1) for i in range(101)]
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_graphs_are_not_empty_at_any_size(spark, sf):
+    h = History(spark, f"/root/testdata/sf{sf}")
+    assert h.module_edges().count() > 50 and h.snapshots().groupBy("snapshot").count().where("count > 3").count() > 5
+
+
 def test_cycles_paths_and_impact(ring):
-    assert rows(G.scc_cycles(ring, 4), "node") == [(1, 1), (2, 1), (3, 1)]
+    assert rows(G.scc_cycles(ring), "node") == [(1, 1), (2, 1), (3, 1)]
     assert ("2", "4>1>2") in [(str(r[0]), r[2]) for r in rows(G.shortest_path(ring, 4, 4))]
     assert (2, 4, 2) in rows(G.impact_distance(ring, 4))
     assert rows(G.bfs_subgraph(ring, 4, 1, 10), "depth", "node") == [(4, 0), (1, 1)]
@@ -79,12 +100,14 @@ def test_occurrence_names(spark):
     assert [r["unique_key"] for r in T.occurrence_names(df, "name", "line").orderBy("line").collect()] == ["list@10#1", "list@30#2", "create"]
 
 
-ACTIVITY = "file_id int, age_days long, idle_days long, changes_180 long, changes long, people long"
+ACTIVITY = "file_id int, age_days long, idle_days long, changes_180 long, changes long, people long, rewrites long, deleted boolean"
 
 
 def test_volatility_labels(spark):
-    df = spark.createDataFrame([(1, 1500, 900, 0, 1, 1), (2, 30, 1, 3, 3, 1), (3, 800, 2, 9, 18, 4), (4, 800, 300, 0, 9, 1)], ACTIVITY)
-    assert [r["label"] for r in P.volatility(df).orderBy("file_id").collect()] == ["stable_legacy", "new_code", "frequently_changed", "recently_inactive"]
+    given = [(1, 1500, 900, 0, 1, 1, 0, False), (2, 30, 1, 3, 3, 1, 0, False), (3, 800, 2, 9, 18, 4, 0, False), (4, 800, 300, 0, 9, 1, 0, False), (5, 200, 2, 9, 18, 4, 2, False), (6, 400, 3, 1, 5, 2, 1, False), (7, 400, 3, 1, 5, 2, 1, True)]
+    got = {r["file_id"]: r for r in P.volatility(spark.createDataFrame(given, ACTIVITY)).collect()}
+    assert [got[i]["label"] for i in range(1, 8)] == ["stable_legacy", "new_code", "frequently_changed", "recently_inactive", "recently_rewritten", "recently_rewritten", "deleted"]
+    assert got[5]["volatility"] > got[1]["volatility"] and got[5]["stability"] < got[1]["stability"]
 
 
 def test_concentration_of_one_person(spark):
