@@ -5,11 +5,12 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from ..functions.lineage import written
 from .retrieval import code_tokens
 
 
@@ -56,8 +57,6 @@ def rewrites(pairs: DataFrame, least_tokens: int = 8, below: float = 0.5) -> Dat
 def copy_candidates(targets: DataFrame, sources: DataFrame, least: float = 0.8, k: int = 10) -> DataFrame:
     """(target, source, similarity, kind): earlier sources (id, lineage, language, moment, text, gone_at) near to
     the first versions in ``targets``, blocked by language and size; the best of each lineage, k a target."""
-    from pyspark.sql import Window
-
     size = F.greatest(F.lit(1), F.floor(F.size(code_tokens(F.col("text"))) / 10)).cast("int")
     t = targets.select(F.col("id").alias("target"), F.col("lineage").alias("tl"), "language", F.col("moment").alias("tm"), F.col("text").alias("tt"), F.explode(F.array(size - 1, size, size + 1)).alias("bucket"))
     s = sources.select(F.col("id").alias("source"), F.col("lineage").alias("sl"), "language", F.col("moment").alias("sm"), F.col("text").alias("st"), "gone_at", size.alias("bucket"))
@@ -70,52 +69,63 @@ def copy_candidates(targets: DataFrame, sources: DataFrame, least: float = 0.8,
     return top.select("target", "source", "similarity", kind.alias("kind"), F.when(F.col("similarity") == 1, 1.0).otherwise(F.round(F.least(F.lit(0.95), "similarity"), 4)).alias("confidence"))
 
 
-def _near(a: str, b: str) -> float:
-    return 1.0 if a == b else difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
-
-
-def match_score(old, new) -> tuple[float, str] | None:
-    """Score and kind of a match of two symbols, or None; the first rule that applies decides."""
-    kinds = {old.kind, new.kind}
-    if len(kinds) > 1 and kinds != {"function", "method"}:
-        return None
-    here, named = old.path == new.path, old.name == new.name
-    if here and old.qualified == new.qualified:
-        return 1.0, "unchanged"
-    if here and named and old.parent == new.parent:
-        return 0.97, "same_name"
-    if old.body_hash == new.body_hash and old.parent == new.parent:
-        return (0.95 if here else 0.91), "same_body"
-    body = _near(old.body, new.body)
-    signature = _near(old.signature, new.signature)
-    if here and old.parent == new.parent and not named and body >= 0.9:
-        return min(0.94, 0.6 * body + 0.4 * signature), "renamed"
-    if not here and named and body >= 0.9:
-        return min(0.9, 0.58 * body + 0.32 * signature), "moved"
-    score = 0.58 + 0.34 * body + 0.08 * signature
-    return (score, "changed") if here and named and score >= 0.86 else None
+@pandas_udf(T.DoubleType())
+def _near(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([1.0 if x == y else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
+
+
+#: Kinds of matches in the order in which they are tried. A kind needs some facts (a leading "not "
+#: for their opposite) and a least likeness of the bodies; its score is a constant and shares of the bodies' and
+#: signatures' likeness, with a cap; it counts from a least score on.
+MATCHES = [
+    # kind, facts, least body, constant, body's share, signature's share, cap, least score
+    ("unchanged", ["path", "qualified"], 0.0, 1.00, 0.00, 0.00, 1.00, 0.86),
+    ("same_name", ["path", "name", "parent"], 0.0, 0.97, 0.00, 0.00, 1.00, 0.86),
+    ("same_body", ["body_hash", "parent", "path"], 0.0, 0.95, 0.00, 0.00, 1.00, 0.86),
+    ("same_body", ["body_hash", "parent"], 0.0, 0.91, 0.00, 0.00, 1.00, 0.86),
+    ("renamed", ["path", "parent", "not name"], 0.9, 0.00, 0.60, 0.40, 0.94, 0.90),
+    ("moved", ["not path", "name"], 0.9, 0.00, 0.58, 0.32, 0.90, 0.90),
+    ("changed", ["path", "name"], 0.0, 0.58, 0.34, 0.08, 1.00, 0.86),
+]
+#: Kinds of symbols that match each other besides equal ones.
+ALIKE = ["function", "method"]
+
+
+def scored_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(file, old_id, new_id, score, kind) of the pairs of symbols of each file's two states that a rule matches."""
+    a, b = (x.select("file", *(F.col(c).alias(f"{side}_{c}") for c in x.columns if c != "file")) for side, x in (("old", old), ("new", new)))
+    pairs = a.join(b, "file").where((F.col("old_kind") == F.col("new_kind")) | (F.col("old_kind").isin(ALIKE) & F.col("new_kind").isin(ALIKE)))
+    same = {c: F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}")) for c in ("path", "name", "qualified", "parent", "body_hash")}
+    pairs = pairs.where((same["path"] & same["qualified"]) | same["name"] | same["parent"]).withColumn("body", _near("old_body", "new_body")).withColumn("signature", _near("old_signature", "new_signature"))
+    chosen = None
+    for kind, facts, least_body, constant, of_body, of_signature, cap, least in MATCHES:
+        holds = F.col("body") >= least_body
+        for f in facts:
+            holds = holds & (~same[f[4:]] if f.startswith("not ") else same[f])
+        score = F.least(F.lit(cap), constant + of_body * F.col("body") + of_signature * F.col("signature"))
+        told = F.struct(score.alias("score"), F.lit(kind).alias("kind"), F.lit(least).alias("least"))
+        chosen = F.when(holds, told) if chosen is None else chosen.when(holds, told)
+    found = pairs.withColumn("m", chosen).where("m.score >= m.least")
+    return found.select("file", "old_id", "new_id", F.col("m.score").alias("score"), F.col("m.kind").alias("kind"))
 
 
 def match_symbols(old: DataFrame, new: DataFrame, margin: float = 0.03) -> DataFrame:
-    """(file, old_id, new_id, score, kind): pairs of the symbols of each file's two states. Pairs whose score is
-    within the margin of another of either side are ambiguous and left out; the rest is taken by score. A file's
-    symbols are one group: a file bounds it."""
-    schema = "file string, old_id long, new_id long, score double, kind string"
-
-    def match(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        pairs = []
-        for i, x in enumerate(a.itertuples()):
-            for j, y in enumerate(b.itertuples()):
-                got = match_score(x, y)
-                if got and got[0] >= (0.9 if got[1] in ("renamed", "moved") else 0.86):
-                    pairs.append((got[0], i, j, x.id, y.id, got[1]))
-        out, left, right = [], set(), set()
-        for s, i, j, p, q, kind in sorted(pairs, key=lambda r: (-r[0], r[1], r[2])):
-            rival = s < 1.0 and any((r[1] == i) != (r[2] == j) and abs(r[0] - s) < margin for r in pairs)
-            if not rival and i not in left and j not in right:
-                left.add(i)
-                right.add(j)
-                out.append((key[0], p, q, round(s, 6), kind))
-        return pd.DataFrame(out, columns=["file", "old_id", "new_id", "score", "kind"])
-
-    return old.groupBy("file").cogroup(new.groupBy("file")).applyInPandas(match, schema)
+    """(file, old_id, new_id, score, kind): pairs of the symbols (file, id, kind, path, name, qualified, parent,
+    body_hash, body, signature) of each file's two states. A pair whose score is within the margin of another one of
+    either side is ambiguous and left out, unless it is sure; of the rest, each round takes the pairs that are the
+    best of both sides, until none is left."""
+    pairs = written(scored_pairs(old, new))
+    by_old, by_new = Window.partitionBy("file", "old_id"), Window.partitionBy("file", "new_id")
+    rivals, reach = None, round(margin * 1e9) - 1
+    for side in ("old_id", "new_id"):
+        near = F.count("*").over(Window.partitionBy("file", side).orderBy("units").rangeBetween(-reach, reach)) > 1
+        rivals = near if rivals is None else rivals | near
+    left = written(pairs.withColumn("units", F.round(F.col("score") * 1e9).cast("long")).withColumn("rival", rivals & (F.col("score") < 1)).where("NOT rival").drop("rival", "units"))
+    out = None
+    while not left.isEmpty():
+        first = F.struct(-F.col("score"), "old_id", "new_id")
+        best = written(left.withColumn("f", first).withColumn("o", F.min("f").over(by_old)).withColumn("n", F.min("f").over(by_new)).where((F.col("f") == F.col("o")) & (F.col("f") == F.col("n"))).drop("f", "o", "n"))
+        out = best if out is None else out.unionByName(best)
+        left = written(left.join(best.select("file", "old_id"), ["file", "old_id"], "left_anti").join(best.select("file", "new_id"), ["file", "new_id"], "left_anti"))
+    out = pairs.limit(0) if out is None else out
+    return out.withColumn("score", F.round("score", 6))

@@ -2,6 +2,8 @@
 
 import subprocess
 
+import pytest
+
 from palimpsest.sources.repository import RepositorySource
 from palimpsest.streaming import events as E
 
@@ -29,7 +31,19 @@ def test_repository(spark, tmp_path):
     assert changes == {("added", None, "a.txt", 4), ("renamed", "a.txt", "b.txt", 1)}
     assert [r["name"] for r in read("tags").collect()] == ["v1"]
     assert [(r["path"], r["size"]) for r in read("tree").collect()] == [("b.txt", 24)]
-    assert len({r["sha"] for r in read("blame", file="b.txt").collect()}) == 2
+    blame = read("blame", file="b.txt").orderBy("line").collect()
+    assert len({r["sha"] for r in blame}) == 2 and [(r["source"], r["original_path"]) for r in blame][3:] == [("four", "a.txt"), ("five", "b.txt")]
+    assert [(r["line"], r["original_line"]) for r in read("blame", file="b.txt", lines="2,3").collect()] == [(2, 2), (3, 3)]
+    blob = read("blob", file="b.txt", mostBytes="7").first()
+    assert (bytes(blob["content"]), blob["size"], blob["truncated"]) == (b"one\ntwo", 24, True)
+    assert bytes(read("blob", rev=blob["blob"]).first()["content"]).endswith(b"five\n")
+    diff = read("diff", context="0").first()
+    assert diff["path"] == "b.txt" and "@@ -4,0 +5 @@ four\n+five" in diff["diff"] and not diff["truncated"]
+    assert [(r["path"], r["truncated"]) for r in read("diff", rev="HEAD~1..HEAD", mostBytes="10").collect()] == [("b.txt", True)]
+    assert [(r["change_type"], r["old_path"]) for r in read("follow", file="b.txt").orderBy("place").collect()] == [("renamed", "a.txt"), ("added", None)]
+    assert read("commits", rev="HEAD~1..HEAD").first()["committer_email"] == "a@x"
+    with pytest.raises(Exception, match="more than mostCommits"):
+        read("commits", mostCommits="1").collect()
 
 
 def test_windowed_stream_equals_batch(spark, tmp_path):
