@@ -32,6 +32,21 @@ def szz_score(blamed: DataFrame, commits: DataFrame) -> DataFrame:
     return per.join(commits, "commit_id").select("commit_id", "lines", F.round(score, LABEL).alias("score"), F.when(F.round(score, LABEL) >= 0.8, "strong").otherwise("moderate").alias("label"))
 
 
+def szz_analysis(fixed: DataFrame, blame: DataFrame, commits: DataFrame) -> DataFrame:
+    """(commit_id, lines, score, label): the commits that last wrote (file_id, line, origin) what fixes (commit_id,
+    file_id, line) changed, but for the fixes themselves."""
+    met = fixed.join(blame, ["file_id", "line"]).where("commit_id <> origin")
+    return szz_score(met.select(F.col("origin").alias("commit_id")), commits)
+
+
+def investigation_report(signals: DataFrame, commits: DataFrame, authors: DataFrame, modules: DataFrame, k: int) -> DataFrame:
+    """(place, commit_id, score, label, reasons, author, modules): the best candidates with the signals that speak
+    for them, their author and the number of modules that they touch."""
+    why = signals.groupBy("commit_id").agg(F.array_join(F.array_sort(F.collect_set("signal")), ",").alias("reasons"))
+    ranked = candidate_ranking(signals, commits, k)
+    return ranked.join(why, "commit_id").join(authors, "commit_id").join(modules, "commit_id", "left").select("place", "commit_id", "score", "label", "reasons", "author", F.coalesce("modules", F.lit(0)).cast("long").alias("modules"))
+
+
 def bisect_midpoint(commits: DataFrame, by: str) -> DataFrame:
     """The commit in the middle, (n - 1) // 2, of each range in order of time."""
     w = Window.partitionBy(by)

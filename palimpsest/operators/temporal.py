@@ -141,3 +141,42 @@ def file_lineage(changes: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["repo", "pos", "path", "kind", "lineage"])
 
     return changes.groupBy("repo").applyInPandas(fold, "repo string, pos long, path string, kind string, lineage string")
+
+
+def rule_history(edges: DataFrame, snapshots: DataFrame, rules: DataFrame) -> DataFrame:
+    """(rule, snapshot, violations) of rules (rule, src, dst) over all snapshots, 0 where there are none: what saving
+    a rule works out anew. Rules are few and written by hand; they are sent to all tasks."""
+    hits = edges.join(F.broadcast(rules), ["src", "dst"]).groupBy("rule", "snapshot").agg(F.count("*").alias("n"))
+    every = snapshots.select("snapshot").distinct().withColumn("rule", F.explode(F.array(*[F.lit(r[0]) for r in rules.select("rule").distinct().collect()])))
+    return every.join(hits, ["rule", "snapshot"], "left").select("rule", "snapshot", F.coalesce("n", F.lit(0)).cast("long").alias("violations"))
+
+
+def default_baseline(snapshots: DataFrame, baselines: DataFrame) -> DataFrame:
+    """(snapshot, automatic): the baseline (snapshot, chosen_at) chosen last; without any, the first snapshot."""
+    chosen = baselines.orderBy(F.desc("chosen_at"), F.desc("snapshot")).limit(1).select("snapshot", F.lit(False).alias("automatic"))
+    first = snapshots.agg(F.min("snapshot").alias("snapshot")).where("snapshot IS NOT NULL").select("snapshot", F.lit(True).alias("automatic"))
+    return chosen.unionByName(first).orderBy("automatic").limit(1)
+
+
+def read_snapshot(edges: DataFrame, snapshot) -> DataFrame:
+    """(src, dst, weight) of the last snapshot that isn't after the one asked for."""
+    at = edges.where(F.col("snapshot") <= snapshot).agg(F.max("snapshot"))
+    return edges.where(F.col("snapshot") == at.scalar()).select("src", "dst", "weight")
+
+
+def events_with_context(edges: DataFrame, requests: DataFrame) -> DataFrame:
+    """(snapshot, event, n, requests): counts of the events of each snapshot with the requests (snapshot, request)
+    of its time, in order."""
+    asked = requests.groupBy("snapshot").agg(F.array_join(F.transform(F.array_sort(F.collect_set("request")), lambda x: x.cast("string")), ",").alias("requests"))
+    return evolution_events(edges).join(asked, "snapshot", "left").select("snapshot", "event", "n", F.coalesce("requests", F.lit("")).alias("requests"))
+
+
+def match_deleted(gone: DataFrame, come: DataFrame) -> DataFrame:
+    """(new_id, old_id, kind) of symbols that came (id, path, name, body_hash, moment) and went before: of the same
+    body and name, moved if the old one went at the same moment, reintroduced if earlier. The last one gone is taken
+    first, and each old one once."""
+    old = gone.select(F.col("id").alias("old_id"), F.col("path").alias("old_path"), "name", "body_hash", F.col("moment").alias("went"))
+    pairs = come.join(old, ["name", "body_hash"]).where(F.col("went") <= F.col("moment"))
+    by_new = pairs.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("went"), "old_id"))).where("r = 1")
+    once = by_new.withColumn("s", F.row_number().over(Window.partitionBy("old_id").orderBy("moment", "id"))).where("s = 1")
+    return once.select(F.col("id").alias("new_id"), "old_id", F.when(F.col("went") == F.col("moment"), "moved").otherwise("reintroduced").alias("kind"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import investigate as I
+from ..operators import traces as R
 from .registry import query
 
 INFO = "WITH info AS (SELECT commits.commit_id, moment, is_merge, n AS files_changed FROM commits JOIN (SELECT commit_id, count(DISTINCT file_id) AS n FROM changes GROUP BY 1) c ON commits.commit_id = c.commit_id)"
@@ -97,3 +98,63 @@ def parse_status(h):
     path = F.when(F.col("file_id") % 11 == 0, F.concat(F.lit("x/vendor/"), F.col("path"))).otherwise(F.col("path"))
     known = F.col("language").rlike("^[SP]")
     return I.parse_status(h.sources().select("file_id", path.alias("path"), (F.col("lines") * 100).alias("size_bytes"), (F.col("file_id") % 13 == 0).alias("is_binary"), known.alias("supported")), 4500)
+
+
+def diffs(h):
+    """A diff without context for each file of a commit: a hunk for each line of the change, at ten times its number,
+    that removes a comment, removes code, or only adds."""
+    n = F.col("change_order")
+    start = (n * 10).cast("string")
+    body = F.when(n % 3 == 0, "-# note\n+# other").when(n % 3 == 1, "-return broken\n+return fixed").otherwise("+added")
+    hunk = F.concat(F.lit("@@ -"), start, F.lit(" +"), start, F.lit(" @@\n"), body)
+    once = h.changes().select("commit_id", "file_id", "change_order", hunk.alias("hunk")).distinct()
+    return once.groupBy("commit_id", "file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("change_order", "hunk"))), lambda x: x["hunk"]), "\n").alias("diff"))
+
+
+SZZ = """WITH d AS (SELECT DISTINCT commit_id, file_id, change_order AS n FROM changes), l AS (SELECT *, n = max(n) OVER (PARTITION BY commit_id, file_id) AS last FROM d),
+ b AS (SELECT commit_id, file_id, unnest(CASE WHEN n % 3 = 1 THEN [n * 10] WHEN last THEN [n * 10 - 1, n * 10, n * 10 + 1, n * 10 + 2] ELSE [n * 10 - 1, n * 10, n * 10 + 1] END) AS line FROM l)"""
+
+
+@query("changes", SZZ + " SELECT commit_id, file_id, CAST(line AS BIGINT) AS line FROM b")
+def szz_lines(h):
+    d = diffs(h).withColumn("id", F.struct("commit_id", "file_id"))
+    return R.blamed_lines(d.select("id", "diff")).select("id.commit_id", "id.file_id", "line")
+
+
+BLAME = "bl AS (SELECT file_id, line, min(moment * 1000000 + commit_id) % 1000000 AS origin FROM (SELECT c.file_id, unnest(range(change_order * 10 - 5, change_order * 10 + 5)) AS line, moment, c.commit_id FROM changes c JOIN commits ON c.commit_id = commits.commit_id) GROUP BY 1, 2)"
+
+
+@query("commits changes", SZZ + ", " + BLAME + """, info AS (SELECT commits.commit_id, is_merge, n AS files_changed FROM commits JOIN (SELECT commit_id, count(DISTINCT file_id) AS n FROM changes GROUP BY 1) c ON commits.commit_id = c.commit_id),
+ f AS (SELECT origin AS commit_id, count(*) AS lines FROM b JOIN bl ON b.file_id = bl.file_id AND b.line = bl.line WHERE b.commit_id % 7 = 0 AND b.commit_id <> origin GROUP BY 1), s AS (SELECT f.commit_id, lines, round(least(1.0, 0.75 + 0.25 * lines / CAST((SELECT max(lines) FROM f) AS DOUBLE)) * CASE WHEN is_merge OR files_changed > 100 THEN 0.55 ELSE 1.0 END, 4) AS score FROM f JOIN info ON f.commit_id = info.commit_id)
+ SELECT commit_id, lines, score, CASE WHEN score >= 0.8 THEN 'strong' ELSE 'moderate' END AS label FROM s""")
+def szz_analysis(h):
+    """Fixes are the commits of every seventh number; a line's origin is the first commit that touched its place."""
+    place = F.explode(F.sequence(F.col("change_order") * 10 - 5, F.col("change_order") * 10 + 4)).alias("line")
+    touched = h.changes().select("commit_id", "file_id", place).join(h.commits().select("commit_id", "moment"), "commit_id")
+    blame = touched.groupBy("file_id", "line").agg(F.min(F.struct("moment", "commit_id")).alias("x")).select("file_id", F.col("line").cast("long").alias("line"), F.col("x.commit_id").alias("origin"))
+    return I.szz_analysis(szz_lines(h).where("commit_id % 7 = 0"), blame, info(h))
+
+
+@query("sources", """WITH f AS (SELECT file_id AS id, CASE file_id % 4 WHEN 0 THEN path WHEN 1 THEN '/srv/' || upper(path) WHEN 2 THEN '/usr/site-packages/' || path ELSE 'gone/' || module END AS p, lines AS line, 'f' || file_id AS fn FROM sources)
+ SELECT id, CASE WHEN id % 4 = 0 THEN 'exact' WHEN id % 4 = 1 THEN CASE WHEN line >= 20 THEN 'symbol_match' ELSE 'path_match' END WHEN id % 4 = 2 THEN 'external' ELSE 'unresolved' END AS status, CASE WHEN id % 4 < 2 THEN id END AS file_id,
+  CASE WHEN id % 4 < 2 AND line >= 20 THEN 'f' || id END AS symbol, CAST(CASE WHEN id % 4 < 2 AND line >= 20 THEN 1.0 END AS DOUBLE) AS confidence FROM f""")
+def frame_resolution(h):
+    s, k = h.sources(), F.col("file_id") % 4
+    path = F.when(k == 0, F.col("path")).when(k == 1, F.concat(F.lit("/srv/"), F.upper("path"))).when(k == 2, F.concat(F.lit("/usr/site-packages/"), "path")).otherwise(F.concat(F.lit("gone/"), "module"))
+    name = F.concat(F.lit("f"), F.col("file_id").cast("string"))
+    frames = s.select(F.col("file_id").alias("id"), F.lit(0).alias("frame"), path.alias("file"), F.col("lines").alias("line"), F.concat(F.lit("X."), name).alias("function"))
+    symbols = s.select("file_id", name.alias("symbol"), name.alias("name"), F.lit(20).alias("first"), F.lit(50).alias("last")).unionByName(s.select("file_id", F.lit("o").alias("symbol"), F.lit("o").alias("name"), F.lit(20).alias("first"), F.lit(49).alias("last")))
+    return R.resolve_frames(frames, s, symbols).drop("frame")
+
+
+REPORT = INFO + """, s AS (SELECT commit_id, max(CASE WHEN change_type = 'renamed' THEN 0.45 ELSE 0.0 END) + max(CASE WHEN additions > 45 THEN 0.25 ELSE 0.0 END) + max(CASE WHEN deletions > 8 THEN 0.10 ELSE 0.0 END) AS raw0, array_to_string(list_filter([CASE WHEN bool_or(change_type = 'renamed') THEN 'blame' END, CASE WHEN bool_or(deletions > 8) THEN 'range' END, CASE WHEN bool_or(additions > 45) THEN 'symbol' END], lambda x: x IS NOT NULL), ',') AS reasons
+  FROM changes GROUP BY 1 HAVING bool_or(change_type = 'renamed' OR additions > 45 OR deletions > 8)), r AS (SELECT s.commit_id, moment, reasons, round(raw0 * CASE WHEN is_merge OR files_changed > 100 THEN 0.6 ELSE 1.0 END, 9) AS raw FROM s JOIN info ON s.commit_id = info.commit_id), t AS (SELECT *, row_number() OVER (ORDER BY raw DESC, moment, commit_id) AS place FROM r)"""
+
+
+@query("commits changes", REPORT + """ SELECT CAST(place AS INTEGER) AS place, t.commit_id, CAST(round(least(raw, 1.0), 4) AS DOUBLE) AS score, CASE WHEN raw >= 0.7 THEN 'strong' WHEN raw >= 0.4 THEN 'moderate' ELSE 'weak' END AS label, reasons, c_name AS author,
+ (SELECT count(DISTINCT s_nationkey) FROM changes x JOIN supplier ON x.file_id = s_suppkey WHERE x.commit_id = t.commit_id) AS modules FROM t JOIN commits ON t.commit_id = commits.commit_id JOIN customer ON author_id = c_custkey WHERE place <= 25""")
+def investigation_report(h):
+    tests = {"blame": F.col("change_type") == "renamed", "symbol": F.col("additions") > 45, "range": F.col("deletions") > 8}
+    signals = h.changes().select("commit_id", F.explode(F.array_compact(F.array(*(F.when(t, s) for s, t in tests.items())))).alias("signal"))
+    modules = h.changes().join(h.files(), "file_id").groupBy("commit_id").agg(F.countDistinct("module_id").alias("modules"))
+    return I.investigation_report(signals, info(h), h.commits().join(h.authors(), "author_id").select("commit_id", F.col("name").alias("author")), modules, 25)

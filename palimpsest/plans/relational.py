@@ -100,3 +100,21 @@ def link_materialisation(h):
 def share_and_rank(h):
     w = Window.partitionBy("author_id")
     return h.commits().select("commit_id", "author_id", F.round(1 / F.count("*").over(w), 6).alias("share"), F.row_number().over(w.orderBy("moment", "commit_id")).alias("place"))
+
+
+@query("commits changes", "SELECT commit_id, author_id FROM commits WHERE commit_id IN (SELECT commit_id FROM changes WHERE additions > 25)")
+def reconcile_deletes(h):
+    return M.without_gone(h.commits().select("commit_id", "author_id"), h.changes().where("additions > 25"), "commit_id")
+
+
+@query("commits", "WITH o AS (SELECT author_id, commit_id FROM commits WHERE is_merge), f AS (SELECT author_id, min(commit_id) AS commit_id FROM commits WHERE NOT is_merge GROUP BY 1) SELECT * FROM o UNION ALL SELECT * FROM f WHERE author_id NOT IN (SELECT author_id FROM o)")
+def insert_absent(h):
+    c = h.commits()
+    return M.insert_absent(c.where("is_merge").select("author_id", "commit_id"), c.where("NOT is_merge").select("author_id", "commit_id"), "author_id", "commit_id")
+
+
+@query(sql="SELECT event_id AS record, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, substring(event_type, 1, 5) AS body, length(event_type) > 5 AS truncated, CASE WHEN event_type = 'view' THEN 'pull_request' ELSE 'issue' END AS kind FROM events WHERE user_id % 2 = 0 AND event_id = (SELECT max(e.event_id) FROM events e WHERE e.user_id = events.user_id AND e.event_type = events.event_type)")
+def record_normalisation(h):
+    """Raw records by their natural key, the last one of each; a record with a pull request's mark is no issue."""
+    raw = h.table("events").where("user_id % 2 = 0").select(F.struct(F.col("user_id"), F.col("event_type")).alias("natural"), "event_id", F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.get_json_object("props", "$.k").alias("k"), F.col("event_type").alias("body"), (F.col("event_type") == "view").alias("pull_request"))).alias("record"))
+    return M.normalised_records(raw, "natural", "event_id", most=5)

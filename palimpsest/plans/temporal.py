@@ -101,3 +101,41 @@ def file_lineage(h):
     path, to = F.concat(F.lit("f"), F.col("l_partkey") % 50), F.concat(F.lit("f"), (F.col("l_partkey") + F.col("l_orderkey")) % 50)
     kind = F.when(F.col("l_returnflag") == "R", "renamed").when(F.col("l_linenumber") == 1, "added").when(F.col("l_linenumber") == 7, "deleted").otherwise("modified")
     return T.file_lineage(rows.select(F.col("l_suppkey").cast("string").alias("repo"), (F.col("l_orderkey") * 64 + F.col("l_linenumber") * 8 + F.col("l_partkey") % 8).alias("pos"), F.when(kind != "added", path).alias("old_path"), F.when(kind == "renamed", to).when(kind != "deleted", path).alias("new_path"), kind.alias("kind")))
+
+
+QUARTER_LINKS = "rq AS (SELECT DISTINCT CAST(year(o_orderdate) * 4 + quarter(o_orderdate) AS BIGINT) AS snapshot, conv_id AS request FROM orders JOIN (SELECT DISTINCT conv_id FROM conversations) ON o_custkey = conv_id)"
+
+
+@query("lines snaps", CONSEC + ", v AS (SELECT snapshot, CASE WHEN before IS NULL THEN 'dependency_introduced' WHEN weight IS NULL THEN 'dependency_removed' WHEN weight <> before THEN 'dependency_weight_changed' END AS event FROM c), k AS (SELECT snapshot, event, count(*) AS n FROM v WHERE event IS NOT NULL GROUP BY 1, 2), " + QUARTER_LINKS + ", a AS (SELECT snapshot, string_agg(CAST(request AS VARCHAR), ',' ORDER BY request) AS requests FROM rq GROUP BY 1) SELECT k.snapshot, event, n, coalesce(requests, '') AS requests FROM k LEFT JOIN a ON k.snapshot = a.snapshot")
+def evolution_context(h):
+    quarter = (F.year("o_orderdate") * 4 + F.quarter("o_orderdate")).cast("long")
+    asked = h.table("orders").join(h.table("conversations").select("conv_id").distinct(), F.col("o_custkey") == F.col("conv_id")).select(quarter.alias("snapshot"), F.col("conv_id").alias("request"))
+    return T.events_with_context(h.snapshots(), asked)
+
+
+@query("lines snaps", "WITH r(rule, src, dst) AS (VALUES ('a', 0, 1), ('b', 2, 3), ('b', 3, 2)), s AS (SELECT DISTINCT snapshot FROM snaps) SELECT n.rule, s.snapshot, (SELECT count(*) FROM snaps JOIN r ON snaps.src = r.src AND snaps.dst = r.dst WHERE r.rule = n.rule AND snaps.snapshot = s.snapshot) AS violations FROM s, (SELECT DISTINCT rule FROM r) n")
+def rule_history(h):
+    rules = h.spark.createDataFrame([("a", 0, 1), ("b", 2, 3), ("b", 3, 2)], "rule string, src int, dst int")
+    s = h.snapshots()
+    return T.rule_history(s, s, rules)
+
+
+@query("lines snaps", "WITH b AS (SELECT min(snapshot) AS snapshot FROM snaps), c AS (SELECT max(snapshot) AS snapshot FROM snaps WHERE snapshot % 4 = 0) SELECT coalesce(c.snapshot, b.snapshot) AS snapshot, c.snapshot IS NULL AS automatic FROM b, c")
+def default_baseline(h):
+    s = h.snapshots().select("snapshot").distinct()
+    return T.default_baseline(s, s.where("snapshot % 4 = 0").withColumn("chosen_at", F.col("snapshot")))
+
+
+@query("lines snaps", "SELECT src, dst, weight FROM snaps WHERE snapshot = (SELECT max(snapshot) FROM snaps WHERE snapshot <= (SELECT (min(snapshot) + max(snapshot)) // 2 FROM snaps))")
+def snapshot_read(h):
+    s = h.snapshots()
+    return T.read_snapshot(s, s.agg(F.floor((F.min("snapshot") + F.max("snapshot")) / 2)).scalar())
+
+
+@query("versions", """WITH g AS (SELECT version_id AS old_id, name, lineage % 30 AS body, moment // 86400 AS went FROM versions WHERE kind = 'deleted' OR name = 'view'), n AS (SELECT version_id AS id, 'view' AS name, lineage % 30 AS body, moment // 86400 AS moment FROM versions WHERE kind = 'introduced'),
+ p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY went DESC, old_id) AS r FROM n JOIN g ON n.name = g.name AND n.body = g.body AND went <= n.moment), q AS (SELECT *, row_number() OVER (PARTITION BY old_id ORDER BY moment, id) AS s FROM p WHERE r = 1)
+ SELECT id AS new_id, old_id, CASE WHEN went = moment THEN 'moved' ELSE 'reintroduced' END AS kind FROM q WHERE s = 1""")
+def deleted_pool(h):
+    v = h.versions().withColumn("body_hash", F.col("lineage") % 30).withColumn("path", F.lit("x")).withColumn("moment", F.floor(F.col("moment") / 86400))
+    gone = v.where("kind = 'deleted' OR name = 'view'").select(F.col("version_id").alias("id"), "path", "name", "body_hash", "moment")
+    return T.match_deleted(gone, v.where("kind = 'introduced'").select(F.col("version_id").alias("id"), "path", F.lit("view").alias("name"), "body_hash", "moment"))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.lineage import numbered
 from palimpsest.functions.scalars import cosine
+from palimpsest.operators import build as BU
 from palimpsest.operators import coupling as C
+from palimpsest.operators import documents as DO
+from palimpsest.operators import filters as FI
 from palimpsest.operators import graphs as G
 from palimpsest.operators import investigate as I
 from palimpsest.operators import merge as M
@@ -274,3 +277,62 @@ def test_symbols_are_nested(spark):
 
     got = [(s[0], s[2]) for s in python_symbols("class A:\n  'doc'\n  def __init__(self): pass\n  async def m(self):\n    def inner(): pass\ndef f(): pass")]
     assert got == [("A", "class"), ("A.__init__", "constructor"), ("A.m", "method"), ("A.m.inner", "function"), ("f", "function")]
+
+
+def test_sinks(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    M.write_table(spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "c", "y")], "key int, body string, scope string"), path, by="scope")
+    M.write_table(spark.createDataFrame([(4, "d", "z")], "key int, body string, scope string"), path, by="scope")
+    got = M.rebuild(path, spark.createDataFrame([(9, "n", "x")], "key int, body string, scope string"), "scope")
+    assert rows(got.select("key", "scope"), "key") == [(3, "y"), (4, "z"), (9, "x")]
+    flat = f"file://{tmp_path}/flat"
+    M.write_table(got.select("key", "body"), flat)
+    assert M.reconcile(flat, spark.createDataFrame([(3,), (9,), (10,)], "key int"), "key") == 1
+    assert rows(spark.read.parquet(flat), "key") == [(3, "c"), (9, "n")] and M.reconcile(flat, spark.createDataFrame([(3,), (9,)], "key int"), "key") == 0
+    more = M.insert_absent(spark.read.parquet(flat), spark.createDataFrame([(9, "new"), (5, "z"), (5, "y")], "key int, body string"), "key", "body")
+    assert rows(more, "key") == [(3, "c"), (5, "y"), (9, "n")]
+
+
+def test_path_and_input_predicates(spark):
+    given = [("src/.env",), (".env.local",), ("a\\b\\ID_RSA",), ("x.PEM",), ("secrets.yml",), ("environment",), ("a/secretsx",), (None,)]
+    df = spark.createDataFrame(given, "p string")
+    assert [r[0] for r in df.select(FI.sensitive_path(F.col("p"))).collect()] == [True, True, True, True, True, False, False, False]
+    names = spark.createDataFrame([("a",), ("a/b",), ("a::b",), ("ab",), (None,)], "p string")
+    assert [r[0] for r in names.select(FI.under(F.col("p"), "a")).collect()] == [True, True, True, False, None]
+    paths = spark.createDataFrame([("a/b.py",), ("../a",), ("a//b",), ("/a",), ("-x",), ("",), (None,)], "p string")
+    assert [r[0] for r in paths.select(FI.valid_path(F.col("p"))).collect()] == [True] + [False] * 6
+    urls = spark.createDataFrame([("https://host.org/o/r.git",), ("https://host.org/o/r/",), ("http://host.org/o/r",), ("https://u@host.org/o/r",), ("https://host.org/o/r?x=1",), ("https://host.org/o",)], "u string")
+    assert [r[0] for r in urls.select(FI.repository_name(F.col("u"))).collect()] == ["o/r", "o/r", None, None, None, None]
+    with pytest.raises(ValueError):
+        FI.sorted_by(df, {"a": F.col("p")}, "b")
+
+
+def test_calls_and_bases(spark):
+    body = "def load(x):\n    if (x):\n        y = a.b.fetch(x)\n    return load(\n  x)\n" + " " * 160 + "load(y)"
+    df = spark.createDataFrame([(1, "load", 10, body), (2, "z", 1, "no calls")], "symbol long, name string, first_line int, body string")
+    assert rows(BU.call_sites(df), "line") == [(1, "a.b.fetch", "fetch", 12), (1, "load", "load", 15)]
+    signatures = [(1, "class", "class A(Base, Generic[T]):"), (2, "class", "class B extends x.C implements D, E {"), (3, "function", "class no(F):"), (4, "class", None)]
+    got = rows(BU.inheritance(spark.createDataFrame(signatures, "symbol long, kind string, signature string")), "symbol", "base")
+    assert got == [(1, "Base", "INHERITS"), (1, "Generic", "INHERITS"), (2, "D", "IMPLEMENTS"), (2, "E", "IMPLEMENTS"), (2, "x.C", "INHERITS")]
+    paths = spark.createDataFrame([("src/core/a/__init__.py",), ("src/x.py",), ("lib/a.b/c.py",), ("top.py",), ("__init__.py",), ("docs/.hidden",)], "p string")
+    assert [tuple(r) for r in paths.select(BU.component_of(F.col("p")), BU.module_of(F.col("p"))).collect()] == [
+        ("src/core", "src/core/a"), ("src", "src/x"), ("lib/a.b", "lib/a.b/c"), ("root", "top"), ("root", "root"), ("docs", "docs/.hidden"),
+    ]
+
+
+def test_questions_and_claims(spark):
+    asked = [(1, "Why does PR #12 fix issue 7 in Service.load_all at deadbeef1?"), (2, "what is this"), (3, None)]
+    assert rows(DO.question_targets(spark.createDataFrame(asked, "id int, text string")), "id") == [(1, 12, 7, "deadbeef1", "Service.load_all,PR"), (2, None, None, None, ""), (3, None, None, None, "")]
+    assert [r[0] for r in spark.createDataFrame([("Who wrote it",), ("when was it introduced",), ("",)], "t string").select(DO.intent_of(F.col("t"))).collect()] == ["authorship", "introduction", "general"]
+    claims = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "x"]), (3, [])], "claim int, keys array<string>")
+    got = DO.cited_claims(claims, spark.createDataFrame([("a",), ("b",)], "key string"))
+    assert rows(got.select("claim", "valid"), "claim") == [(1, True), (2, False), (3, False)]
+    vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="not 2 numbers: 2"):
+        DO.check_vectors(vectors, 2).collect()
+
+
+def test_moves_and_reintroductions(spark):
+    gone = spark.createDataFrame([(1, "a", "f", "h", 5), (2, "b", "f", "h", 3), (3, "c", "g", "k", 9)], "id long, path string, name string, body_hash string, moment long")
+    come = spark.createDataFrame([(10, "z", "f", "h", 5), (11, "z", "g", "k", 8), (12, "y", "f", "h", 4)], "id long, path string, name string, body_hash string, moment long")
+    assert rows(T.match_deleted(gone, come), "new_id") == [(10, 1, "moved"), (12, 2, "reintroduced")]

@@ -59,10 +59,30 @@ def test_windowed_stream_equals_batch(spark, tmp_path):
 
 
 def test_incremental_sync(spark, tmp_path):
-    folder = tmp_path / "sync"
-    spark.sql("DROP TABLE IF EXISTS synced")
-    for part in ([(1, "a"), (2, "b")], [(2, "c"), (3, "d")]):
-        spark.createDataFrame(part, "key int, body string").coalesce(1).write.mode("append").parquet(str(folder))
-        stream = spark.readStream.schema("key int, body string").parquet(str(folder))
-        E.sync_into(stream, "synced", "key", str(tmp_path / "ck")).awaitTermination()
-    assert [tuple(r) for r in spark.table("synced").orderBy("key").collect()] == [(1, "a"), (2, "c"), (3, "d")]
+    folder, table = tmp_path / "sync", str(tmp_path / "synced")
+    assert E.current(spark, table) is None
+    for part in ([(1, 1, "a"), (2, 2, "b")], [(2, 4, "c"), (2, 3, "x"), (3, 5, "d")]):
+        spark.createDataFrame(part, "key int, at int, body string").coalesce(1).write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema("key int, at int, body string").parquet(str(folder))
+        E.sync_into(stream, table, "key", "at", str(tmp_path / "ck")).awaitTermination()
+    assert [tuple(r) for r in E.current(spark, table).orderBy("key").collect()] == [(1, 1, "a"), (2, 4, "c"), (3, 5, "d")]
+    # a version that a cut-off batch left isn't read
+    spark.createDataFrame([(9, 9, "z")], "key int, at int, body string").write.parquet(f"{table}/data/version=7")
+    assert E.current(spark, table).count() == 3
+
+
+def run(stream, name, mode):
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).start()
+    q.processAllAvailable()
+    q.stop()
+
+
+def test_sessions_and_repeats_in_streams(spark, tmp_path):
+    folder = tmp_path / "in"
+    # one event twice, and a last one far ahead that closes the sessions
+    df = spark.sql("SELECT id % 19 AS event_id, timestamp_seconds(IF(id >= 10, 96000, 6000) + id * 60) AS ts, 1L AS user_id, 'a' AS event_type FROM range(20) WHERE id < 19 UNION ALL SELECT 5L, timestamp_seconds(6300), 1L, 'a' UNION ALL SELECT 99L, timestamp_seconds(900000), 1L, 'a'")
+    df.coalesce(1).write.parquet(str(folder))
+    run(E.without_repeats(E.read_events(spark, str(folder), df.schema)), "once", "append")
+    assert sorted(r["event_id"] for r in spark.table("once").collect()) == [*range(19), 99]
+    run(E.sessions(E.read_events(spark, str(folder), df.schema)), "sessions", "append")
+    assert sorted(r["n"] for r in spark.table("sessions").collect()) == [9, 11]
