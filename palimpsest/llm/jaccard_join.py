@@ -1,13 +1,15 @@
 """Exact n-gram Jaccard join that skips by the relations of sets.
 
-Documents with the same set are one class. A set's shingles are ordered by rarity, with those that many sets
-begin with demoted, and its first few are indexed: sets that are similar enough share one of these.
-* Lists of rare shingles are sorted by what of a set is still to come after the shingle. A probe reads a list's
-  blocks in this order and skips the rest once too little is to come. What passes is verified set by set.
+Documents with the same set are one class. Sets are hashed once and lie in shared files, from which later steps
+read them. A set's shingles are ordered by rarity, with those that many sets begin with demoted, and its first few
+are indexed: sets that are similar enough share one of these.
+* Lists of rare shingles are sorted by what of a set is still to come after the shingle, and cut into blocks whose
+  heads say how much is to come and how large their sets are. A probe passes over the blocks whose heads rule them
+  out, and leaves a list once too little is to come. What passes is verified set by set.
 * Sets that share a frequent shingle go by groups. A group's members are compared with one pivot first, which
   settles most; the others are met with the group in blocks of bounded size, where the overlaps of a set with
   all others are derived from those of the set before it, by the lists of the shingles in which the two differ.
-Sets lie in shared files that tasks map; links become components by alternating stars.
+Links become components by alternating stars.
 
 Sets and shingles are told apart by 64-bit hashes. Edge cases: null or empty texts and texts of white space have
 an empty set, which links with nothing; a text with fewer words than a shingle has one shingle; a null doc_id
@@ -17,6 +19,7 @@ comes after all others; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .hash_arrays import PAIRS_DDL, Sums, look_up, pairs, write_arrays
+from .hash_arrays import PAIRS_DDL, Sums, look_up, write_arrays
 from .shared import batch_of, mapped, materialise, mixed, open_fs, split_batches, text_bytes, work_dir
 
 _LAST = (1 << 63) - 1
-_DOCS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.int64())])
+_DOCS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.int64()), ("path", pa.string()), ("at", pa.int64())])
 _POSTINGS = pa.schema([("kind", pa.int32()), ("token", pa.int64()), ("set", pa.int64()), ("n", pa.int32()), ("left", pa.int32())])
 _EDGES = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
-_PLACES = pa.schema([("set", pa.int64()), ("path", pa.string()), ("at", pa.int64()), ("n", pa.int64())])
 RARE, FREQUENT = 0, 1
 #: Shingles of a block of sets, all told.
 BLOCK = 1 << 18
@@ -62,38 +64,40 @@ def _signed(values) -> pa.Array:
     return pa.array(np.asarray(values, np.uint64).view(np.int64))
 
 
-def _fresh(batches, k: int, seen: set, nonempty: bool = True):
-    """Sets of the batches that the task hasn't met lately, with their ids."""
-    for b in split_batches(batches, 4 << 20):
-        out = []
-        for s in shingle_sets(b.column("text").to_pylist(), k):
-            if len(s):
-                i = set_id(s)
-                if i not in seen:
-                    seen.add(i)
-                    out.append((i, s))
-        if len(seen) > 500_000:
-            seen.clear()
-        if out:
-            yield out
-
-
 def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
 class SetFiles:
-    """Sets by file and place, mapped once."""
+    """Sets by file and place. Files are mapped where they can be; of those read, the last ones used are kept."""
 
-    def __init__(self):
-        self.files: dict[str, object] = {}
+    def __init__(self, most: int = 8):
+        self.files: OrderedDict[str, object] = OrderedDict()
+        self.most = most
 
     def get(self, path: str, at: int, n: int) -> np.ndarray:
         if path not in self.files:
             self.files[path] = mapped(path)
+            while isinstance(self.files[path], bytes) and len(self.files) > self.most:
+                self.files.popitem(last=False)
+        self.files.move_to_end(path)
         return np.frombuffer(self.files[path], np.uint64, n, at)
 
 
+def stored(batches, most: int = 1 << 20):
+    """(set, shingles) of rows (set, path, at, n), some at a time."""
+    files, held, size = SetFiles(), [], 0
+    for b in batches:
+        for i, path, at, n in zip(*(b.column(c).to_pylist() for c in ("set", "path", "at", "n")), strict=True):
+            held.append((np.uint64(i & (1 << 64) - 1), files.get(path, at, n)))
+            size += n
+            if size >= most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
     if len(x) > len(y):
         x, y = y, x
@@ -102,26 +106,42 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def rare_pairs(token: np.ndarray, ids: np.ndarray, n: np.ndarray, left: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets in a list that may be similar enough. The arrays are sorted by token and, falling, left."""
+def rare_pairs(token: np.ndarray, ids: np.ndarray, n: np.ndarray, left: np.ndarray, percent: int, block: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets in a list that may be similar enough. The arrays are sorted by token and, falling, left. Each
+    entry probes its list from itself on, a block at a time, and looks into those blocks alone whose heads allow it:
+    the most that is still to come, which falls from block to block, and the least and the largest set."""
+    n, left, total = n.astype(np.int64), left.astype(np.int64), len(token)
+    if not total:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    size = np.diff(begin, append=total)
+    blocks = -(-size // block)
+    first = np.repeat(begin, blocks) + (np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * block
+    end = np.minimum(first + block, np.repeat(begin + size, blocks))
+    most, small, large, of_list = left[first], np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), token[first]
+    at, here = np.arange(total), np.repeat(np.arange(len(first)), end - first)
     out_a, out_b = [], []
-    at, step = np.arange(len(token)), 1
     while len(at):
-        at = at[at + step < len(token)]
-        at = at[token[at] == token[at + step]]
-        # at is the probe with more to come; once the other has too little, so have all after it
-        at = at[100 * left[at + step].astype(np.int64) >= percent * n[at].astype(np.int64)]
-        x, y = at, at + step
-        nx, ny = n[x].astype(np.int64), n[y].astype(np.int64)
-        least = np.minimum(left[x], left[y]).astype(np.int64)
-        ok = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & ((100 + percent) * least >= percent * (nx + ny)) & (ids[x] != ids[y])
+        # a probe has at most what is to come after it in common with another: leave once that has too little
+        live = 100 * most[here] >= percent * n[at]
+        at, here = at[live], here[live]
+        look = (100 * large[here] >= percent * n[at]) & (100 * n[at] >= percent * small[here])
+        x, low, high = at[look], np.maximum(first[here[look]], at[look] + 1), end[here[look]]
+        length = np.maximum(high - low, 0)
+        ends = np.cumsum(length)
+        y = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - length), length)
+        x = np.repeat(x, length)
+        least = np.minimum(left[x], left[y])
+        ok = (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & ((100 + percent) * least >= percent * (n[x] + n[y])) & (ids[x] != ids[y])
         out_a.append(ids[x[ok]])
         out_b.append(ids[y[ok]])
-        step += 1
+        more = here + 1 < len(first)
+        more[more] = of_list[here[more] + 1] == of_list[here[more]]
+        at, here = at[more], here[more] + 1
     a, b = np.concatenate([*out_a, np.empty(0, np.uint64)]), np.concatenate([*out_b, np.empty(0, np.uint64)])
     low, high = np.minimum(a, b), np.maximum(a, b)
-    _, first = np.unique(mixed(low, high), return_index=True)
-    return low[first], high[first]
+    _, once = np.unique(mixed(low, high), return_index=True)
+    return low[once], high[once]
 
 
 def block_links(probes: list[np.ndarray], others: list[np.ndarray], same: bool, percent: int) -> list[tuple[int, int]]:
@@ -172,34 +192,56 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, frequent: in
     spark = docs.sparkSession
     folder = work_dir(spark, "jaccard")
     shards = 1 << max(3, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    texts = docs.select(text_bytes().alias("text"))
 
     def classes(batches):
+        """Each row's set; the task's first row of a set has its place in the task's file."""
+        out, path, at, seen = None, f"{folder}/sets-{uuid.uuid4().hex}", 0, set()
         for b in split_batches(batches, 4 << 20):
             sets = shingle_sets(b.column("text").to_pylist(), k)
-            yield batch_of(_DOCS, b.column("doc_id"), [len(s) for s in sets], _signed([set_id(s) if len(s) else 0 for s in sets]))
+            names, paths, places = [], [], []
+            if len(seen) > 1_000_000:
+                seen.clear()
+            for x in sets:
+                i = set_id(x) if len(x) else 0
+                new = len(x) > 0 and i not in seen
+                if new:
+                    seen.add(i)
+                    if out is None:
+                        fs, name = open_fs(path)
+                        out = fs.open_output_stream(name)
+                    out.write(x.tobytes())
+                names.append(i)
+                paths.append(path if new else None)
+                places.append(at if new else None)
+                at += 8 * len(x) if new else 0
+            yield batch_of(_DOCS, b.column("doc_id"), [len(x) for x in sets], _signed(names), paths, places)
+        if out is not None:
+            out.close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    rows = materialise(rows.mapInArrow(classes, "doc_id long, n long, set long"), "jaccard-docs")
+    rows = materialise(rows.mapInArrow(classes, "doc_id long, n long, set long, path string, at long"), "jaccard-docs")
+    # one place for each set, dealt so that a task reads few files
+    once = rows.where("path IS NOT NULL").groupBy("set").agg(F.min(F.struct("path", "at", "n")).alias("p")).select("set", "p.path", "p.at", "p.n")
+    sets = materialise(once.repartitionByRange("path", "at").sortWithinPartitions("path", "at"), "jaccard-sets")
 
     def begun(batches):
         sums = Sums(1)
-        for sets in _fresh(batches, k, set()):
-            yield from sums.add(np.concatenate([s[: prefix_size(len(s), percent)] for _, s in sets]))
+        for some in stored(batches):
+            yield from sums.add(np.concatenate([x[: prefix_size(len(x), percent)] for _, x in some]))
         yield from sums.flush()
 
-    demoted = write_arrays(texts.mapInArrow(begun, PAIRS_DDL), folder, {1: frequent}).get(1)
+    demoted = write_arrays(sets.mapInArrow(begun, PAIRS_DDL), folder, {1: frequent}).get(1)
 
     def index(batches):
-        for sets in _fresh(batches, k, set()):
-            counts = look_up(demoted, np.concatenate([s for _, s in sets]))
+        for some in stored(batches):
+            counts = look_up(demoted, np.concatenate([x for _, x in some]))
             out, at = [], 0
-            for i, s in sets:
-                c = counts[at : at + len(s)]
-                at += len(s)
-                p = prefix_size(len(s), percent)
+            for i, x in some:
+                c = counts[at : at + len(x)]
+                at += len(x)
+                p = prefix_size(len(x), percent)
                 first = np.argsort(c, kind="stable")[:p]
-                out.append((np.where(c[first] > 0, FREQUENT, RARE), s[first], np.full(p, i, np.uint64), np.full(p, len(s)), len(s) - np.arange(p)))
+                out.append((np.where(c[first] > 0, FREQUENT, RARE), x[first], np.full(p, i, np.uint64), np.full(p, len(x)), len(x) - np.arange(p)))
             kind, token, ids, n, left = (np.concatenate(x) for x in zip(*out))
             for a in range(0, len(token), 200_000):
                 z = slice(a, a + 200_000)
@@ -213,8 +255,6 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, frequent: in
             return
         token, ids, n, left = (np.concatenate(x) for x in zip(*held))
         token, ids = token.view(np.uint64), ids.view(np.uint64)
-        _, first = np.unique(mixed(token, ids), return_index=True)  # copies of a set from other tasks
-        token, ids, n, left = token[first], ids[first], n[first], left[first]
         order = np.lexsort((-left, token))
         token, ids, n, left = token[order], ids[order], n[order], left[order]
         start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -233,7 +273,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, frequent: in
                 x, y = a[i : i + 200_000], b[i : i + 200_000]
                 yield batch_of(_EDGES, np.full(len(x), kind, np.int32), _signed(x), _signed(y))
 
-    postings = texts.mapInArrow(index, "kind int, token long, set long, n int, left int")
+    postings = sets.mapInArrow(index, "kind int, token long, set long, n int, left int")
     # a frequent shingle's sets are dealt over tasks by a salt, and its stars meet in the smallest set of each
     salt = F.when(F.col("kind") == FREQUENT, F.pmod("set", F.lit(32))).otherwise(F.lit(0))
     place = F.when(F.col("kind") == FREQUENT, F.pmod(F.xxhash64("token", salt), F.lit(shards))).otherwise(F.pmod("token", F.lit(shards)))
@@ -258,34 +298,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, frequent: in
     groups = materialise(connected_components(stars), "jaccard-groups")
     candidates = met.where(F.col("kind") == RARE).select("a", "b")
 
-    def wanted(batches):
-        for b in batches:
-            keys = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            yield from pairs(1, keys, np.ones(len(keys)))
-
-    needed = candidates.select("a").unionByName(candidates.select(F.col("b").alias("a"))).unionByName(groups.select(F.col("node").alias("a"))).distinct()
-    store = write_arrays(needed.mapInArrow(wanted, PAIRS_DDL), folder).get(1)
-
-    def keep(batches):
-        out, path, at, rows = None, f"{folder}/sets-{uuid.uuid4().hex}", 0, []
-        for sets in _fresh(batches, k, set()):
-            hit = look_up(store, np.array([i for i, _ in sets], np.uint64)) > 0
-            for (i, s), h in zip(sets, hit, strict=True):
-                if h:
-                    if out is None:
-                        fs, name = open_fs(path)
-                        out = fs.open_output_stream(name)
-                    out.write(s.tobytes())
-                    rows.append((i, path, at, len(s)))
-                    at += 8 * len(s)
-        if out is not None:
-            out.close()
-            ids, paths, ats, ns = zip(*rows)
-            yield batch_of(_PLACES, _signed(ids), paths, ats, ns)
-
-    kept = texts.mapInArrow(keep, "set long, path string, at long, n long") if store else spark.createDataFrame([], "set long, path string, at long, n long")
-    kept = materialise(kept, "jaccard-places")
-    places = kept.groupBy("set").agg(F.min(F.struct("path", "at", "n")).alias("p"))
+    places = sets.select("set", F.struct("path", "at", "n").alias("p"))
 
     def verify(batches):
         files = SetFiles()

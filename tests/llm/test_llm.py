@@ -253,6 +253,25 @@ def test_jaccard_keeps_one_of_each(spark, none):
     assert J.near_duplicates(none).count() == 0 and J.one_of_each(none).count() == 0
 
 
+def test_blocks_of_lists_lose_no_pair():
+    """All pairs of a list's sets that can be similar by size and by what is to come, for blocks of any size."""
+    r = np.random.default_rng(4)
+    token = np.sort(r.integers(0, 12, 600)).astype(np.uint64)
+    n = r.integers(5, 60, 600)
+    left = np.maximum(n - r.integers(0, 12, 600), 1)
+    ids = r.permutation(600).astype(np.uint64)
+    order = np.lexsort((-left, token))
+    token, n, left, ids = token[order], n[order], left[order], ids[order]
+    want = set()
+    for i in range(600):
+        for j in range(i + 1, 600):
+            a, b = int(n[i]), int(n[j])
+            if token[i] == token[j] and 100 * min(a, b) >= 85 * max(a, b) and 185 * min(left[i], left[j]) >= 85 * (a + b):
+                want.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    for block in (1, 4, 16, 1000):
+        assert {*zip(*(x.tolist() for x in J.rare_pairs(token, ids, n, left, 85, block)))} == want
+
+
 def test_overlaps_derived_from_a_similar_set():
     r = random.Random(2)
     base = np.unique(np.array([r.getrandbits(64) for _ in range(100)], np.uint64))
