@@ -89,12 +89,17 @@ def least_shared(size: int, least: float) -> int:
     return math.ceil(round(least * size / (2 - least), 9))
 
 
+#: Words of the templates that other texts have often too; they are anchors only where others don't do.
+ORDINARY = """a all and any are as author by code copy extent file for form from http in is may mit not of on or public source subject terms that the this to
+under use version with without work you""".split()
+
+
 def anchors(sets: list[list[str]], least: float) -> list[str]:
-    """Words of which any unit that matches a template has one: of each template the longest words, until
-    fewer bigrams are without one than a match must share."""
+    """Words of which any unit that matches a template has one: of each template the longest words, ordinary ones
+    last, until fewer bigrams are without one than a match must share."""
     found: set[str] = set()
     for own in sets:
-        words = sorted({w for b in own for w in b.split()}, key=lambda w: (-len(w), w))
+        words = sorted({w for b in own for w in b.split()}, key=lambda w: (w in ORDINARY or w.isdigit() or len(w) < 2, -len(w), w))
         for w in words:
             if sum(not found & {*b.split()} for b in own) < least_shared(len(own), least):
                 break
@@ -105,24 +110,34 @@ def anchors(sets: list[list[str]], least: float) -> list[str]:
 def license_matches(docs: DataFrame, least: float = 0.8, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """doc_id, license (best template or null), dice (rounded to 6 places, 0 without), n_units (that match)."""
     sets = [bigrams(normal_words(t)) for _, t in templates]
-    pattern = "|".join(anchors(sets, least))
+    words = anchors(sets, least)
+    # what holds a longer anchor holds a shorter one within it
+    words = [w for w in words if not any(o != w and o in w for o in words)]
     table = F.array(*(F.struct(F.lit(-k).alias("k"), F.lit(name).alias("name"), F.array(*map(F.lit, s)).alias("own")) for k, ((name, _), s) in enumerate(zip(templates, sets, strict=True))))
     shortest, longest = min(map(len, sets)), max(map(len, sets))
     low, high = least / (2 - least), (2 - least) / least
 
     text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     units = F.concat(F.array("t"), F.split("t", "\n[ \\t\\r]*\n"), F.split("t", "\n"), F.split(F.regexp_replace("t", "([.!?])[ \\t]+", "$1\n"), "\n"))
-    near = F.filter(F.array_distinct(units), lambda u: u.rlike(pattern))
-    # at most longest bigrams of a long unit could match, so that its words needn't be bounded from above here
-    words = F.filter(F.transform(near, lambda u: F.split(F.trim(F.regexp_replace(u, "[^a-z0-9]+", " ")), " ")), lambda w: F.size(w) - 1 >= low * shortest)
-    pairs = F.transform(words, lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))))
+
+    def anchored(c: Column) -> Column:
+        found = c.contains(words[0])
+        for w in words[1:]:
+            found = found | c.contains(w)
+        return found
+
+    near = F.filter(F.array_distinct(units), anchored)
+    # a unit has at least as many bigrams as it has words, each counted once, but for one
+    normal = F.transform(near, lambda u: F.split(F.trim(F.regexp_replace(u, "[^a-z0-9]+", " ")), " "))
+    split = F.filter(normal, lambda w: (F.size(w) - 1 >= low * shortest) & (F.size(F.array_distinct(w)) - 1 <= high * longest))
+    pairs = F.transform(split, lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))))
     fit = F.filter(pairs, lambda p: (F.size(p) >= low * shortest) & (F.size(p) <= high * longest))
 
     def best(p: Column) -> Column:
         some = F.filter(table, lambda t: (F.size(p) >= low * F.size(t["own"]) - 1e-9) & (F.size(p) <= high * F.size(t["own"]) + 1e-9))
         return F.array_max(F.transform(some, lambda t: F.struct(F.round(2 * F.size(F.array_intersect(p, t["own"])) / (F.size(p) + F.size(t["own"])), 6).alias("dice"), t["k"].alias("k"), t["name"].alias("name"))))
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t")).select("doc_id", F.when(F.col("t").rlike(pattern), F.filter(F.transform(fit, best), lambda b: b["dice"] >= least)).alias("found"))
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t")).select("doc_id", F.when(anchored(F.col("t")), F.filter(F.transform(fit, best), lambda b: b["dice"] >= least)).alias("found"))
     top = F.array_max("found")
     return scored.select("doc_id", top["name"].alias("license"), F.coalesce(top["dice"], F.lit(0.0)).alias("dice"), F.coalesce(F.when(F.col("found").isNotNull(), F.size("found")), F.lit(0)).cast("long").alias("n_units"))
 
