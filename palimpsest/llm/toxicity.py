@@ -282,45 +282,49 @@ def learn(texts: list[str], labels: list[int], most_landmarks: int = 192, rounds
     in_clean[np.concatenate([np.empty(0, np.int64), *(every[i] for i in clean.tolist())])] = True
     long = np.array([len(n) > 3 for n in names], bool)
 
-    def fitted(marks: list[str]) -> tuple:
-        """The landmarks' weights and the bias, the words' weights and the sentences' margins."""
-        values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
+    def fitted(marks: list[str]) -> tuple[np.ndarray, float, np.ndarray]:
+        """The landmarks' weights, the bias and the sentences' margins. Only the sentences' features are held whole."""
+        own = Landmarks(marks)
+        values, vectors = np.linalg.eigh(own.kernel(marks).astype(np.float64))
         keep = values > 1e-6
         root = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
-        z = np.concatenate([kernel(names[a : a + 20_000], marks) @ root for a in range(0, len(names), 20_000)])
-        x = np.empty((len(every), z.shape[1]), np.float32)
-        for a in range(0, len(every), 4096):
-            some = every[a : a + 4096]
-            x[a : a + len(some)] = np.add.reduceat(z[np.concatenate(some)], np.cumsum([0] + [len(s) for s in some[:-1]]))
-        w, tells, margins = np.zeros(x.shape[1] + 1), typical, None
+        x = np.empty((len(every), root.shape[1]), np.float32)
+        for a in range(0, len(every), 2048):
+            some = every[a : a + 2048]
+            words, at = np.unique(np.concatenate(some), return_inverse=True)
+            z = own.kernel([names[i] for i in words.tolist()]) @ root
+            x[a : a + len(some)] = np.add.reduceat(z[at], np.cumsum([0] + [len(s) for s in some[:-1]]))
+        w, margins = np.zeros(x.shape[1] + 1), None
         for _ in range(rounds + 1):
             witness = typically
             if margins is not None:
-                most = np.array([own[margins[own].argmax()] for own in toxic], np.int64)
+                most = np.array([own_[margins[own_].argmax()] for own_ in toxic], np.int64)
                 witness = np.union1d(typically, most[margins[most] > 0])
-            telling = np.array([every[s][tells[every[s]].argmax()] for s in witness])
+            words = np.unique(np.concatenate([every[s] for s in witness.tolist()]))
+            tells = np.where(typical[words] > 0, typical[words], own.kernel([names[i] for i in words.tolist()]) @ (root @ w[:-1].astype(np.float32)))
+            telling = np.array([every[s][tells[np.searchsorted(words, every[s])].argmax()] for s in witness.tolist()])
             spelt, at = np.unique(telling, return_inverse=True)
-            halves = [(names[i][: len(names[i]) // 2 + 1], names[i][len(names[i]) // 2 + 1 :]) for i in spelt.tolist()]
-            varied = x[witness] - z[telling] + (kernel([f"{a}x{b}" for a, b in halves], marks) @ root)[at]
+            plain = [names[i] for i in spelt.tolist()]
+            varied = x[witness] + ((own.kernel([f"{n[: len(n) // 2 + 1]}x{n[len(n) // 2 + 1 :]}" for n in plain]) - own.kernel(plain)) @ root)[at]
             y, weigh = np.full(len(every), -1.0), np.zeros(len(every))
             weigh[clean] = 0.5 / len(clean)
             y[witness], weigh[witness] = 1.0, 0.25 / len(witness)
             w = least_squared_hinge([(x, y, weigh), (varied, np.ones(len(varied)), np.full(len(varied), 0.25 / len(varied)))], w, pull)
             margins = x @ w[:-1].astype(np.float32) + w[-1]
-            tells = np.where(typical > 0, typical, z @ w[:-1].astype(np.float32))
-        return root.astype(np.float64) @ w[:-1], float(w[-1]), z @ w[:-1].astype(np.float32), margins
+        return root.astype(np.float64) @ w[:-1], float(w[-1]), margins
 
     if not len(typically) or not len(clean):
         return {"machine": None, "share": float(label.mean())}
     telling = diverse([names[i] for i in np.argsort(-typical, kind="stable").tolist() if typical[i] > 0 and long[i]], [], most_landmarks // 2)
     often = np.bincount(np.concatenate(every), minlength=len(names)) * (long & (typical == 0))
     common = [names[i] for i in np.argsort(-often, kind="stable")[: most_landmarks - len(telling)].tolist() if often[i]]
-    _, _, weights, _ = fitted(telling + common)
+    first = Machine(telling + common, *fitted(telling + common)[:2])
+    weights = np.concatenate([first.weights_of(names[a : a + 10_000]) for a in range(0, len(names), 10_000)])
     # the words of clean sentences that look most toxic take the place of half of the common ones
     hard = [names[i] for i in np.argsort(-weights, kind="stable").tolist() if in_clean[i] and typical[i] == 0 and long[i] and weights[i] > 0]
     hard = diverse(hard, telling, len(telling) + len(common) // 2)[len(telling) :]
     marks = [*dict.fromkeys(telling + hard + common[: most_landmarks - len(telling) - len(hard)])]
-    alpha, bias, _, margins = fitted(marks)
+    alpha, bias, margins = fitted(marks)
     row_margin = np.array([margins[row].max() if row else bias for row in split])
     return {"machine": (marks, alpha, bias)} | logistic(np.clip(row_margin[tuning], -1, 1), label[tuning] > 0)
 

@@ -696,3 +696,37 @@ def test_pipeline_stages(spark, tmp_path):
     assert (clean[0] in seen[1]) != (1000 in seen[1]) and seen[0] - seen[1] <= {clean[0], 1000}
     assert 1001 not in seen[2] and clean[1] in seen[2]
     assert seen[3] == seen[2] and seen[4] == seen[3]
+
+
+def test_pipeline_runs_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline as P
+
+    pairs = [(1, None), (2, ""), (3, prose(1, 6000)), (4, prose(2, 80)), (4, prose(2, 80)), (None, prose(3, 80)), (5, prose(2, 80) + " "), (6, "İstanbul " + prose(4, 60))]
+    docs_of(spark, pairs).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([(1, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    got = P.run(spark, f"{tmp_path}/a").collect()
+    assert {r["doc_id"] for r in got} - {1, 2} == {3, 5, 6, None} and len({r["doc_id"] for r in got} & {1, 2}) == 1  # of the copies the longest stays
+    e = Encoder(WORD_TOKENS, "word")
+    copies = min(sum(r["doc_id"] == 3 and r["start"] == 0 for r in got), 1)
+    placed = {r["start"] + k: x for r in got if r["doc_id"] == 3 for k, x in enumerate(np.frombuffer(r["ids"], "<u4").tolist())}
+    assert copies == 1 and [placed[k] for k in range(len(placed))] == [*e.library.encode(pairs[2][1], add_special_tokens=False).ids, 2]
+    docs_of(spark, []).write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/b/labels.parquet")
+    assert P.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_long_texts_and_repeated_rows(spark):
+    """Scores, links and rates of a text of 20,000 words, and of rows that repeat, are those of each row alone."""
+    long = prose(90, 20_000)
+    pairs = [(1, long), (2, long + " end"), (3, prose(91, 50)), (3, prose(91, 50)), (7, prose(92, 50))]
+    docs = docs_of(spark, pairs)
+    classes = {r["doc_id"]: r["component_id"] for r in J.near_duplicates(docs).collect()}
+    assert classes == {1: 1, 2: 1, 3: 3, 7: 7}
+    scored = A.train_and_score(docs).collect()
+    assert sorted(r["n_tokens"] for r in scored) == sorted(len((t or "").split()) + 1 for _, t in pairs) and len({r["score"] for r in scored if r["doc_id"] == 3}) == 1
+    texts = [long, long + " idiot", "plain words " * 20_000]
+    model = T.learn([prose(i, 40) + (" snarkface." if i % 3 == 0 else ".") for i in range(600)], [i % 3 == 0 for i in range(600)])
+    assert [s >= 0.5 for s in T.scores_of(model, [*texts, long + " snarkface"])] == [False, False, False, True]
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (7, 1, 1)], "doc_id long, quality int, toxic int")
+    mixed = M.mix(docs, labels, [0.6, 0.3, 0.1]).collect()
+    assert len(mixed) == 5 and len({round(r["rate"], 9) for r in mixed if r["doc_id"] == 3}) == 1
