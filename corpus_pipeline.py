@@ -63,6 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the documents table, each written and read again: pieces of sequences with their ids.
+
+    Edge cases: null and empty texts aren't toxic, are one group of exact copies, link with nothing and have the end
+    id alone; a null doc_id is kept as one more id; rows that repeat are copies of each other; an empty table gives
+    no pieces; without labels nothing is toxic and all documents are of one mixture; more columns are carried through
+    whatever their names, and the pieces don't have them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
