@@ -15,7 +15,7 @@ witness is learnt from twice, the second time with a character put into the midd
 Sentences have Nyström features: those of their words against landmark words, added up. Landmarks are typical words
 that aren't near to each other, common ones, and the words of clean sentences that a first machine finds most toxic.
 A row's margin is the largest of its sentences, and a logistic curve, fitted on labelled rows that the machine
-wasn't trained on with margins beyond 1 taken as 1, turns it into a score. As the features of words add up, a word
+wasn't trained on with margins beyond 2 taken as 2, turns it into a score. As the features of words add up, a word
 has a weight of its own and a sentence the sum of its words' weights, so that tasks score distinct words once.
 
 Edge cases: null or empty texts have the margin of no words; a null label counts as no label, a null doc_id
@@ -138,7 +138,7 @@ class Landmarks:
         hit = np.flatnonzero(self.names[at] == codes) if len(self.names) else np.empty(0, np.int64)
         return hit, at[hit]
 
-    def kernel(self, words: list[str], power: int = POWER, some: int = 10_000) -> np.ndarray:
+    def kernel(self, words: list[str], power: int = POWER, some: int = 2_000) -> np.ndarray:
         """Normalised kernel values to a power, words by landmarks."""
         out = np.zeros((len(words), self.n), np.float32)
         for a in range(0, len(words), some):
@@ -233,7 +233,7 @@ def diverse(words: list[str], chosen: list[str], until: int) -> list[str]:
     return chosen
 
 
-def learn(texts: list[str], labels: list[int], most_landmarks: int = 192, rounds: int = 4, pull: float = 1e-4) -> dict:
+def learn(texts: list[str], labels: list[int], most_landmarks: int = 160, rounds: int = 4, pull: float = 1e-4) -> dict:
     """A model from texts and their labels, 0 or 1. A quarter of the rows is for the curve alone."""
     label = (np.array(labels) > 0).astype(np.int64)
     if len({*label.tolist()}) < 2:
@@ -289,8 +289,8 @@ def learn(texts: list[str], labels: list[int], most_landmarks: int = 192, rounds
         keep = values > 1e-6
         root = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
         x = np.empty((len(every), root.shape[1]), np.float32)
-        for a in range(0, len(every), 2048):
-            some = every[a : a + 2048]
+        for a in range(0, len(every), 1024):
+            some = every[a : a + 1024]
             words, at = np.unique(np.concatenate(some), return_inverse=True)
             z = own.kernel([names[i] for i in words.tolist()]) @ root
             x[a : a + len(some)] = np.add.reduceat(z[at], np.cumsum([0] + [len(s) for s in some[:-1]]))
@@ -326,7 +326,7 @@ def learn(texts: list[str], labels: list[int], most_landmarks: int = 192, rounds
     marks = [*dict.fromkeys(telling + hard + common[: most_landmarks - len(telling) - len(hard)])]
     alpha, bias, margins = fitted(marks)
     row_margin = np.array([margins[row].max() if row else bias for row in split])
-    return {"machine": (marks, alpha, bias)} | logistic(np.clip(row_margin[tuning], -1, 1), label[tuning] > 0)
+    return {"machine": (marks, alpha, bias)} | logistic(np.clip(row_margin[tuning], -1, 2), label[tuning] > 0)
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> dict:
@@ -367,7 +367,7 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 3_000, most_landmarks: int = 192) -> dict:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 3_000, most_landmarks: int = 160) -> dict:
     """A model from labelled rows that aren't held out. ``most_rows`` bounds the labelled rows that are learnt
     from, the first by a hash, and so what the driver gets: their texts. ``most_landmarks`` bounds the landmarks.
     Nothing else is left out."""
