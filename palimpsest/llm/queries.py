@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_dice
+from . import filter_audit, license_dice, url_rules
 from .shared import ship_package
 
 #: Names of public tokenizers.
@@ -84,6 +84,21 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import audits, damage
+
+    conversations = table(spark, sf_dir, "conversations")
+    return audits(damage(conversations), conversations)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_perplexity_rules": op1_perplexity_rules,
     "op2_exact_dedup": op2_exact_dedup,
@@ -95,6 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_soft_mixing": op8_soft_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_url_rules": op12_url_rules,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -110,6 +128,8 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT doc_id, min(seen) AS low FROM r GROUP BY 1)
         SELECT n.doc_id, n.n AS n_shingles, coalesce(c.low, n.doc_id) AS component_id FROM n LEFT JOIN c ON n.doc_id = c.doc_id
     """,
+    "op11_filter_audit": filter_audit.oracle(),
+    "op12_url_rules": url_rules.oracle(),
     "op5_license_dice": license_dice.oracle(),
     "op2_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
