@@ -287,3 +287,54 @@ def audits(rows: DataFrame, originals: DataFrame | None = None) -> DataFrame:
 
     made = "conv_id long, " + ", ".join(f"{c} long" for c in SUMMARY) + ", audit string, repaired_sha256 string"
     return replay(rows, originals).mapInArrow(digested, made)
+
+
+def oracle() -> str:
+    """DuckDB SQL of the same audits over the damaged table: one row at a time, with the least cost and edits of every
+    state so far, and the rows told from the edits."""
+    spaces = r"[^ \t\n\x0B\f\r]"
+
+    def plus(state: str, cost: str, edit: str) -> str:
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}'}} END"
+
+    def to(state: int, low: str) -> str:
+        keep = {SYSTEM: [NONE], USER: [NONE, SYSTEM, ASSISTANT], ASSISTANT: [USER]}.get(state, [])
+        ways = [plus(f"v{state}", "2", "D")]
+        for s in keep:
+            ways.append(f"CASE WHEN NOT gone AND initial = '{low}' THEN {plus(f'v{s}', 'more', 'K')} END")
+            if state != SYSTEM:
+                ways.append(f"CASE WHEN NOT gone THEN {plus(f'v{s}', '(1 + more)', 'R')} END")
+        return f"list_min([{', '.join(ways)}])"
+
+    inserted = [
+        "v0", "v1", f"list_min([v2, {plus('v0', '5', 'I')}, {plus('v1', '5', 'I')}, {plus('v3', '5', 'I')}])", f"list_min([v3, {plus('v2', '5', 'I')}])",
+    ]
+    step = ", ".join(f"{e} AS v{i}" for i, e in enumerate(inserted))
+    return rf"""
+        WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t),
+        k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                     list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT)) AS b FROM conversations),
+        h AS (SELECT conv_id, turn, role, text, xor(list_reduce(b, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), 4294967295), 4294967295) % 20 AS kind FROM k, crc),
+        d AS MATERIALIZED (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                     unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE kind <> 0),
+        o AS (SELECT *, substr(role, 1, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS n, NOT regexp_matches(text, '{spaces}') AS blank FROM d),
+        f AS MATERIALIZED (SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS dup,
+                     NOT regexp_matches(text, '[.!?][ \t\n\x0B\f\r]*\z') AS cut, lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial AS pair FROM o),
+        r AS MATERIALIZED (SELECT *, blank OR dup AS gone, CASE WHEN cut THEN 5 ELSE 0 END AS more FROM f),
+        c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS rows, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+                     count(*) FILTER (cut AND NOT gone) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY 1),
+        w AS (SELECT conv_id, 0 AS n, {step} FROM (SELECT DISTINCT conv_id, {{'c': 0, 'a': ''}} AS v0, CAST(NULL AS STRUCT(c INTEGER, a VARCHAR)) AS v1,
+                     CAST(NULL AS STRUCT(c INTEGER, a VARCHAR)) AS v2, CAST(NULL AS STRUCT(c INTEGER, a VARCHAR)) AS v3 FROM r)
+              UNION ALL SELECT conv_id, n, {step} FROM (SELECT r.conv_id, CAST(r.n AS INTEGER) AS n, {', '.join(f'{to(i, low)} AS v{i}' for i, low in enumerate(['', 's', 'u', 'a']))}
+                     FROM w JOIN r ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND r.n = w.n + 1)),
+        b AS MATERIALIZED (SELECT w.conv_id, list_min([v0, v3]).c AS cost, list_min([v0, v3]).a AS audit FROM w JOIN c ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.n = c.rows),
+        l AS (SELECT conv_id, unnest(string_split(audit, '')) AS e, unnest(range(length(audit))) AS i FROM b WHERE audit <> ''),
+        p AS (SELECT *, sum(CAST(e <> 'I' AS INTEGER)) OVER x AS n, sum(CAST(e <> 'D' AS INTEGER)) OVER x AS place FROM l WINDOW x AS (PARTITION BY conv_id ORDER BY i)),
+        q AS (SELECT p.conv_id, i, place, e, r.role, CASE WHEN e = 'I' THEN '' ELSE r.text END AS text,
+                     max(CAST(place = 1 AND e = 'K' AND r.initial = 's' AS INTEGER)) OVER (PARTITION BY p.conv_id) AS ahead FROM p LEFT JOIN r ON p.conv_id IS NOT DISTINCT FROM r.conv_id AND p.n = r.n WHERE e <> 'D'),
+        s AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (place + ahead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i) AS t FROM q GROUP BY 1)
+        SELECT g.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN c ON g.conv_id IS NOT DISTINCT FROM c.conv_id
+        LEFT JOIN b ON g.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN s ON g.conv_id IS NOT DISTINCT FROM s.conv_id
+    """

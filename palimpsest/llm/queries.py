@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import filter_audit, license_dice, url_rules
+from . import conversation_repair, filter_audit, license_dice, url_rules
 from .shared import ship_package
 
 #: Names of public tokenizers.
@@ -93,10 +93,8 @@ def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .conversation_repair import audits, damage
-
     conversations = table(spark, sf_dir, "conversations")
-    return audits(damage(conversations), conversations)
+    return conversation_repair.audits(conversation_repair.damage(conversations), conversations)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -130,6 +128,7 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op11_filter_audit": filter_audit.oracle(),
     "op12_url_rules": url_rules.oracle(),
+    "op13_conversation_repair": conversation_repair.oracle(),
     "op5_license_dice": license_dice.oracle(),
     "op2_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
