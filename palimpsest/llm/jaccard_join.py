@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .hash_arrays import PAIRS_DDL, Sums, look_up, write_arrays
-from .shared import batch_of, mapped, materialise, mixed, open_fs, split_batches, text_bytes, work_dir
+from .shared import batch_of, mapped, materialise, mixed, open_fs, split_batches, spread_join, text_bytes, work_dir
 
 _LAST = (1 << 63) - 1
 _DOCS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.int64()), ("path", pa.string()), ("at", pa.int64())])
@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, frequent: in
     met = materialise(placed.mapInArrow(meet, "kind int, a long, b long").distinct(), "jaccard-candidates")
     lists = met.where("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("set"))
     heads = lists.groupBy("token").agg(F.min("set").alias("head"))
-    stars = met.where(F.col("kind") == FREQUENT).select("a", "b").unionByName(lists.join(heads, "token").where("set <> head").select(F.col("set").alias("a"), F.col("head").alias("b")))
+    stars = met.where(F.col("kind") == FREQUENT).select("a", "b").unionByName(spread_join(lists, heads, "token", "set").where("set <> head").select(F.col("set").alias("a"), F.col("head").alias("b")))
     groups = materialise(connected_components(stars), "jaccard-groups")
     candidates = met.where(F.col("kind") == RARE).select("a", "b")
 
@@ -319,15 +319,17 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, frequent: in
     pair_places = candidates.join(at("a", "pa"), "a").join(at("b", "pb"), "b").select("a", "b", "pa", "pb")
     rare_links = pair_places.mapInArrow(verify, edge)
 
-    members = groups.join(at("node", "p"), "node").join(at("component", "pivot"), "component")
+    placed_nodes = materialise(groups.join(at("node", "p"), "node"), "jaccard-nodes")
+    pivots = placed_nodes.where("node = component").select("component", F.col("p").alias("pivot"))
+    members = materialise(spread_join(placed_nodes, pivots, "component", "node"), "jaccard-members")
     against = members.select(F.col("component").alias("a"), F.col("node").alias("b"), F.col("pivot").alias("pa"), F.col("p").alias("pb"))
     pivot_links = materialise(against.where("a <> b").mapInArrow(verify, edge), "jaccard-pivots")
     settled = pivot_links.select(F.col("a").alias("component"), F.col("b").alias("node"), F.lit(True).alias("settled"))
-    told = members.where("node <> component").join(settled, ["component", "node"], "left").select("component", "node", "p", F.coalesce("settled", F.lit(False)).alias("settled"))
+    told = materialise(members.where("node <> component").join(settled, ["component", "node"], "left").select("component", "node", "p", F.coalesce("settled", F.lit(False)).alias("settled")), "jaccard-told")
     # blocks of bounded size: unsettled ones meet each other and all settled ones
     per = told.groupBy("component", "settled").agg(F.sum("p.n").alias("size"))
     sizes = per.groupBy("component").agg(*(F.coalesce(F.max(F.when(F.col("settled") == s, F.ceil(F.col("size") / BLOCK))), F.lit(0)).cast("int").alias(c) for s, c in ((False, "open"), (True, "done"))))
-    dealt = told.join(sizes.where("open > 0"), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("settled"), F.col("done")).otherwise(F.col("open"))).cast("int"))
+    dealt = spread_join(told, sizes.where("open > 0"), "component", "node").withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("settled"), F.col("done")).otherwise(F.col("open"))).cast("int"))
     numbers = F.when(F.col("settled"), F.transform(F.sequence(F.lit(0), F.col("open") - 1), lambda i: F.struct(i.alias("i"), (F.col("block") + F.col("open")).alias("j"), F.lit(1).alias("side")))).otherwise(
         F.concat(
             F.transform(F.sequence(F.lit(0), F.col("block")), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.when(i == F.col("block"), 0).otherwise(1).alias("side"))),
@@ -353,8 +355,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, frequent: in
     grouped = own.join(joined.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     grouped = materialise(grouped, "jaccard-classes")
     least = grouped.groupBy("component").agg(F.min("least").alias("low"))
-    of_set = grouped.join(least, "component").select("set", "low")
-    out = rows.where("n > 0").join(of_set, "set").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("low") < _LAST, F.col("low")).alias("component_id"))
+    of_set = materialise(spread_join(grouped, least, "component", "set").select("set", "low"), "jaccard-least")
+    out = spread_join(rows.where("n > 0"), of_set, "set", "doc_id").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("low") < _LAST, F.col("low")).alias("component_id"))
     return out.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 

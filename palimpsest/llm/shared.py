@@ -106,6 +106,14 @@ def join_small(rows: DataFrame, small: DataFrame, on: str, most_rows: int = 10_0
     return rows.join(F.broadcast(small) if small.count() <= most_rows else small.hint("merge"), on, how)
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, on: str, by: str, ways: int = 8) -> DataFrame:
+    """Join rows with a smaller table that has one row for each value of ``on``, a value of which may have a third of
+    all rows: rows are dealt by the value and a salt of ``by``, and the table has its rows once for each salt."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(ways)).cast("int"))
+    dealt = keyed.withColumn("_salt", F.explode(F.array(*map(F.lit, range(ways)))))
+    return salted.join(dealt.hint("merge"), [on, "_salt"]).drop("_salt")
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if not uri.startswith("file:/") or uri.startswith("file:///") else "file:///" + uri[5:].lstrip("/"))
 

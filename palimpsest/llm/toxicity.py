@@ -9,8 +9,13 @@ pairs of words, so that an insult of several words adds up.
 The machine is trained on the sentences of labelled rows: all those of clean rows count as clean, and a toxic row
 is shown by its witnesses, which no clean row may hold also. These are the sentences with a word that is typical of
 toxic rows beyond chance and, for some rounds, the one that the machine of the round before finds most toxic. Rows
-in which none shows are left out, as labels can be wrong; sentences that copies of a text repeat count once. A
-witness is learnt from twice, the second time with a character put into the middle of its most telling word.
+in which none shows are learnt from by the most toxic of all their sentences, with a tenth of a witness's weight, as
+labels can be wrong. Sentences that copies of a text repeat count once. A witness is learnt from twice, the second
+time with a character put into the middle of its most telling word. Training runs in one task, which gets the
+labelled rows that ``most_rows`` bounds.
+
+A string of more than LONG characters is read in overlapping pieces: in training it has the mean of their features,
+when scored the largest of their weights. So memory is bounded whatever a string's length.
 
 Sentences have Nyström features: those of their words against landmark words, added up. Landmarks are typical words
 that aren't near to each other, common ones, and the words of clean sentences that a first machine finds most toxic.
@@ -26,6 +31,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
@@ -44,6 +50,8 @@ _END = re.compile(r"[.!?]+\s|[\n|]+")
 BEGIN = "^"
 #: Power of the kernel of two words, which tells near words from others.
 POWER = 4
+#: Characters of a word beyond which it is read in pieces that overlap by half.
+LONG = 32
 #: Words of a stretch that is read as one sentence where no end comes; stretches overlap by half.
 STRETCH = 24
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
@@ -67,6 +75,11 @@ def folded(word: str) -> str:
     return BEGIN + (word if word.isalnum() else _ODD.sub("", word))
 
 
+def pieces(word: str) -> list[str]:
+    """The overlapping pieces of a folded word; itself, if it isn't long."""
+    return [word[a : a + LONG] for a in range(0, max(1, len(word) - LONG // 2), LONG // 2)]
+
+
 def _narrow(chars: np.ndarray) -> np.ndarray:
     """Characters in 16 bits; those beyond are folded into them."""
     return ((chars >> np.uint32(16)) * np.uint32(40503) + chars & np.uint32(0xFFFF)).astype(np.uint64)
@@ -139,7 +152,21 @@ class Landmarks:
         return hit, at[hit]
 
     def kernel(self, words: list[str], power: int = POWER, some: int = 2_000) -> np.ndarray:
-        """Normalised kernel values to a power, words by landmarks."""
+        """Normalised kernel values to a power, words by landmarks; of a long word the mean of its pieces' values."""
+        out = self._kernel([w for w in words if len(w) <= LONG], power, some)
+        if len(out) == len(words):
+            return out
+        whole, at = np.zeros((len(words), self.n), np.float32), 0
+        for k, w in enumerate(words):
+            if len(w) <= LONG:
+                whole[k], at = out[at], at + 1
+            else:
+                parts = pieces(w)
+                for a in range(0, len(parts), some):
+                    whole[k] += self._kernel(parts[a : a + some], power, some).sum(axis=0) / len(parts)
+        return whole
+
+    def _kernel(self, words: list[str], power: int, some: int) -> np.ndarray:
         out = np.zeros((len(words), self.n), np.float32)
         for a in range(0, len(words), some):
             r, c, w = normalised(words[a : a + some])
@@ -280,7 +307,8 @@ def learn(texts: list[str], labels: list[int], most_landmarks: int = 160, rounds
     typically = np.flatnonzero([shown_toxic[k] and typical[s].max() > 0 for k, s in enumerate(every)])
     in_clean = np.zeros(len(names), bool)
     in_clean[np.concatenate([np.empty(0, np.int64), *(every[i] for i in clean.tolist())])] = True
-    long = np.array([len(n) > 3 for n in names], bool)
+    long = np.array([3 < len(n) <= LONG for n in names], bool)  # what can be a landmark
+    unsure = [np.array(sorted({*row}), np.int64) for i, row in enumerate(split) if label[i] and not tuning[i] and row]
 
     def fitted(marks: list[str]) -> tuple[np.ndarray, float, np.ndarray]:
         """The landmarks' weights, the bias and the sentences' margins. Only the sentences' features are held whole."""
@@ -309,7 +337,14 @@ def learn(texts: list[str], labels: list[int], most_landmarks: int = 160, rounds
             y, weigh = np.full(len(every), -1.0), np.zeros(len(every))
             weigh[clean] = 0.5 / len(clean)
             y[witness], weigh[witness] = 1.0, 0.25 / len(witness)
-            w = least_squared_hinge([(x, y, weigh), (varied, np.ones(len(varied)), np.full(len(varied), 0.25 / len(varied)))], w, pull)
+            blocks = [(x, y, weigh), (varied, np.ones(len(varied)), np.full(len(varied), 0.25 / len(varied)))]
+            if margins is not None:
+                shown = np.zeros(len(every), bool)
+                shown[witness] = True
+                rest = np.array([row[margins[row].argmax()] for row in unsure if not shown[row].any()], np.int64)
+                if len(rest):
+                    blocks.append((x[rest], np.ones(len(rest)), np.full(len(rest), 0.1 * 0.25 / len(witness))))
+            w = least_squared_hinge(blocks, w, pull)
             margins = x @ w[:-1].astype(np.float32) + w[-1]
         return root.astype(np.float64) @ w[:-1], float(w[-1]), margins
 
@@ -354,10 +389,10 @@ class Scorer:
         new = [w for w in {w for row in split for s in row for w in s} if w not in self.known]
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
-            # a long string is read in overlapping stretches and has the largest weight of these
-            parts = [(k, f[a : a + 32]) for k, f in enumerate(map(folded, some)) for a in range(0, max(1, len(f) - 16), 16)]
             found = np.full(len(some), -np.inf)
-            np.maximum.at(found, [k for k, _ in parts], self.machine.weights_of([p for _, p in parts]))
+            parts = [(k, p) for k, f in enumerate(map(folded, some)) for p in pieces(f)]
+            for a in range(0, len(parts), 20_000):
+                np.maximum.at(found, [k for k, _ in parts[a : a + 20_000]], self.machine.weights_of([p for _, p in parts[a : a + 20_000]]))
             self.known.update(zip(some, found.tolist(), strict=True))
         get, bias = self.known.__getitem__, self.machine.bias
         return np.array([bias + max((sum(map(get, s)) for s in row), default=0.0) for row in split])
@@ -369,16 +404,21 @@ def held_out() -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 3_000, most_landmarks: int = 160) -> dict:
     """A model from labelled rows that aren't held out. ``most_rows`` bounds the labelled rows that are learnt
-    from, the first by a hash, and so what the driver gets: their texts. ``most_landmarks`` bounds the landmarks.
-    Nothing else is left out."""
+    from, the first by a hash, and so what the task that learns gets: their texts. The driver gets the landmarks, of
+    which there are ``most_landmarks`` at most, and their weights. Nothing else is left out."""
     rows = labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic").cast("int") > 0).cast("int").alias("label")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sample = bounded_sample(rows, most_rows, "doc_id", "label")
-    # most_rows bounds what is sent
-    got = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).toArrow()
-    order = np.lexsort((got.column("label").to_numpy(), got.column("doc_id").to_numpy()))
-    got = got.take(pa.array(order))
-    return learn(got.column("text").to_pylist(), got.column("label").to_pylist(), most_landmarks)
+    # most_rows bounds what is sent, and what the one task holds
+    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+    def learnt(batches):
+        got = sorted((i, y, t) for b in batches for i, y, t in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        model = learn([t for _, _, t in got], [y for _, y, _ in got], most_landmarks)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    made = rows.select("doc_id", "label", "text").repartition(1).mapInArrow(learnt, "model binary").first()
+    return pickle.loads(made["model"]) if made else learn([], [])
 
 
 def scores_of(model: dict, texts: list[str]) -> np.ndarray:
