@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import batch_of, materialise, open_fs, read_bytes, split_batches, text_bytes, work_dir
+from .shared import batch_of, materialise, open_fs, read_bytes, split_batches, spread_join, text_bytes, work_dir
 
 #: Deleted before texts are compared.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -244,12 +244,11 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def _marked(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """rows with doc_id, n_chars, text_sha256 get keep_id, group_size, kept. Rows alike in all three are
-    numbered, so that one of them stays; the hash in the numbering's key spreads a large group."""
+    numbered, so that one of them stays. Rows of a large group meet its entry of the index in several tasks."""
     nth = F.row_number().over(Window.partitionBy("text_sha256", "doc_id", "n_chars").orderBy(F.lit(1)))
     known = F.coalesce("doc_id", F.lit(_LAST))
     return (
-        rows.withColumn("_nth", nth)
-        .join(groups.hint("merge"), "text_sha256")  # its size can't be estimated, and it grows with the rows
+        spread_join(rows.withColumn("_nth", nth), groups, "text_sha256", "doc_id")
         .withColumn("kept", (F.col("_nth") == 1) & (known == F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")))
         .withColumn("keep_id", F.when(F.col("keep_id") < _LAST, F.col("keep_id")))
     )

@@ -6,9 +6,11 @@ come nearest to their targets in least squares, with a small pull of all rates t
 
 Projected gradient descent runs over all documents, in its lazy form: a rate's own slope is n times p times the
 domains' gaps, so a step for each domain moves a rate by p times the steps (the metric weighs documents by their
-tokens), steps add up, and the rates are the projection of 1 and all steps so far on r >= 0. The steps are those of
-the gaps in the metric of the rates above 0, halved while they don't help, which settles in a few rounds. A pass
-is one aggregation of built-in functions, and the driver holds a number for each domain; nothing is kept by document.
+tokens), steps add up, and the rates are the projection of 1 and all steps so far on r >= 0. The slope is scaled by
+the inverse of the curvature over the rates above 0, which makes each a damped Newton step of the sums (a scaled
+projected gradient: the same slope, projection and optimum); plain steps hadn't settled after 40 passes over the
+documents. They are halved while they don't help, and settle in a few rounds. A pass is one aggregation of built-in
+functions, and the driver holds a number for each domain; nothing is kept by document.
 
 The classifier is multinomial logistic regression over hashed words, each word counted once in a document, from
 at most ``most_rows`` labelled rows, the first by a hash. It folds into a weight for each bucket and domain.

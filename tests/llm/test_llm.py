@@ -657,6 +657,24 @@ def test_kernel_is_the_subsequence_kernel():
         assert T.kernel([x], [y], power=1)[0, 0] == pytest.approx(sum(v * q[u] for u, v in p.items()) / norm if norm else 0)
 
 
+def test_one_very_long_word_is_learnt_in_pieces():
+    import tracemalloc
+
+    r = random.Random(7)
+    long = "".join(r.choice("abcdefghij0123456789") for _ in range(1_000_000))
+    texts = [prose(i, 40) + (" snarkface." if i % 3 == 0 else ".") for i in range(200)] + [long, "plain " + long[::-1]]
+    tracemalloc.start()
+    model = T.learn(texts, [int(i % 3 == 0) for i in range(200)] + [0, 1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+    assert [s >= 0.5 for s in T.scores_of(model, [prose(900, 30), long, prose(901, 30) + " snarkface"])] == [False, False, True]
+    word = "^" + "ab" * 100
+    assert T.pieces("^short") == ["^short"] and T.pieces(word)[0] == word[:32] and word.endswith(T.pieces(word)[-1])
+    k = T.kernel([word, "river"], ["river", "abab"])
+    assert k[0, 1] == pytest.approx(np.mean([T.kernel([p], ["abab"])[0, 0] for p in T.pieces(word)]), rel=1e-5) and k[1, 0] == pytest.approx(1)
+
+
 def test_sentences():
     assert T.sentences("A b. C d! e\nx | y") == [{"a", "b"}, {"c", "d"}, {"e"}, {"x"}, {"y"}]
     assert T.sentences("you b.l.o-r and b l o r s") == [{"you", "blor", "and", "blors"}]
