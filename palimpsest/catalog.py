@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import build, code, context, coupling, documents, evidence, graphs, investigation, people, relational, temporal  # noqa: F401  they register
+from .plans import build, code, context, coupling, documents, evidence, graphs, investigation, names, people, relational, tables, temporal  # noqa: F401  they register
 from .plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,9 +15,12 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where the session names none, one of this process, which goes with it."""
+    """The folder in spark.checkpoint.dir; where a session in one process names none, one of this process, which goes
+    with it. On a cluster the setting has to be there."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="palimpsest-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)

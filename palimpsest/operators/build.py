@@ -2,30 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graphs import scc_cycles
 
-#: Words before a bracket that call nothing.
+#: Words before a bracket that call nothing, and the patterns of calls and of what a class builds on.
 NOT_CALLS = ["if", "for", "while", "switch", "catch", "return", "new", "def", "class", "function", "sizeof", "typeof"]
 CALL = r"\b([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\("
+CLASS_BASES, EXTENDS, IMPLEMENTS = r"\bclass\s+\w+\s*\(([^)]+)\)", r"\bextends\s+([\w.$]+)", r"\bimplements\s+([\w.$,\s]+)"
 #: Kinds of symbols that can have bases.
 WITH_BASES = ["class", "interface", "trait", "struct"]
 #: Top folders of which the next level makes the component.
 WRAPPERS = ["src", "app", "lib"]
 
 
+def external_name(module: Column) -> Column:
+    """The package of a module that no file has: its first segment, or the first two of a scoped one; dots in front
+    don't count."""
+    plain = F.replace(F.regexp_replace(module, r"^\.+", ""), F.lit("\\"), F.lit("/"))
+    first = F.regexp_extract(plain, r"^[^/.]*", 0)
+    return F.when(plain.startswith("@"), F.substring_index(plain, "/", 2)).otherwise(F.coalesce(F.nullif(first, F.lit("")), plain))
+
+
 def graph_nodes(repository: str, files: DataFrame, symbols: DataFrame, references: DataFrame) -> DataFrame:
-    """(key, kind, name) of the repository, its modules, files and symbols, and of referenced names that no file has
-    (external), each once. files (file_id, path, module), symbols (symbol_id, file_id, name), references (target)."""
+    """(key, kind, name) of the repository, its modules, files and symbols, and of the packages of referenced names that
+    no file has (external), each once. files (file_id, path, module), symbols (symbol_id, file_id, name), references (target)."""
     spark = files.sparkSession
     root = spark.createDataFrame([(f"repository:{repository}", "repository", repository)], "key string, kind string, name string")
 
     def nodes(rows: DataFrame, kind: str, key: Column, name: Column) -> DataFrame:
         return rows.select(F.concat(F.lit(f"{kind}:"), key.cast("string")).alias("key"), F.lit(kind).alias("kind"), name.alias("name"))
 
-    external = references.select("target").distinct().join(files.select(F.col("path").alias("target")), "target", "left_anti")
+    unknown = references.select("target").distinct().join(files.select(F.col("path").alias("target")), "target", "left_anti")
+    external = unknown.select(external_name(F.col("target")).alias("target")).distinct()
     return (
         root.unionByName(nodes(files.select("module").distinct(), "module", F.col("module"), F.col("module"))).unionByName(nodes(files, "file", F.col("file_id"), F.col("path")))
         .unionByName(nodes(symbols, "symbol", F.col("symbol_id"), F.col("name"))).unionByName(nodes(external, "external", F.col("target"), F.col("target")))
@@ -44,17 +54,19 @@ def containment(repository: str, files: DataFrame, symbols: DataFrame) -> DataFr
 
 def call_sites(bodies: DataFrame, least_place: int = 160) -> DataFrame:
     """(symbol, qualified, name, line) of the calls in bodies (symbol, name, first_line, body): names before a
-    bracket, but for keywords and a symbol's own name near its beginning, which is its definition. Lines come from
-    what lies before a match: the pieces between matches and the matches."""
-    found = F.regexp_extract_all("body", F.lit(CALL), F.lit(0))
-    zipped = F.filter(F.arrays_zip(found.alias("m"), F.regexp_extract_all("body", F.lit(CALL), F.lit(1)).alias("q"), F.split("body", CALL, -1).alias("gap")), lambda x: x["m"].isNotNull())
-    lines = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n")))
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("row"), F.array().cast("array<struct<q:string,at:int,row:int>>").alias("out"))
-    step = lambda s, x: F.struct(
-        (s["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("at"), (s["row"] + lines(x["gap"]) + lines(x["m"])).alias("row"),
-        F.concat(s["out"], F.array(F.struct(x["q"].alias("q"), (s["at"] + F.length(x["gap"])).alias("at"), (s["row"] + lines(x["gap"])).alias("row")))).alias("out"),
-    )
-    each = bodies.select("symbol", F.col("name").alias("own"), "first_line", F.explode(F.aggregate(zipped, start, step)["out"]).alias("x"))
+    bracket, but for keywords and a symbol's own name near its beginning, which is its definition. Bodies are
+    told by their symbol, which is unique. Lines come from the lengths and line ends of the pieces before a call, in
+    running sums."""
+    # one regular expression takes the body apart: what lies before each call, and the call; at last what comes after
+    cut = F.regexp_extract_all("body", F.lit(rf"(?s)(.*?)(?:({CALL})|\z)"), F.lit(0))
+    pieces = bodies.select("symbol", F.col("name").alias("own"), "first_line", F.posexplode(cut).alias("k", "piece"))
+    lines = F.length("piece") - F.length(F.replace("piece", F.lit("\n")))
+    before = Window.partitionBy("symbol").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    call = F.regexp_extract("piece", rf"{CALL}\z", 0)
+    rows = pieces.withColumn("m", call).withColumn("gap", F.length("piece") - F.length("m"))
+    rows = rows.withColumn("at", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)) + F.col("gap"))
+    rows = rows.withColumn("row", F.coalesce(F.sum(lines).over(before), F.lit(0)) + lines - (F.length("m") - F.length(F.replace("m", F.lit("\n")))))
+    each = rows.select("symbol", "own", "first_line", F.struct(F.regexp_extract("m", CALL, 1).alias("q"), "at", "row").alias("x")).where("x.q <> ''")
     name = F.element_at(F.split("x.q", r"\."), -1)
     keep = ~name.isin(NOT_CALLS) & ~((name == F.col("own")) & (F.col("x.at") < least_place))
     return each.select("symbol", F.col("x.q").alias("qualified"), name.alias("name"), (F.col("first_line") + F.col("x.row")).cast("long").alias("line"), F.coalesce(keep, F.lit(True)).alias("keep")).where("keep").drop("keep")
@@ -70,7 +82,7 @@ def inheritance(symbols: DataFrame) -> DataFrame:
         trimmed = F.transform(listed, lambda n: F.trim(F.element_at(F.split(n, cut), 1) if cut else n))
         return F.transform(F.filter(trimmed, lambda n: n != ""), lambda n: F.struct(n.alias("base"), F.lit(kind).alias("kind")))
 
-    found = F.concat(names(r"\bclass\s+\w+\s*\(([^)]+)\)", "INHERITS", r"\["), names(r"\bextends\s+([\w.$]+)", "INHERITS"), names(r"\bimplements\s+([\w.$,\s]+)", "IMPLEMENTS"))
+    found = F.concat(names(CLASS_BASES, "INHERITS", r"\["), names(EXTENDS, "INHERITS"), names(IMPLEMENTS, "IMPLEMENTS"))
     return symbols.where(F.col("kind").isin(WITH_BASES)).select("symbol", F.explode(found).alias("x")).select("symbol", "x.base", "x.kind")
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,33 @@ def impact_distance(edges: DataFrame, depth: int) -> DataFrame:
     return reach(back, nodes, depth).where("depth > 0 AND seed <> node").select(F.col("seed").alias("node"), F.col("node").alias("dependent"), F.col("depth").alias("distance"))
 
 
+def impact(edges: DataFrame, seeds: DataFrame, depth: int, co_changes: DataFrame | None = None, least: float = 0.0) -> DataFrame:
+    """(seed, node, distance, direct, caller, confidence, path, co_changes): what depends on the seeds (node), directly
+    or not, within ``depth`` steps along edges (src, dst, kind, confidence) of at least ``least`` confidence.
+
+    A node keeps one way to a seed: of the shortest ones that with the widest bottleneck, which is its confidence,
+    and of these the least by its nodes, each way going on from the one that the node before kept. A caller has a
+    CALLS edge to the seed. ``co_changes`` (file_a, file_b, co_changes) are looked up both ways."""
+    usable = edges.where(F.col("confidence") >= least)
+    back = written(usable.groupBy(F.col("dst").alias("at"), F.col("src").alias("next")).agg(F.max("confidence").alias("c"), F.bool_or(F.col("kind") == "CALLS").alias("calls")))
+    start = seeds.select(F.col("node").alias("seed"), F.col("node").alias("at")).distinct()
+    frontier = start.select("seed", "at", F.lit(0).alias("distance"), F.lit(1.0).alias("confidence"), F.array("at").alias("p"), F.lit(False).alias("caller"))
+    known = frontier = written(frontier)
+    for d in range(1, depth + 1):
+        step = frontier.join(back, "at").select("seed", F.col("next").alias("at"), F.struct((-F.least("confidence", "c")).alias("c"), F.concat("p", F.array("next")).alias("p")).alias("way"), (F.lit(d == 1) & F.col("calls")).alias("caller"))
+        best = step.groupBy("seed", "at").agg(F.min("way").alias("way"), F.bool_or("caller").alias("caller"))
+        new = best.join(known.select("seed", "at"), ["seed", "at"], "left_anti")
+        frontier = written(new.select("seed", "at", F.lit(d).alias("distance"), (-F.col("way.c")).alias("confidence"), F.col("way.p").alias("p"), "caller"))
+        if frontier.isEmpty():
+            break
+        known = known.unionByName(frontier)
+    found = known.where("distance > 0 AND seed <> at").select("seed", F.col("at").alias("node"), "distance", (F.col("distance") == 1).alias("direct"), "caller", "confidence", F.array_join(F.transform("p", lambda x: x.cast("string")), ">").alias("path"))
+    if co_changes is None:
+        return found.withColumn("co_changes", F.lit(0).cast("long"))
+    both = co_changes.select(F.col("file_a").alias("seed"), F.col("file_b").alias("node"), "co_changes").unionByName(co_changes.select(F.col("file_b").alias("seed"), F.col("file_a").alias("node"), "co_changes"))
+    return found.join(both, ["seed", "node"], "left").withColumn("co_changes", F.coalesce("co_changes", F.lit(0)).cast("long"))
+
+
 def shortest_path(edges: DataFrame, start: int, depth: int) -> DataFrame:
     """(node, distance, path) of a shortest path from a node; of several the least by its nodes in order. Each
     step keeps one path for each node, so that paths don't multiply."""
@@ -68,15 +97,81 @@ def spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return known
 
 
+#: Edges of a graph that one task may hold.
+MOST_LOCAL = 200_000
+
+
+def _local_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes on cycles of a graph of bounded size, by depth-first search in one task."""
+    kind = dict(edges.dtypes)["src"]
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        after: dict = {}
+        kind_of = None
+        for b in batches:
+            kind_of = b.schema.field(0).type
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                after.setdefault(x, []).append(y)
+                after.setdefault(y, [])
+        out = [(x, min(c)) for c in _components(after) if len(c) > 1 or c[0] in after[c[0]] for x in c]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind_of) for c in zip(*out)], names=["node", "component"])
+
+    return edges.select("src", "dst").repartition(1).mapInArrow(found, f"node {kind}, component {kind}")
+
+
+def _components(after: dict) -> Iterator[list]:
+    """Strongly connected components of a graph in memory, with a stack of its own in place of recursion."""
+    number: dict = {}
+    low: dict = {}
+    held: list = []
+    on: set = set()
+    for root in after:
+        if root in number:
+            continue
+        work = [(root, iter(after[root]))]
+        number[root] = low[root] = len(number)
+        held.append(root)
+        on.add(root)
+        while work:
+            node, rest = work[-1]
+            for n in rest:
+                if n not in number:
+                    number[n] = low[n] = len(number)
+                    held.append(n)
+                    on.add(n)
+                    work.append((n, iter(after[n])))
+                    break
+                if n in on:
+                    low[node] = min(low[node], number[n])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == number[node]:
+                    part = [held.pop()]
+                    while part[-1] != node:
+                        part.append(held.pop())
+                    on.difference_update(part)
+                    yield part
+
+
 def scc_cycles(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes on cycles: those that reach each other, by the least node. Loops of one node
     count. By colouring: each node takes the largest node that reaches it; those of a colour that reach the node of
     that colour, backwards within the colour, are its component and leave the graph, and the rest go on. Nodes
-    without a way in or out leave first. No pairs of nodes are made."""
+    without a way in or out leave first. No pairs of nodes are made. A graph, or a rest, of at most MOST_LOCAL edges
+    is finished in one task."""
     rest = written(edges.select("src", "dst").distinct())
+    if rest.count() <= MOST_LOCAL:
+        return _local_components(rest)
     loops = rest.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
     rest, found = written(rest.where("src <> dst")), None
     while not rest.isEmpty():
+        if rest.count() <= MOST_LOCAL:
+            some = written(_local_components(rest))
+            found = some if found is None else found.unionByName(some)
+            break
         trimmed = written(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         if trimmed.count() < rest.count():
             rest = trimmed

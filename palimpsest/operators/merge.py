@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import written
+from .stored import recover, swap_in
 
 
 def filtered(rows: DataFrame, **wanted) -> DataFrame:
@@ -64,14 +65,15 @@ def write_table(rows: DataFrame, path: str, mode: str = "append", by: str | None
 
 
 def reconcile(path: str, current: DataFrame, key: str) -> int:
-    """Delete the stored rows whose key isn't current, and return how many; the table is written beside and then
-    put in place of the old one."""
+    """Delete the stored rows whose key isn't current, and return how many. The table that stays is written beside
+    and swapped in, so that a crash leaves one of both."""
     spark = current.sparkSession
+    recover(spark, path)
     table = spark.read.parquet(path)
     kept = written(without_gone(table, current, key))
     gone = table.count() - kept.count()
     if gone:
-        kept.write.mode("overwrite").parquet(path)
+        swap_in(kept, path)
     return gone
 
 

@@ -54,21 +54,6 @@ def rewrites(pairs: DataFrame, least_tokens: int = 8, below: float = 0.5) -> Dat
     return rows.withColumn("similarity", sequence_similarity(F.col("before"), F.col("after"))).where(F.col("similarity") < below)
 
 
-def copy_candidates(targets: DataFrame, sources: DataFrame, least: float = 0.8, k: int = 10) -> DataFrame:
-    """(target, source, similarity, kind): earlier sources (id, lineage, language, moment, text, gone_at) near to
-    the first versions in ``targets``, blocked by language and size; the best of each lineage, k a target."""
-    size = F.greatest(F.lit(1), F.floor(F.size(code_tokens(F.col("text"))) / 10)).cast("int")
-    t = targets.select(F.col("id").alias("target"), F.col("lineage").alias("tl"), "language", F.col("moment").alias("tm"), F.col("text").alias("tt"), F.explode(F.array(size - 1, size, size + 1)).alias("bucket"))
-    s = sources.select(F.col("id").alias("source"), F.col("lineage").alias("sl"), "language", F.col("moment").alias("sm"), F.col("text").alias("st"), "gone_at", size.alias("bucket"))
-    pairs = t.join(s, ["language", "bucket"]).where((F.col("sm") < F.col("tm")) & (F.col("sl") != F.col("tl")))
-    scored = pairs.withColumn("similarity", sequence_similarity(F.col("st"), F.col("tt"))).where(F.col("similarity") >= least)
-    best = scored.withColumn("b", F.row_number().over(Window.partitionBy("target", "sl").orderBy(F.desc("similarity"), F.desc("sm"), "source"))).where("b = 1")
-    top = best.withColumn("r", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("similarity"), F.desc("sm"), "source"))).where(F.col("r") <= k)
-    moved = F.coalesce(F.col("gone_at") <= F.col("tm"), F.lit(False))
-    kind = F.when((F.col("similarity") == 1) & moved, "known_move").when(F.col("similarity") == 1, "exact_copy").when(moved, "probable_move").otherwise("probable_copy")
-    return top.select("target", "source", "similarity", kind.alias("kind"), F.when(F.col("similarity") == 1, 1.0).otherwise(F.round(F.least(F.lit(0.95), "similarity"), 4)).alias("confidence"))
-
-
 @pandas_udf(T.DoubleType())
 def _near(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([1.0 if x == y else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)])

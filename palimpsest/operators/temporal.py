@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import numbered
+from ..functions.lineage import numbered, written
 from ..functions.scalars import DRIFT, SCORE
+from .graphs import scc_cycles
 
 
 def of_lineage(*order: str):
@@ -98,15 +99,31 @@ def consecutive(edges: DataFrame) -> DataFrame:
     return now.join(last, ["ord", "src", "dst"], "full").join(order, "ord").where("ord > 1").select("snapshot", "src", "dst", "weight", "before")
 
 
+def snapshot_cycles(edges: DataFrame) -> DataFrame:
+    """(snapshot, cycle): the members of each cycle of each snapshot, in order; all snapshots at once."""
+    of = lambda c: F.concat_ws("\0", F.col("snapshot").cast("string"), F.col(c).cast("string"))
+    member = F.split("node", "\0")
+    found = scc_cycles(edges.select(of("src").alias("src"), of("dst").alias("dst"))).groupBy("component").agg(F.first(member[0]).alias("snapshot"), F.array_sort(F.collect_list(member[1])).alias("m"))
+    return found.where(F.size("m") > 1).select(F.col("snapshot").cast(dict(edges.dtypes)["snapshot"]).alias("snapshot"), F.array_join("m", ",").alias("cycle"))
+
+
 def structural_drift(edges: DataFrame) -> DataFrame:
-    """(snapshot, node_distance, edge_distance, drift) against the snapshot before: Jaccard distances of nodes
-    and edges, 0 for two empty sets, weighed to 100; cycles, the rest of the weight, are compared by the caller."""
+    """(snapshot, node_distance, edge_distance, cycle_distance, drift) against the snapshot before: Jaccard distances
+    of nodes, edges and cycles, 0 for two empty sets, weighed to 100. Weights are fixed values."""
+    edges = written(edges)
     pairs = consecutive(edges)
     e = pairs.groupBy("snapshot").agg((1 - F.count_if(F.col("weight").isNotNull() & F.col("before").isNotNull()) / F.count("*")).alias("e"))
     ends = pairs.select("snapshot", F.explode(F.array("src", "dst")).alias("node"), "weight", "before")
     nodes = ends.groupBy("snapshot", "node").agg(F.max(F.col("weight").isNotNull()).alias("now"), F.max(F.col("before").isNotNull()).alias("then"))
     n = nodes.groupBy("snapshot").agg((1 - F.count_if(F.col("now") & F.col("then")) / F.count("*")).alias("n"))
-    return e.join(n, "snapshot").select("snapshot", F.round("n", SCORE).alias("node_distance"), F.round("e", SCORE).alias("edge_distance"), F.round(100 * (0.25 * F.col("n") + 0.60 * F.col("e")), DRIFT).alias("drift"))
+    order, _ = numbered(edges.select("snapshot").distinct(), "ord", "snapshot")
+    cycles = written(snapshot_cycles(edges).join(order, "snapshot").select("ord", "cycle"))
+    now, then = cycles.withColumn("now", F.lit(True)), cycles.select((F.col("ord") + 1).alias("ord"), "cycle", F.lit(True).alias("then"))
+    met = now.join(then, ["ord", "cycle"], "full").groupBy("ord").agg((1 - F.count_if(F.col("now") & F.col("then")) / F.count("*")).alias("c"))
+    c = order.join(met, "ord").select("snapshot", "c")
+    rows = e.join(n, "snapshot").join(c, "snapshot", "left").withColumn("c", F.coalesce("c", F.lit(0.0)))
+    drift = 100 * (0.25 * F.col("n") + 0.60 * F.col("e") + 0.15 * F.col("c"))
+    return rows.select("snapshot", F.round("n", SCORE).alias("node_distance"), F.round("e", SCORE).alias("edge_distance"), F.round("c", SCORE).alias("cycle_distance"), F.round(drift, DRIFT).alias("drift"))
 
 
 def evolution_events(edges: DataFrame) -> DataFrame:
@@ -116,33 +133,6 @@ def evolution_events(edges: DataFrame) -> DataFrame:
     return consecutive(edges).withColumn("event", event).where("event IS NOT NULL").groupBy("snapshot", "event").agg(F.count("*").alias("n"))
 
 
-def file_lineage(changes: DataFrame) -> DataFrame:
-    """Rows (repo, pos, old_path, new_path, kind) in order: each gets the lineage it belongs to. A rename keeps
-    the lineage of its old path, a copy or an add begins one, a delete ends one. The state is a map of paths, so
-    that one repository's history is one task's; repositories run side by side."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        live: dict[str, str] = {}
-        out = []
-        for r in pdf.sort_values("pos").itertuples():
-            old, new = r.old_path or None, r.new_path or None
-            if r.kind in ("renamed", "modified", "deleted") and old in live:
-                line = live[old]
-                if r.kind == "renamed":
-                    del live[old]
-            else:
-                line = f"{new or old}@{r.pos}"
-            if r.kind == "deleted":
-                live.pop(old, None)
-            elif new:
-                live[new] = line
-            out.append((r.repo, r.pos, new or old, r.kind, line))
-        return pd.DataFrame(out, columns=["repo", "pos", "path", "kind", "lineage"])
-
-    return changes.groupBy("repo").applyInPandas(fold, "repo string, pos long, path string, kind string, lineage string")
-
-
 def rule_history(edges: DataFrame, snapshots: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule, snapshot, violations) of rules (rule, src, dst) over all snapshots, 0 where there are none: what saving
     a rule works out anew. Rules are few and written by hand; they are sent to all tasks."""
@@ -169,14 +159,3 @@ def events_with_context(edges: DataFrame, requests: DataFrame) -> DataFrame:
     of its time, in order."""
     asked = requests.groupBy("snapshot").agg(F.array_join(F.transform(F.array_sort(F.collect_set("request")), lambda x: x.cast("string")), ",").alias("requests"))
     return evolution_events(edges).join(asked, "snapshot", "left").select("snapshot", "event", "n", F.coalesce("requests", F.lit("")).alias("requests"))
-
-
-def match_deleted(gone: DataFrame, come: DataFrame) -> DataFrame:
-    """(new_id, old_id, kind) of symbols that came (id, path, name, body_hash, moment) and went before: of the same
-    body and name, moved if the old one went at the same moment, reintroduced if earlier. The last one gone is taken
-    first, and each old one once."""
-    old = gone.select(F.col("id").alias("old_id"), F.col("path").alias("old_path"), "name", "body_hash", F.col("moment").alias("went"))
-    pairs = come.join(old, ["name", "body_hash"]).where(F.col("went") <= F.col("moment"))
-    by_new = pairs.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("went"), "old_id"))).where("r = 1")
-    once = by_new.withColumn("s", F.row_number().over(Window.partitionBy("old_id").orderBy("moment", "id"))).where("s = 1")
-    return once.select(F.col("id").alias("new_id"), "old_id", F.when(F.col("went") == F.col("moment"), "moved").otherwise("reintroduced").alias("kind"))

@@ -9,17 +9,18 @@ from ..operators import traces
 from .registry import query
 
 
-def file_names(h):
-    """References by name: each change names a file by the path that another file of its author has."""
-    return h.table("lineitem").select(F.concat_ws("/", F.lit("lib"), F.col("l_returnflag"), F.col("l_suppkey").cast("string")).alias("target"))
+def module_names(h):
+    """Modules as source texts name them: packages with dots, scoped ones with slashes and relative ones."""
+    rows = h.table("lineitem").select("l_returnflag", "l_linenumber", F.concat(F.lit("pkg"), F.col("l_suppkey").cast("string")).alias("p"))
+    k, flag = F.col("l_linenumber") % 3, F.col("l_returnflag")
+    return rows.select(F.when(k == 0, F.concat("p", F.lit(".core."), flag)).when(k == 1, F.concat(F.lit("@scope"), flag, F.lit("/"), "p", F.lit("/x.js"))).otherwise(F.concat(F.lit(".."), flag, F.lit("\\"), "p")).alias("target"))
 
 
-@query("sources", """WITH s AS (SELECT DISTINCT p_name AS name FROM part), x AS (SELECT DISTINCT 'lib/' || l_returnflag || '/' || l_suppkey AS t FROM lineitem)
- SELECT 'repository:main' AS key, 'repository' AS kind, 'main' AS name UNION ALL SELECT DISTINCT 'module:' || module, 'module', module FROM sources UNION ALL SELECT 'file:' || file_id, 'file', path FROM sources
- UNION ALL SELECT 'symbol:' || p_partkey, 'symbol', p_name FROM part UNION ALL SELECT 'external:' || t, 'external', t FROM x WHERE t NOT IN (SELECT path FROM sources)""")
+@query("sources", """SELECT 'repository:main' AS key, 'repository' AS kind, 'main' AS name UNION ALL SELECT DISTINCT 'module:' || module, 'module', module FROM sources UNION ALL SELECT 'file:' || file_id, 'file', path FROM sources
+ UNION ALL SELECT 'symbol:' || p_partkey, 'symbol', p_name FROM part UNION ALL SELECT DISTINCT 'external:' || x, 'external', x FROM (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'pkg' || l_suppkey WHEN 1 THEN '@scope' || l_returnflag || '/pkg' || l_suppkey ELSE l_returnflag END AS x FROM lineitem)""")
 def graph_nodes(h):
     symbols = h.table("part").select(F.col("p_partkey").alias("symbol_id"), F.col("p_partkey").alias("file_id"), F.col("p_name").alias("name"))
-    return B.graph_nodes("main", h.sources(), symbols, file_names(h))
+    return B.graph_nodes("main", h.sources(), symbols, module_names(h))
 
 
 @query("sources", "SELECT DISTINCT 'repository:main' AS src, 'module:' || module AS dst, 'CONTAINS' AS kind FROM sources UNION ALL SELECT 'module:' || module, 'file:' || file_id, 'CONTAINS' FROM sources UNION ALL SELECT 'file:' || file_id, 'symbol:' || file_id, 'CONTAINS' FROM sources")

@@ -1,9 +1,11 @@
 """Source files, ancestry and relations."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import code as C
 from ..operators import graphs as G
+from ..operators.ancestry import CommitGraph
 from .registry import query
 
 
@@ -58,3 +60,31 @@ def relationship_expansion(h):
     by = h.commits().select(F.lit("commit").alias("kind_a"), F.col("commit_id").alias("a"), F.lit("author").alias("kind_b"), F.col("author_id").alias("b"))
     of = h.changes().select(F.lit("commit").alias("kind_a"), F.col("commit_id").alias("a"), F.lit("file").alias("kind_b"), F.col("file_id").alias("b"))
     return G.expand_relations(seeds, [by, of])
+
+
+PARENTS = "c AS MATERIALIZED (SELECT o_orderkey AS child, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS parent, o_custkey AS author, o_orderstatus = 'P' AS merge FROM orders), p AS MATERIALIZED (SELECT child, parent FROM c WHERE parent IS NOT NULL UNION SELECT a.child, b.child FROM c a JOIN c b ON b.child = a.child - 7 WHERE a.merge)"
+ASKED = "q AS MATERIALIZED (SELECT author AS id, min(child) AS good, max(child) AS bad FROM c GROUP BY 1)"
+
+
+def commit_parents(h):
+    """The author's commit before, and for merges the one seven orders earlier."""
+    o = h.table("orders").select(F.col("o_orderkey").alias("child"), F.col("o_custkey").alias("author"), "o_orderstatus")
+    first = o.select("child", F.lag("child").over(Window.partitionBy("author").orderBy("child")).alias("parent"))
+    second = o.where("o_orderstatus = 'P'").select("child", (F.col("child") - 7).alias("parent")).join(o.select(F.col("child").alias("parent")), "parent").select("child", "parent")
+    return o, first.unionByName(second)
+
+
+@query(sql="WITH RECURSIVE " + PARENTS + ", " + ASKED + ", b AS (SELECT id, bad AS commit FROM q UNION SELECT id, parent FROM b JOIN p ON commit = child), g AS (SELECT id, good AS commit FROM q UNION SELECT id, parent FROM g JOIN p ON commit = child) SELECT id, commit FROM b EXCEPT SELECT id, commit FROM g")
+def commit_range(h):
+    """What each author's last commit has and the first one hasn't."""
+    o, parents = commit_parents(h)
+    asked = o.groupBy(F.col("author").alias("id")).agg(F.min("child").alias("good"), F.max("child").alias("bad"))
+    return CommitGraph(parents).commit_range(asked)
+
+
+@query(sql="WITH RECURSIVE " + PARENTS + ", " + ASKED + ", b AS (SELECT id, bad AS commit FROM q UNION SELECT id, parent FROM b JOIN p ON commit = child) SELECT q.id, q.good + q.id % 3 AS ancestor, q.bad AS commit, EXISTS (SELECT 1 FROM b WHERE b.id = q.id AND b.commit = q.good + q.id % 3) AS holds FROM q")
+def is_ancestor(h):
+    """Whether each author's last commit builds on the first one, or one of those that came next."""
+    o, parents = commit_parents(h)
+    asked = o.groupBy(F.col("author").alias("id")).agg((F.min("child") + F.first("author") % 3).alias("ancestor"), F.max("child").alias("commit"))
+    return CommitGraph(parents).is_ancestor(asked)

@@ -33,7 +33,10 @@ def chunk_fixed(h):
     return R.chunk_fixed(h.table("documents"), 1000)
 
 
-@query()
+@query(sql="""WITH RECURSIVE q AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p, unnest(range(len(string_split(text, chr(10) || chr(10))))) AS k FROM documents WHERE text IS NOT NULL),
+ c AS (SELECT doc_id, k, length(p) AS n, unnest(range((length(p) + 4999) // 5000)) AS j FROM q), w AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS i, least(5000, n - j * 5000) AS n FROM c),
+ r AS (SELECT doc_id, i, n AS held, 0 AS chunk FROM w WHERE i = 1 UNION ALL SELECT w.doc_id, w.i, CASE WHEN held + 2 + w.n > 5000 THEN w.n ELSE held + 2 + w.n END, CASE WHEN held + 2 + w.n > 5000 THEN chunk + 1 ELSE chunk END FROM r JOIN w ON w.doc_id = r.doc_id AND w.i = r.i + 1)
+ SELECT doc_id, chunk, CAST(max(held) AS INTEGER) AS n_chars FROM r GROUP BY 1, 2""")
 def chunk_paragraphs(h):
     return R.chunk_paragraphs(h.table("documents"), 5000).select("doc_id", "chunk", F.length("text").alias("n_chars"))
 

@@ -24,6 +24,20 @@ def impact_distance(h):
     return G.impact_distance(h.module_edges(), DEPTH)
 
 
+@query("files changes refs", """WITH x AS (SELECT src, dst, type AS kind, CASE type WHEN 'IMPORTS' THEN 1.0 WHEN 'CALLS' THEN 0.9 ELSE 0.85 END::DOUBLE * (1 - (src * 7 + dst) % 5 / 10.0)::DOUBLE AS confidence FROM refs), k AS MATERIALIZED (SELECT dst AS place, src AS nxt, max(confidence) AS c, bool_or(kind = 'CALLS') AS calls FROM x GROUP BY 1, 2),
+ f0 AS (SELECT file_id AS seed, file_id AS node, {'c': -1.0::DOUBLE, 'p': [file_id]} AS way, false AS caller FROM files WHERE module_id = (SELECT min(module_id) FROM files)), n0 AS (SELECT seed, node, 0 AS distance, way, caller FROM f0),
+ b1 AS (SELECT seed, node, min(way) AS way, bool_or(caller) AS caller FROM (SELECT seed, nxt AS node, {'c': -least(-f.way.c, k.c), 'p': list_append(f.way.p, nxt)} AS way, calls AS caller FROM f0 f JOIN k ON k.place = f.node) WHERE (seed, node) NOT IN (SELECT (seed, node) FROM n0) GROUP BY 1, 2), f1 AS (SELECT * FROM b1), n1 AS (SELECT * FROM n0 UNION ALL SELECT seed, node, 1 AS distance, way, caller FROM f1),
+ b2 AS (SELECT seed, node, min(way) AS way, bool_or(caller) AS caller FROM (SELECT seed, nxt AS node, {'c': -least(-f.way.c, k.c), 'p': list_append(f.way.p, nxt)} AS way, false AS caller FROM f1 f JOIN k ON k.place = f.node) WHERE (seed, node) NOT IN (SELECT (seed, node) FROM n1) GROUP BY 1, 2), f2 AS (SELECT * FROM b2), n2 AS (SELECT * FROM n1 UNION ALL SELECT seed, node, 2 AS distance, way, caller FROM f2),
+ b3 AS (SELECT seed, node, min(way) AS way, bool_or(caller) AS caller FROM (SELECT seed, nxt AS node, {'c': -least(-f.way.c, k.c), 'p': list_append(f.way.p, nxt)} AS way, false AS caller FROM f2 f JOIN k ON k.place = f.node) WHERE (seed, node) NOT IN (SELECT (seed, node) FROM n2) GROUP BY 1, 2), f3 AS (SELECT * FROM b3), n3 AS (SELECT * FROM n2 UNION ALL SELECT seed, node, 3 AS distance, way, caller FROM f3),
+ u AS (SELECT DISTINCT commit_id, file_id FROM changes), cc AS (SELECT a.file_id AS a, b.file_id AS b, count(*) AS co FROM u a JOIN u b ON a.commit_id = b.commit_id AND a.file_id <> b.file_id GROUP BY 1, 2)
+ SELECT seed, node, distance, distance = 1 AS direct, caller, -way.c AS confidence, array_to_string(way.p, '>') AS path, coalesce(co, 0) AS co_changes FROM n3 LEFT JOIN cc ON seed = cc.a AND node = cc.b WHERE distance > 0 AND seed <> node""")
+def impact_paths(h):
+    """What depends on the files of one module, with confidences by kind."""
+    sure = F.when(F.col("type") == "IMPORTS", 1.0).when(F.col("type") == "CALLS", 0.9).otherwise(0.85)
+    edges = h.file_references().select("src", "dst", F.col("type").alias("kind"), (sure * (1 - (F.col("src") * 7 + F.col("dst")) % 5 / 10)).alias("confidence"))
+    return G.impact(edges, h.files().where(F.col("module_id") == h.files().agg(F.min("module_id")).scalar()).select(F.col("file_id").alias("node")), 3, C.change_coupling(h.changes(), 1_000_000))
+
+
 @query("lines edges", "WITH p AS (SELECT (SELECT min(src) FROM edges) AS node, 0 AS distance, [CAST((SELECT min(src) FROM edges) AS BIGINT)] AS p UNION SELECT dst, distance + 1, list_append(p, CAST(dst AS BIGINT)) FROM p JOIN edges ON node = src WHERE distance < 4 AND NOT list_contains(p, CAST(dst AS BIGINT))), b AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY distance, p) AS k FROM p) SELECT node, distance, array_to_string(p, '>') AS path FROM b WHERE k = 1", True)
 def shortest_path(h):
     e = h.module_edges().select("src", "dst")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import temporal as T
+from ..operators import validity as V
 from .registry import query
 
 LAG = "WITH g AS (SELECT *, lag(moment) OVER w AS a0, lag(name) OVER w AS n0, lag(value) OVER w AS v0, lag(kind) OVER w AS k0 FROM versions WINDOW w AS (PARTITION BY lineage ORDER BY moment, version_id))"
@@ -69,9 +70,12 @@ def graph_diff(h):
     return T.graph_diff(s.where(F.col("snapshot") == low), s.where(F.col("snapshot") == high))
 
 
-@query("lines snaps", CONSEC + """, e AS (SELECT snapshot, 1 - count(*) FILTER (WHERE weight IS NOT NULL AND before IS NOT NULL) / CAST(count(*) AS DOUBLE) AS e FROM c GROUP BY 1),
+@query("lines snaps", CONSEC + """, reach AS (SELECT snapshot, src AS seed, dst AS node FROM snaps UNION SELECT r.snapshot, seed, s.dst FROM reach r JOIN snaps s ON r.snapshot = s.snapshot AND r.node = s.src), e AS (SELECT snapshot, 1 - count(*) FILTER (WHERE weight IS NOT NULL AND before IS NOT NULL) / CAST(count(*) AS DOUBLE) AS e FROM c GROUP BY 1),
  d AS (SELECT snapshot, node, max(CAST(weight IS NOT NULL AS INTEGER)) AS nw, max(CAST(before IS NOT NULL AS INTEGER)) AS th FROM (SELECT snapshot, src AS node, weight, before FROM c UNION ALL SELECT snapshot, dst, weight, before FROM c) GROUP BY 1, 2),
- m AS (SELECT snapshot, 1 - sum(nw * th) / CAST(count(*) AS DOUBLE) AS n FROM d GROUP BY 1) SELECT snapshot, round(n, 6) AS node_distance, round(e, 6) AS edge_distance, round(100 * (0.25 * n + 0.60 * e), 2) AS drift FROM e JOIN m USING (snapshot)""")
+ m AS (SELECT snapshot, 1 - sum(nw * th) / CAST(count(*) AS DOUBLE) AS n FROM d GROUP BY 1),
+ y AS (SELECT r.snapshot, r.seed, min(r.node) AS component FROM reach r JOIN reach b ON r.snapshot = b.snapshot AND r.seed = b.node AND r.node = b.seed GROUP BY 1, 2), z AS (SELECT snapshot, component, string_agg(CAST(seed AS VARCHAR), ',' ORDER BY CAST(seed AS VARCHAR)) AS cycle FROM y GROUP BY 1, 2 HAVING count(*) > 1),
+ zo AS (SELECT ord, cycle FROM z JOIN o USING (snapshot)), za AS (SELECT coalesce(a.ord, b.ord + 1) AS ord, CAST(a.cycle IS NOT NULL AND b.cycle IS NOT NULL AS INTEGER) AS shared FROM zo a FULL JOIN zo b ON a.ord = b.ord + 1 AND a.cycle = b.cycle), zd AS (SELECT snapshot, 1 - sum(shared) / CAST(count(*) AS DOUBLE) AS c FROM za JOIN o USING (ord) GROUP BY 1)
+ SELECT snapshot, round(n, 6) AS node_distance, round(e, 6) AS edge_distance, round(coalesce(c, 0.0), 6) AS cycle_distance, round(100 * (0.25 * n + 0.60 * e + 0.15 * coalesce(c, 0.0)), 2) AS drift FROM e JOIN m USING (snapshot) LEFT JOIN zd USING (snapshot)""", True)
 def structural_drift(h):
     return T.structural_drift(h.snapshots())
 
@@ -94,15 +98,6 @@ def rolling_changes(h):
     return h.versions().select("lineage", "version_id", F.count("*").over(w).alias("changes_7"))
 
 
-@query()
-def file_lineage(h):
-    """Synthetic renames: a part's line with flag R moves its file to the path of the next part."""
-    rows = h.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linenumber")
-    path, to = F.concat(F.lit("f"), F.col("l_partkey") % 50), F.concat(F.lit("f"), (F.col("l_partkey") + F.col("l_orderkey")) % 50)
-    kind = F.when(F.col("l_returnflag") == "R", "renamed").when(F.col("l_linenumber") == 1, "added").when(F.col("l_linenumber") == 7, "deleted").otherwise("modified")
-    return T.file_lineage(rows.select(F.col("l_suppkey").cast("string").alias("repo"), (F.col("l_orderkey") * 64 + F.col("l_linenumber") * 8 + F.col("l_partkey") % 8).alias("pos"), F.when(kind != "added", path).alias("old_path"), F.when(kind == "renamed", to).when(kind != "deleted", path).alias("new_path"), kind.alias("kind")))
-
-
 QUARTER_LINKS = "rq AS (SELECT DISTINCT CAST(year(o_orderdate) * 4 + quarter(o_orderdate) AS BIGINT) AS snapshot, conv_id AS request FROM orders JOIN (SELECT DISTINCT conv_id FROM conversations) ON o_custkey = conv_id)"
 
 
@@ -132,10 +127,19 @@ def snapshot_read(h):
     return T.read_snapshot(s, s.agg(F.floor((F.min("snapshot") + F.max("snapshot")) / 2)).scalar())
 
 
-@query("versions", """WITH g AS (SELECT version_id AS old_id, name, lineage % 30 AS body, moment // 86400 AS went FROM versions WHERE kind = 'deleted' OR name = 'view'), n AS (SELECT version_id AS id, 'view' AS name, lineage % 30 AS body, moment // 86400 AS moment FROM versions WHERE kind = 'introduced'),
- p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY went DESC, old_id) AS r FROM n JOIN g ON n.name = g.name AND n.body = g.body AND went <= n.moment), q AS (SELECT *, row_number() OVER (PARTITION BY old_id ORDER BY moment, id) AS s FROM p WHERE r = 1)
- SELECT id AS new_id, old_id, CASE WHEN went = moment THEN 'moved' ELSE 'reintroduced' END AS kind FROM q WHERE s = 1""")
-def deleted_pool(h):
-    v = h.versions().withColumn("body_hash", F.col("lineage") % 30).withColumn("path", F.lit("x")).withColumn("moment", F.floor(F.col("moment") / 86400))
-    gone = v.where("kind = 'deleted' OR name = 'view'").select(F.col("version_id").alias("id"), "path", "name", "body_hash", "moment")
-    return T.match_deleted(gone, v.where("kind = 'introduced'").select(F.col("version_id").alias("id"), "path", F.lit("view").alias("name"), "body_hash", "moment"))
+VERSIONS = "v AS MATERIALIZED (SELECT l_suppkey AS file, l_orderkey AS pos, bool_and(l_returnflag = 'R') AS gone, list_distinct(list(1 + l_partkey % (SELECT max(s_suppkey) FROM supplier))) AS targets FROM lineitem GROUP BY 1, 2), p AS MATERIALIZED (SELECT max(o_orderkey) AS pos FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey)"
+
+
+def file_versions(h):
+    """A change makes a file point to what its lines name; one of renames alone deletes it."""
+    n = h.table("supplier").agg(F.max("s_suppkey")).scalar()
+    rows = h.table("lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("pos"), (1 + F.col("l_partkey") % n).alias("to"), "l_returnflag")
+    return rows.groupBy("file", "pos").agg(F.when(~F.bool_and(F.col("l_returnflag") == "R"), F.collect_set("to")).alias("targets"))
+
+
+@query(sql="WITH " + VERSIONS + """, l AS (SELECT p.pos AS at_pos, file, max(v.pos) AS pos FROM p JOIN v ON v.pos <= p.pos GROUP BY 1, 2), n AS MATERIALIZED (SELECT at_pos, v.file, targets FROM l JOIN v ON l.file = v.file AND l.pos = v.pos WHERE NOT gone),
+ e AS (SELECT at_pos, file AS src, unnest(targets) AS dst FROM n) SELECT e.at_pos AS pos, src, dst FROM e JOIN n ON n.at_pos = e.at_pos AND n.file = e.dst WHERE src <> dst""")
+def commit_graphs(h):
+    """The graph at the last commit of each nation's authors."""
+    points = h.table("orders").join(h.table("customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.max("o_orderkey").alias("pos"))
+    return V.graph_at(V.edge_intervals(file_versions(h)), points)

@@ -5,11 +5,10 @@ The batch queries give the same figures over a finished table; these keep up wit
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merge import merge_tables
+from ..operators.stored import VersionedTable
 
 
 def read_events(spark: SparkSession, folder: str, schema) -> DataFrame:
@@ -32,29 +31,18 @@ def without_repeats(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The last whole version of a synced table, or the last one before a batch; None where there is none."""
-    try:
-        log = spark.read.parquet(f"{path}/log")
-        if before is not None:
-            log = log.where(F.col("version") < before)
-        last = log.agg(F.max("version")).first()[0]
-    except AnalysisException:
-        return None
-    return None if last is None else spark.read.parquet(f"{path}/data/version={last}")
-
-
-def sync_into(stream: DataFrame, path: str, key: str, order: str, checkpoint: str):
-    """Take what has come, in micro-batches, and merge it by key into a stored table; the same as a rebuild. Of a
-    batch's rows of a key the last by ``order`` counts. A batch writes a version of its own beside the others and
-    then notes it in a log, which readers go by: one that was cut off is written again, and no version is lost."""
+def sync_into(stream: DataFrame, path: str, key: str, order: str, checkpoint: str, most_changes: int = 8):
+    """Take what has come, in micro-batches, and merge it by key into a versioned table; the same as a rebuild. Of a
+    batch's rows of a key the last by ``order`` counts. A batch writes its own rows alone and notes them; one that
+    was cut off is written again under its number."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         fresh = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("row")).select("row.*")
-        old = current(spark, path, number)
-        merged = fresh if old is None else merge_tables(old, fresh, key)
-        merged.write.mode("overwrite").parquet(f"{path}/data/version={number}")
-        spark.createDataFrame([(number,)], "version long").write.mode("overwrite").parquet(f"{path}/log/batch={number}")
+        VersionedTable(batch.sparkSession, path, key, most_changes).change(number, fresh)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    """What has been synced so far; None where there is nothing."""
+    return VersionedTable(spark, path, key).read()

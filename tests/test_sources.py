@@ -60,15 +60,15 @@ def test_windowed_stream_equals_batch(spark, tmp_path):
 
 def test_incremental_sync(spark, tmp_path):
     folder, table = tmp_path / "sync", str(tmp_path / "synced")
-    assert E.current(spark, table) is None
+    assert E.current(spark, table, "key") is None
     for part in ([(1, 1, "a"), (2, 2, "b")], [(2, 4, "c"), (2, 3, "x"), (3, 5, "d")]):
         spark.createDataFrame(part, "key int, at int, body string").coalesce(1).write.mode("append").parquet(str(folder))
         stream = spark.readStream.schema("key int, at int, body string").parquet(str(folder))
         E.sync_into(stream, table, "key", "at", str(tmp_path / "ck")).awaitTermination()
-    assert [tuple(r) for r in E.current(spark, table).orderBy("key").collect()] == [(1, 1, "a"), (2, 4, "c"), (3, 5, "d")]
+    assert [tuple(r) for r in E.current(spark, table, "key").orderBy("key").collect()] == [(1, 1, "a"), (2, 4, "c"), (3, 5, "d")]
     # a version that a cut-off batch left isn't read
-    spark.createDataFrame([(9, 9, "z")], "key int, at int, body string").write.parquet(f"{table}/data/version=7")
-    assert E.current(spark, table).count() == 3
+    spark.createDataFrame([(9, 9, "z")], "key int, at int, body string").write.parquet(f"{table}/change/7")
+    assert E.current(spark, table, "key").count() == 3
 
 
 def run(stream, name, mode):
