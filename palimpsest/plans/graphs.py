@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import coupling as C
 from ..operators import graphs as G
+from ..operators import rules as R
 from .registry import query
 
 DEPTH = 4
@@ -71,6 +72,26 @@ def rule_violations(h):
     return G.rule_violations(edges, rules, layers)
 
 
+SELECTORS = [
+    ("layers", "forbidden", "layer", "ASIA", "layer", "Europe"), ("inside", "allowed", "prefix", "africa/", "prefix", "Africa"), ("one", "forbidden", "module", "america/canada", "prefix", "asia"),
+    ("cycles", "forbidden_cycle", "prefix", "middle east", None, None), ("nothing", "forbidden", "component", "asia", "layer", "ASIA"),
+]
+
+
+@query("lines edges", "WITH " + CLOSURE + """, n AS (SELECT n_nationkey AS node, lower(r_name || '/' || n_name) AS path, lower(r_name) AS layer, CASE WHEN n_nationkey % 6 = 5 THEN 0.7 ELSE 0.9 END::DOUBLE AS sure FROM nation JOIN region ON n_regionkey = r_regionkey),
+ e AS (SELECT src, dst, CASE WHEN weight % 5 = 0 THEN 0.5 ELSE 0.85 END::DOUBLE AS confidence FROM edges), k AS (SELECT e.src, e.dst, least(confidence, a.sure, b.sure) AS confidence, a.layer AS la, b.layer AS lb, a.path AS pa, b.path AS pb, a.sure AS sa, b.sure AS sb FROM e JOIN n a ON src = a.node JOIN n b ON dst = b.node WHERE confidence >= 0.8),
+ c AS (SELECT seed AS node, min(node) AS component FROM (SELECT a.seed, a.node FROM q a JOIN q b ON a.seed = b.node AND a.node = b.seed) GROUP BY 1), d AS (SELECT component, sha256(string_agg(CAST(node AS VARCHAR), chr(0) ORDER BY node)) AS cycle FROM c GROUP BY 1 HAVING count(*) > 1)
+ SELECT 'layers' AS rule, CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, confidence FROM k WHERE la = 'asia' AND sa >= 0.8 AND lb = 'europe' AND sb >= 0.8 UNION ALL SELECT 'inside', src, dst, confidence FROM k WHERE starts_with(pa, 'africa/') AND NOT starts_with(pb, 'africa/')
+ UNION ALL SELECT 'one', src, dst, confidence FROM k WHERE pa = 'america/canada' AND starts_with(pb, 'asia/')
+ UNION ALL SELECT 'cycles', CAST(min(c.node) AS VARCHAR), cycle, min(sure) FROM c JOIN d ON c.component = d.component JOIN n ON c.node = n.node WHERE starts_with(path, 'middle east/') GROUP BY cycle""", True)
+def selector_rules(h):
+    place = F.lower(F.concat_ws("/", "r_name", "n_name"))
+    nodes = h.table("nation").join(h.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("node"), F.lit("module").alias("node_type"), place.alias("path"), F.col("r_name").alias("layer"), F.when(F.col("n_nationkey") % 6 == 5, 0.7).otherwise(0.9).alias("confidence"))
+    rules = h.spark.createDataFrame(SELECTORS, "rule string, kind string, source_kind string, source string, target_kind string, target string")
+    edges = h.module_edges().select("src", "dst", F.when(F.col("weight") % 5 == 0, 0.5).otherwise(0.85).alias("confidence"))
+    return R.broken_rules(edges, nodes, rules)
+
+
 @query("sources", "WITH a AS (SELECT lines, unnest(['', module, module || '/' || language]) AS directory FROM sources) SELECT directory, count(*) AS files, CAST(sum(lines) AS BIGINT) AS lines FROM a GROUP BY 1")
 def dir_rollup(h):
     return G.directory_rollup(h.sources())

@@ -14,6 +14,7 @@ from palimpsest.operators import copies as K
 from palimpsest.operators import graphs as G
 from palimpsest.operators import lineages as L
 from palimpsest.operators import names as N
+from palimpsest.operators import rules as R
 from palimpsest.operators import stored as S
 from palimpsest.operators import temporal as T
 from palimpsest.operators import validity as V
@@ -302,3 +303,14 @@ def test_graph_at_any_commit_is_the_one_built_anew(spark):
     frame = spark.createDataFrame([(*k, t) for k, t in versions.items()], "file long, pos long, targets array<long>")
     got = rows(V.graph_at(V.edge_intervals(frame), spark.createDataFrame([(p,) for p in points * 2], "pos long")))
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_rules_choose_by_selectors(spark):
+    nodes = spark.createDataFrame([("a", "module", "App/UI", "presentation", 0.9), ("b", "module", "app/db", "database", 0.9), ("c", "module", "lib", "database", 0.5), ("d", "component", "app", None, 0.0), ("e", "module", "apple", None, None)], "node string, node_type string, path string, layer string, confidence double")
+    chosen = lambda kind, value: sorted(x["node"] for x in R.selected(nodes, spark.createDataFrame([("r", kind, value)], "rule string, kind string, value string")).collect())
+    assert chosen("prefix", "APP/") == ["a", "b", "d"] and chosen("prefix", "app/ui") == ["a"] and chosen("module", "app") == [] and chosen("component", "app") == ["d"]
+    assert chosen("layer", "Database") == ["b"] and chosen("prefix", "") == chosen("other", "app") == []
+    edges = spark.createDataFrame([("a", "b", 0.95), ("b", "a", 0.85), ("a", "c", 1.0), ("a", "d", 1.0), ("e", "b", 0.5)], "src string, dst string, confidence double")
+    rules = spark.createDataFrame([("f", "forbidden", "layer", "presentation", "layer", "database"), ("w", "allowed", "prefix", "app", "prefix", "app"), ("c", "forbidden_cycle", "module", "app/db", None, None), ("n", "forbidden_cycle", "module", "lib", None, None)], "rule string, kind string, source_kind string, source string, target_kind string, target string")
+    got = rows(R.broken_rules(edges, nodes, rules), "rule")
+    assert [x[:2] + x[3:] for x in got] == [("c", "b", 0.9), ("f", "a", 0.9), ("w", "a", 0.5)] and [x[2] for x in got][1:] == ["b", "c"]
