@@ -111,12 +111,18 @@ def budget_packing(rows: DataFrame, budget: int, least: int) -> DataFrame:
     return rows.withColumn("left", budget - before).where(F.col("left") >= least).select("place", "doc_id", F.least("n_chars", "left").cast("long").alias("taken"))
 
 
-def sufficiency(rows: DataFrame, key: str) -> DataFrame:
-    """(key, level) of evidence rows (key, type) by which types there are."""
-    has = {t: F.bool_or(F.col("type") == t) for t in ("history", "commit", "pull_request", "issue")}
-    h, c, p, i = has.values()
+#: Kinds of evidence that tell of a history, a commit, a request and an issue.
+TELLS = {"history": ["symbol_change", "symbol_version"], "commit": ["commit", "commit_diff"], "request": ["pull_request"], "issue": ["issue"]}
+
+
+def sufficiency(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """(key, level) of all keys asked about, by the evidence rows (key, type, relationship) that each has: what is
+    directly related decides between strong, moderate and weak; any evidence is weak at least, none is insufficient."""
+    direct = F.col("relationship") == "direct"
+    h, c, p, i = (F.coalesce(F.bool_or(direct & F.col("type").isin(kinds)), F.lit(False)) for kinds in TELLS.values())
     level = F.when(h & c & p & i, "strong").when((h & c) | (p & i) | (c & p), "moderate").otherwise("weak")
-    return rows.groupBy(key).agg(level.alias("level"))
+    found = rows.groupBy(key).agg(level.alias("level"))
+    return asked.select(key).distinct().join(found, key, "left").select(key, F.coalesce("level", F.lit("insufficient")).alias("level"))
 
 
 #: Words whose frequencies tasks hold; others count as rare, which only changes the order of words.

@@ -81,10 +81,14 @@ def budget_packing(h):
     return R.budget_packing(top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).cast("long")), 120000, 300)
 
 
-@query("versions", "WITH e AS (SELECT lineage, bool_or(name = 'view') AS h, bool_or(name = 'click') AS c, bool_or(name = 'purchase') AS p, bool_or(name = 'error') AS i FROM versions GROUP BY 1) SELECT lineage, CASE WHEN h AND c AND p AND i THEN 'strong' WHEN (h AND c) OR (p AND i) OR (c AND p) THEN 'moderate' ELSE 'weak' END AS level FROM e")
+@query("versions", """WITH d AS (SELECT lineage, name, value >= (SELECT avg(value) FROM versions) AS direct FROM versions), e AS (SELECT lineage, coalesce(bool_or(name = 'view' AND direct), false) AS h, coalesce(bool_or(name = 'click' AND direct), false) AS c, coalesce(bool_or(name = 'purchase' AND direct), false) AS p, coalesce(bool_or(name = 'error' AND direct), false) AS i FROM d GROUP BY 1)
+ SELECT c_custkey AS lineage, CASE WHEN e.lineage IS NULL THEN 'insufficient' WHEN h AND c AND p AND i THEN 'strong' WHEN (h AND c) OR (p AND i) OR (c AND p) THEN 'moderate' ELSE 'weak' END AS level FROM customer LEFT JOIN e ON c_custkey = e.lineage""")
 def evidence_sufficiency(h):
-    kind = F.create_map(*map(F.lit, ("view", "history", "click", "commit", "purchase", "pull_request", "error", "issue", "signup", "other")))
-    return R.sufficiency(h.versions().select("lineage", kind[F.col("name")].alias("type")), "lineage")
+    """Events above the average are direct evidence of their customers, others are related."""
+    kind = F.create_map(*map(F.lit, ("view", "symbol_change", "click", "commit_diff", "purchase", "pull_request", "error", "issue", "signup", "dependency_context")))
+    v = h.versions()
+    rows = v.select("lineage", kind[F.col("name")].alias("type"), F.when(F.col("value") >= v.agg(F.avg("value")).scalar(), "direct").otherwise("lexical").alias("relationship"))
+    return R.sufficiency(rows, h.authors().select(F.col("author_id").alias("lineage")), "lineage")
 
 
 @query(sql="""WITH s AS (SELECT doc_id, lang, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM documents), p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.w AS x, b.w AS y FROM s a JOIN s b ON a.lang = b.lang AND a.doc_id < b.doc_id AND least(len(a.w), len(b.w)) >= 0.8 * greatest(len(a.w), len(b.w)) AND len(a.w) > 0),

@@ -351,3 +351,9 @@ def test_direct_evidence(spark):
         (1, "pull_request:2", "pull_request", 0.94, "direct_pull_request_link"), (1, "file:05", "file_current", 0.78, "direct_file_file_current"), (1, "file:06", "file_current", 0.75, "direct_file_file_current"), (1, "file:07", "file_current", 0.72, "direct_file_file_current"),
         (2, "commit:40", "commit", 0.96, "direct_commit"), (3, "commit_diff:41", "commit_diff", 0.95, "direct_commit_diff"), (3, "issue:3", "issue", 0.93, "direct_issue_reference"),
     ]
+
+
+def test_sufficiency_is_of_direct_evidence(spark):
+    some = [(1, "symbol_version", "direct"), (1, "commit_diff", "direct"), (1, "pull_request", "direct"), (1, "issue", "direct"), (2, "pull_request", "direct"), (2, "issue", "direct"), (3, "commit", "direct"), (3, "pull_request", "semantic"), (4, "note", "lexical")]
+    asked = spark.createDataFrame([(k,) for k in (1, 2, 3, 4, 5, 5)], "k int")
+    assert rows(R.sufficiency(spark.createDataFrame(some, "k int, type string, relationship string"), asked, "k"), "k") == [(1, "strong"), (2, "moderate"), (3, "weak"), (4, "weak"), (5, "insufficient")]
