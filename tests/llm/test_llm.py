@@ -76,6 +76,33 @@ def test_ids_equal_the_library(name, kind):
     assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
+class Counted:
+    """The tokenizers library, which notes the texts it is given."""
+
+    def __init__(self, library):
+        self.library, self.seen = library, []
+
+    def __getattr__(self, name):
+        def call(texts, **options):
+            self.seen += texts
+            return getattr(self.library, name)(texts, **options)
+
+        return call
+
+
+@pytest.mark.parametrize(("name", "kind"), [(BYTES, "byte")])
+def test_words_go_to_the_library_together_and_stay_known(name, kind):
+    e, r = Encoder(name, kind, most=300), random.Random(8)
+    library = e.library = Counted(e.library)
+    for _ in range(20):
+        new = ["".join(r.choices("abcdefghijé", k=12)) for _ in range(200)]
+        texts = [f"common {w}*** {w}. x{w}\ny{w}%%% z" for w in new]
+        assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(texts)] == [x.ids for x in library.library.encode_batch(texts, add_special_tokens=False)]
+    heads = ["common"] * 4000 if kind == "byte" else []
+    assert len(library.seen) - len(heads) < 200  # of 12,000 words
+    assert sum(f" {x} ".count(" z ") for x in library.seen) == 1
+
+
 def test_shards_round_trip(spark, edge, none):
     docs, pairs = edge
     manifest = B.write_shards(docs, BYTES)
