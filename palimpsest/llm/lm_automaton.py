@@ -22,11 +22,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hash_arrays import PAIRS_DDL, Sums, joined, look_up, write_arrays
+from .hash_arrays import PACKED_DDL, Sums, joined, look_up, shard_bits, write_arrays
 from .shared import batch_of, mixed, split_batches, text_bytes, work_dir
 
 END, START = np.uint64(xxhash.xxh3_64_intdigest(b"\n end")), np.uint64(xxhash.xxh3_64_intdigest(b"\n start"))
@@ -35,16 +36,23 @@ AFTER = 100
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, each text's end token last, and where each text begins."""
-    words: list = []
-    starts = []
-    digest = xxhash.xxh3_64_intdigest
-    for t in texts:
-        starts.append(len(words))
-        words.extend(map(digest, t.lower().split()))
-        words.append(END)
-    return np.array(words, np.uint64), np.array(starts, np.int64)
+def token_hashes(texts: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, each text's end token last, and where each text begins. Each distinct word of the texts
+    is hashed once."""
+    if not isinstance(texts, pa.Array):
+        texts = pa.array(texts, pa.binary())
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string())))
+    coded = cut.values.dictionary_encode()
+    words = coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    hashes = np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64)
+    codes = coded.indices.to_numpy()
+    some = np.array([w != b"" for w in words], bool)[codes]  # white space at a text's ends leaves empty ones
+    ends = np.concatenate([[0], np.cumsum(some)])[cut.offsets.to_numpy()[1:]] + np.arange(len(texts))
+    tokens = np.empty(int(some.sum()) + len(texts), np.uint64)
+    inner = np.ones(len(tokens), bool)
+    inner[ends] = False
+    tokens[inner], tokens[ends] = hashes[codes[some]], END
+    return tokens, np.concatenate([[0], ends + 1])[: len(texts)].astype(np.int64)
 
 
 def ngrams(tokens: np.ndarray, starts: np.ndarray, order: int):
@@ -81,7 +89,7 @@ def held_out() -> F.Column:
 
 def train(docs: DataFrame, folder: str, order: int = 3, parts: int = 3) -> dict:
     """The automaton of doc_id, text rows: files and figures, of a size that doesn't grow with the rows."""
-    texts = docs.select(text_bytes().alias("text"))
+    texts, bits = docs.select(text_bytes().alias("text")), shard_bits(docs.sparkSession)
 
     def counted(part: int):
         """All n-grams whose hashes lie in a range; a range at a time bounds what lies shuffled."""
@@ -90,16 +98,16 @@ def train(docs: DataFrame, folder: str, order: int = 3, parts: int = 3) -> dict:
             return keys[(keys >> np.uint64(61)) * np.uint64(parts) >> np.uint64(3) == part]
 
         def count(batches):
-            sums = {k: Sums(k) for k in range(1, order + 1)}
+            sums = {k: Sums(k, bits=bits) for k in range(1, order + 1)}
             for b in split_batches(batches, 4 << 20):
-                tokens, starts = token_hashes(b.column("text").to_pylist())
+                tokens, starts = token_hashes(b.column("text"))
                 yield from sums[1].add(mine(tokens))
                 for k, _, gram, within in ngrams(tokens, starts, order):
                     yield from sums[k].add(mine(gram[within]))
             for s in sums.values():
                 yield from s.flush()
 
-        return write_arrays(texts.mapInArrow(count, PAIRS_DDL), folder, small=tuple(range(1, order + 1)), free=True)
+        return write_arrays(texts.mapInArrow(count, PACKED_DDL), folder, small=tuple(range(1, order + 1)), free=True)
 
     arcs = joined([counted(part) for part in range(parts)])
     discounts = {}
@@ -110,9 +118,9 @@ def train(docs: DataFrame, folder: str, order: int = 3, parts: int = 3) -> dict:
     def after(batches):
         """Each occurrence of an arc of count c adds 1 / c to its state: in all, the distinct words after it.
         A state seen once has one, which needs no entry."""
-        sums = {k: Sums(AFTER + k) for k in range(2, order + 1)}
+        sums = {k: Sums(AFTER + k, bits=bits) for k in range(2, order + 1)}
         for b in split_batches(batches, 4 << 20):
-            tokens, starts = token_hashes(b.column("text").to_pylist())
+            tokens, starts = token_hashes(b.column("text"))
             often = np.ones(len(tokens), bool)
             for k, state, gram, within in ngrams(tokens, starts, order):
                 c = found_in(arcs.get(k), gram, within & often)
@@ -122,7 +130,7 @@ def train(docs: DataFrame, folder: str, order: int = 3, parts: int = 3) -> dict:
         for s in sums.values():
             yield from s.flush()
 
-    states = write_arrays(texts.mapInArrow(after, PAIRS_DDL), folder, free=True)
+    states = write_arrays(texts.mapInArrow(after, PACKED_DDL), folder, free=True)
     words = arcs.get(1)
     return {
         "order": order, "arcs": arcs, "after": {k: states.get(AFTER + k) for k in range(2, order + 1)}, "discounts": discounts,
@@ -173,7 +181,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def scores(batches):
         for b in split_batches(batches, 4 << 20):
-            tokens, starts = token_hashes(b.column("text").to_pylist())
+            tokens, starts = token_hashes(b.column("text"))
             if len(starts):
                 c, base, path = weights(model, tokens, starts)
                 yield batch_of(_SCORES, b.column("doc_id"), b.column("held_out"), np.diff(starts, append=len(tokens)), np.add.reduceat((c > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(path, starts))

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm import extendible_dedup as D
+from palimpsest.llm import hash_arrays as H
 from palimpsest.llm import jaccard_join as J
 from palimpsest.llm import license_dice as L
 from palimpsest.llm import lm_automaton as A
@@ -456,6 +457,23 @@ def test_base_score_and_traversal(spark, none):
     assert A.train_and_score(none).count() == 0
 
 
+@pytest.mark.parametrize("weighed", [False, True])
+def test_sums_are_packed_for_shards(spark, weighed):
+    r = np.random.default_rng(4)
+    keys = r.integers(0, 3000, 40_000).astype(np.uint64) << np.uint64(52)
+    values = 1 / r.integers(1, 9, len(keys)) if weighed else None
+    want = defaultdict(float)
+    for k, v in zip(keys.tolist(), values if weighed else np.ones(len(keys))):
+        want[k] += v
+    sums = H.Sums(2, most=10_000, bits=3)
+    packs = [b for part in np.split(np.arange(len(keys)), 8) for b in sums.add(keys[part], values[part] if weighed else None)] + [*sums.flush()]
+    assert sum(b.num_rows for b in packs) <= 32  # of 40,000 keys
+    rows = spark.createDataFrame([tuple(x.values()) for b in packs for x in b.to_pylist()], H.PACKED_DDL)
+    arrays = H.write_arrays(rows, work_dir(spark, "packed"), small=() if weighed else (2,))[2]
+    assert np.allclose(H.look_up(arrays, np.array([*want], np.uint64)), [*want.values()]) and arrays["keys"] == len(want)
+    assert math.isclose(arrays["total"], sum(want.values()), rel_tol=1e-9)
+
+
 def test_scores_are_those_of_the_backoff_model(spark):
     """All orders up to three, with n-grams seen once, and counts that a byte doesn't hold."""
     r = random.Random(31)
