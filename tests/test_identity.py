@@ -220,6 +220,31 @@ def test_ranges_and_ancestors(spark, monkeypatch, local):
         CommitGraph(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "child long, parent long"))
 
 
+@pytest.mark.parametrize("names", ["in order", "shuffled"])
+def test_ranges_and_ancestors_by_blocks(spark, monkeypatch, names):
+    for c, v in (("BLOCK", 20), ("ASKED", 7), ("WAITING", 12)):
+        monkeypatch.setattr(A, c, v)
+    r = random.Random(8)
+    n = 90
+    name = list(range(n)) if names == "in order" else r.sample(range(n), n)
+    up = {c: {r.randint(max(0, c - 30), c - 1) for _ in range(r.choice([1, 1, 2]))} for c in range(1, n)}
+    closed = {0: {0}}
+    for c in range(1, n):
+        closed[c] = {c}.union(*(closed[p] for p in up[c]))
+    graph = CommitGraph(spark.createDataFrame([(name[c], name[p]) for c, ps in up.items() for p in ps], "child long, parent long"))
+    assert graph.in_order == (names == "in order") and len(A._blocks(graph.places)) > 2
+    pairs = [(i, r.randrange(n), r.randrange(n)) for i in range(80)]
+    frame = spark.createDataFrame([(i, name[a], name[b]) for i, a, b in pairs], "id long, good long, bad long")
+    monkeypatch.setattr(A, "_tasks", lambda _: 2)
+    got = defaultdict(set)
+    for x in graph.commit_range(frame).collect():
+        assert x["commit"] not in got[x["id"]]
+        got[x["id"]].add(x["commit"])
+    assert all(got[i] == {name[c] for c in closed[b] - closed[a]} for i, a, b in pairs)
+    held = {x["id"]: x["holds"] for x in graph.is_ancestor(frame.select("id", F.col("good").alias("ancestor"), F.col("bad").alias("commit"))).collect()}
+    assert held == {i: a in closed[b] for i, a, b in pairs}
+
+
 def test_ancestry_of_many_merges_takes_no_rounds(spark, monkeypatch):
     monkeypatch.setattr(A, "MOST_LOCAL", 0)
     n, made = 300, []
