@@ -8,6 +8,9 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +40,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def read_file(uri: str) -> pa.Table:
+    """A file of a written table, read in a task."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    return pq.read_table(path, filesystem=fs, use_threads=False)
+
+
 def numbered(rows: DataFrame, name: str, *order: str) -> tuple[DataFrame, int]:
     """The rows with their numbers from 1 in a unique order, and how many they are. Rows are sorted by ranges; a
     number is the place in its range and the rows of the ranges before, of which there is one sum a range."""

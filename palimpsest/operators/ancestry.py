@@ -20,12 +20,10 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import numbered, written
+from ..functions.lineage import numbered, read_file, written
 
 #: Parents of merges whose generations one process may work out; beyond, they are worked out by rounds of joins.
 MOST_LOCAL = 200_000
@@ -190,8 +188,7 @@ class _Graph:
     def block(self, k: int, make):
         if self.held is None or self.held[0] != k:
             self.held = None
-            fs, path = pafs.FileSystem.from_uri(self.files[k])
-            self.held = k, make(pq.read_table(path, filesystem=fs))
+            self.held = k, make(read_file(self.files[k]))
         return self.held[1]
 
 

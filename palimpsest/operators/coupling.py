@@ -29,6 +29,14 @@ def change_coupling(changes: DataFrame, most_files: int = 100, least_changes: in
     return scored.where(F.col("score") >= least_score).select("file_a", "file_b", "co_changes", "score")
 
 
+def coupled_with(changes: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_a, file_b, co_changes), file_a < file_b, of pairs with one of the files (file_id) at least."""
+    some = changes.join(files.select("file_id").distinct(), "file_id", "left_semi").select("commit_id", F.col("file_id").alias("a")).distinct()
+    met = changes.select("commit_id", F.col("file_id").alias("b")).join(some, "commit_id").where("a <> b").distinct()
+    counted = met.groupBy("a", "b").agg(F.count("*").alias("co_changes"))
+    return counted.select(F.least("a", "b").alias("file_a"), F.greatest("a", "b").alias("file_b"), "co_changes").distinct()
+
+
 def coupling_diagnostics(changes: DataFrame, most_files: int = 100) -> DataFrame:
     """(examined, used, excluded, pairs) over all commits."""
     per = examined_commits(changes, most_files)[1].agg(F.count("*").alias("examined"), F.count_if("used").alias("used"), F.count_if(~F.col("used")).alias("excluded"))

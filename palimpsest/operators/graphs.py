@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import numbered, written
+from ..functions.lineage import numbered, read_file, written
 from ..functions.scalars import first_match
 
 
@@ -50,23 +52,136 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int, co_changes: DataFrame
     and of these the least by its nodes, each way going on from the one that the node before kept. A caller has a
     CALLS edge to the seed. ``co_changes`` (file_a, file_b, co_changes) are looked up both ways."""
     usable = edges.where(F.col("confidence") >= least)
-    back = written(usable.groupBy(F.col("dst").alias("at"), F.col("src").alias("next")).agg(F.max("confidence").alias("c"), F.bool_or(F.col("kind") == "CALLS").alias("calls")))
-    start = seeds.select(F.col("node").alias("seed"), F.col("node").alias("at")).distinct()
-    frontier = start.select("seed", "at", F.lit(0).alias("distance"), F.lit(1.0).alias("confidence"), F.array("at").alias("p"), F.lit(False).alias("caller"))
-    known = frontier = written(frontier)
-    for d in range(1, depth + 1):
-        step = frontier.join(back, "at").select("seed", F.col("next").alias("at"), F.struct((-F.least("confidence", "c")).alias("c"), F.concat("p", F.array("next")).alias("p")).alias("way"), (F.lit(d == 1) & F.col("calls")).alias("caller"))
-        best = step.groupBy("seed", "at").agg(F.min("way").alias("way"), F.bool_or("caller").alias("caller"))
-        new = best.join(known.select("seed", "at"), ["seed", "at"], "left_anti")
-        frontier = written(new.select("seed", "at", F.lit(d).alias("distance"), (-F.col("way.c")).alias("confidence"), F.col("way.p").alias("p"), "caller"))
-        if frontier.isEmpty():
-            break
-        known = known.unionByName(frontier)
-    found = known.where("distance > 0 AND seed <> at").select("seed", F.col("at").alias("node"), "distance", (F.col("distance") == 1).alias("direct"), "caller", "confidence", F.array_join(F.transform("p", lambda x: x.cast("string")), ">").alias("path"))
+    names = written(numbered(usable.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "place", "node")[0].select("node", "place"))
+    size, named = names.count(), names.inputFiles()
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _names(named)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(pc.index_in(b.column(c), value_set=known) for c in ("dst", "src")), b.column(2), b.column(3)], names=["at", "next", "c", "calls"])
+
+    rows = usable.select("src", "dst", F.col("confidence").cast("double").alias("c"), F.coalesce(F.col("kind") == "CALLS", F.lit(False)).alias("calls")).mapInArrow(placed, "at int, next int, c double, calls boolean")
+    out = written(rows.repartition(parts, "at").groupBy("at", "next").agg(F.max("c").alias("c"), F.bool_or("calls").alias("calls")).sortWithinPartitions("at", "next"))
+    into = written(out.select("at", "next", "c", "calls").repartition(parts, "next").sortWithinPartitions("next", "at")) if depth > 1 else out
+    pushed, pulled = out.inputFiles(), into.inputFiles()
+    start = seeds.select("node").distinct()
     if co_changes is None:
-        return found.withColumn("co_changes", F.lit(0).cast("long"))
-    both = co_changes.select(F.col("file_a").alias("seed"), F.col("file_b").alias("node"), "co_changes").unionByName(co_changes.select(F.col("file_b").alias("seed"), F.col("file_a").alias("node"), "co_changes"))
-    return found.join(both, ["seed", "node"], "left").withColumn("co_changes", F.coalesce("co_changes", F.lit(0)).cast("long"))
+        asked = start.select("node", F.array().cast(f"array<{dict(seeds.dtypes)['node']}>").alias("others"), F.array().cast("array<long>").alias("n"))
+    else:
+        both = co_changes.select(F.col("file_a").alias("node"), F.col("file_b").alias("other"), "co_changes").unionByName(co_changes.select(F.col("file_b").alias("node"), F.col("file_a").alias("other"), "co_changes"))
+        met = both.join(start, "node", "left_semi").groupBy("node").agg(F.collect_list(F.struct("other", F.col("co_changes").cast("long").alias("n"))).alias("x"))
+        asked = start.join(met, "node", "left").select("node", F.col("x.other").alias("others"), F.col("x.n").alias("n"))
+    asked, at_once = written(asked), max(1, HELD // max(1, size))
+    tasks = max(edges.sparkSession.sparkContext.defaultParallelism, -(-asked.count() // at_once))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _names(named)
+        for b in batches:
+            b = b.append_column("seed", pc.index_in(b.column(0), value_set=known)).filter(pc.is_in(b.column(0), value_set=known))
+            for k in range(0, b.num_rows, at_once):
+                yield from _impact(b.slice(k, at_once), known, pushed, pulled, depth)
+
+    kind = dict(usable.dtypes)["src"]
+    return asked.repartition(tasks).mapInArrow(walk, f"seed {kind}, node {kind}, distance int, direct boolean, caller boolean, confidence double, path string, co_changes long")
+
+
+#: Nodes by seeds that a task holds.
+HELD = 6_000_000
+
+
+def _names(files: list[str]) -> pa.Array:
+    """The nodes in the order of their places."""
+    return pa.concat_tables(map(read_file, files)).sort_by("place").column("node").combine_chunks()
+
+
+class _Ways:
+    """What a seed's ways reach. A node that isn't settled has the widest way so far, and of equally wide ones the
+    place of the node before it in the order of their own ways."""
+
+    def __init__(self, seed: int, size: int) -> None:
+        self.distance, self.c, self.before = np.full(size, -1, np.int8), np.full(size, -np.inf), np.full(size, -1, np.int32)
+        self.rank, self.least, self.caller = np.zeros(size, np.int32), np.full(size, NEVER, np.int32), np.zeros(size, bool)
+        self.order = np.array([seed], np.int32)  # the last step's nodes by their ways
+        self.distance[seed], self.c[seed] = 0, 1.0
+
+    def offer(self, at: np.ndarray, nodes: np.ndarray, c: np.ndarray) -> None:
+        free = self.distance[nodes] < 0
+        at, nodes = at[free], nodes[free]
+        c = np.minimum(c[free], self.c[at])
+        last = self.c[nodes]
+        np.maximum.at(self.c, nodes, c)
+        most = self.c[nodes]
+        self.least[nodes[most > last]] = NEVER
+        best = c == most
+        np.minimum.at(self.least, nodes[best], self.rank[at[best]])
+
+    def settle(self, d: int) -> None:
+        new = np.flatnonzero((self.distance < 0) & (self.least < NEVER)).astype(np.int32)
+        self.distance[new] = d
+        self.before[new] = self.order[self.least[new]]
+        self.order = new[np.argsort(self.least[new], kind="stable")]
+        self.rank[self.order] = np.arange(len(new), dtype=np.int32)
+
+
+NEVER = np.iinfo(np.int32).max
+
+
+def _lines_of(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all lines of stretches of lines."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def _stretches(file: str, by: str) -> tuple[np.ndarray, ...]:
+    """(nodes, starts, sizes, at, next, c, calls) of a file of edges, in order of ``by``."""
+    t = read_file(file)
+    x = [t.column(c).to_numpy() for c in ("at", "next", "c", "calls")]
+    nodes, starts, sizes = np.unique(x[by == "next"], return_index=True, return_counts=True)
+    return nodes, starts, sizes, *x
+
+
+def _impact(rows: pa.RecordBatch, names: pa.Array, pushed: list[str], pulled: list[str], depth: int) -> Iterator[pa.RecordBatch]:
+    """What depends on some seeds. A step goes out from the nodes of the step before or, where these have more edges than
+    those into the nodes that are left, back from the latter."""
+    seeds, size = rows.column("seed").to_pylist(), len(names)
+    ways, goes, comes = [_Ways(s, size) for s in seeds], np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for d in range(1, depth + 1):
+        back = [d > 1 and goes[w.order].sum() > comes[w.distance < 0].sum() for w in ways]
+        for files, by, turn in ((pushed, "at", False), (pulled, "next", True)):
+            on = [w for w, b in zip(ways, back, strict=True) if b == turn and len(w.order)]
+            for f in files if on else ():
+                nodes, starts, sizes, at, nxt, c, calls = _stretches(f, by)
+                if d == 1:
+                    goes[nodes] += sizes
+                    np.add.at(comes, nxt, 1)
+                for w in on:
+                    hit = w.distance[nodes] == (-1 if turn else d - 1)
+                    if not hit.any():
+                        continue
+                    k = _lines_of(starts[hit], sizes[hit])
+                    if turn:
+                        k = k[w.distance[at[k]] == d - 1]
+                    w.offer(at[k], nxt[k], c[k])
+                    if d == 1:
+                        w.caller[nxt[k[calls[k]]]] = True
+        for w in ways:
+            w.settle(d)
+    text = names.cast(pa.string())
+    for i, (seed, w) in enumerate(zip(seeds, ways, strict=True)):
+        co = np.zeros(size, np.int64)
+        if rows.column("others")[i].is_valid:
+            other, n = pc.index_in(rows.column("others")[i].values, value_set=names), rows.column("n")[i].values
+            co[other.drop_null().to_numpy()] = n.filter(other.is_valid()).to_numpy()
+        for d in range(1, depth + 1):
+            nodes = np.flatnonzero(w.distance == d)
+            steps = [nodes]
+            for _ in range(d):
+                steps.insert(0, w.before[steps[0]])
+            for k in range(0, len(nodes), 100_000):
+                at = nodes[k : k + 100_000]
+                path = pc.binary_join_element_wise(*(text.take(pa.array(x[k : k + 100_000])) for x in steps), ">")
+                columns = [names.take(pa.array(np.full(len(at), seed))), names.take(pa.array(at)), pa.array(np.full(len(at), d, np.int32)), pa.array(np.full(len(at), d == 1)), pa.array(w.caller[at] & (d == 1)), pa.array(w.c[at]), path, pa.array(co[at])]
+                yield pa.RecordBatch.from_arrays(columns, names=["seed", "node", "distance", "direct", "caller", "confidence", "path", "co_changes"])
 
 
 def shortest_path(edges: DataFrame, start: int, depth: int) -> DataFrame:

@@ -36,7 +36,8 @@ def impact_paths(h):
     """What depends on the files of one module, with confidences by kind."""
     sure = F.when(F.col("type") == "IMPORTS", 1.0).when(F.col("type") == "CALLS", 0.9).otherwise(0.85)
     edges = h.file_references().select("src", "dst", F.col("type").alias("kind"), (sure * (1 - (F.col("src") * 7 + F.col("dst")) % 5 / 10)).alias("confidence"))
-    return G.impact(edges, h.files().where(F.col("module_id") == h.files().agg(F.min("module_id")).scalar()).select(F.col("file_id").alias("node")), 3, C.change_coupling(h.changes(), 1_000_000))
+    seeds = h.files().where(F.col("module_id") == h.files().agg(F.min("module_id")).scalar())
+    return G.impact(edges, seeds.select(F.col("file_id").alias("node")), 3, C.coupled_with(h.changes(), seeds))
 
 
 @query("lines edges", "WITH p AS (SELECT (SELECT min(src) FROM edges) AS node, 0 AS distance, [CAST((SELECT min(src) FROM edges) AS BIGINT)] AS p UNION SELECT dst, distance + 1, list_append(p, CAST(dst AS BIGINT)) FROM p JOIN edges ON node = src WHERE distance < 4 AND NOT list_contains(p, CAST(dst AS BIGINT))), b AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY distance, p) AS k FROM p) SELECT node, distance, array_to_string(p, '>') AS path FROM b WHERE k = 1", True)

@@ -262,6 +262,33 @@ def test_impact_keeps_the_widest_of_the_shortest_ways(spark):
     assert got == [("b", 1, True, True, 0.9, "a>b", 2), ("c", 1, True, False, 0.5, "a>c", 0), ("d", 2, False, False, 0.6, "a>b>d", 4), ("e", 3, False, False, 0.6, "a>b>d>e", 0)]
 
 
+def test_impact_goes_back_from_what_is_left(spark, monkeypatch):
+    r = random.Random(9)
+    edges = {(a, b): (round(r.random(), 1), r.random() < 0.5) for a, b in ((r.randrange(40), r.randrange(40)) for _ in range(260)) if a != b}
+    monkeypatch.setattr(G, "HELD", 100)
+    frame = spark.createDataFrame([(a, b, "CALLS" if calls else "IMPORTS", c) for (a, b), (c, calls) in edges.items()] * 2, "src long, dst long, kind string, confidence double")
+    got = {(x["seed"], x["node"]): (x["distance"], x["confidence"], x["path"], x["caller"]) for x in G.impact(frame, spark.range(9).withColumnRenamed("id", "node"), 4).collect()}
+    want = {}
+    for seed in range(9):
+        known = last = {seed: (-1.0, [seed])}
+        for d in range(1, 5):
+            step = {}
+            for (a, b), (c, _) in edges.items():
+                if b in last and a not in known:
+                    way = (max(last[b][0], -c), [*last[b][1], a])
+                    step[a] = min(way, step.get(a, way))
+            want |= {(seed, a): (d, -c, ">".join(map(str, p)), d == 1 and edges[a, seed][1]) for a, (c, p) in step.items()}
+            known, last = known | step, step
+    assert got == want and max(x[0] for x in want.values()) > 2
+
+
+def test_impact_makes_no_row_for_each_way(spark):
+    layers = [[(i, 1000 + j) for i in range(1) for j in range(60)], [(1000 + i, 2000 + j) for i in range(60) for j in range(60)], [(2000 + i, 3000 + j) for i in range(60) for j in range(60)]]
+    edges = spark.createDataFrame([(b, a, "CALLS", 1.0) for x in layers for a, b in x], "src long, dst long, kind string, confidence double")
+    found = G.impact(edges, spark.createDataFrame([(0,)], "node long"), 3)
+    assert found.count() == 180 and "Join" not in found._jdf.queryExecution().toString()
+
+
 def test_components_in_one_task_are_those_of_rounds(spark, monkeypatch):
     r = random.Random(6)
     edges = spark.createDataFrame([(r.randint(0, 40), r.randint(0, 40)) for _ in range(60)], "src long, dst long")
