@@ -65,7 +65,8 @@ class LineOrigins:
     old_start: the runs of lines of its last state by the position of the change that brought them. Lines that no
     hunk brought aren't told. The columns that the hunks are partitioned by come first.
 
-    The state is a list of runs, so memory follows a file's runs and not its history."""
+    The state is blocks of runs, so memory follows a file's runs and not its history, and a hunk costs the blocks and
+    the runs of one of them, not all runs."""
 
     @staticmethod
     def analyze(hunks: AnalyzeArgument) -> AnalyzeResult:
@@ -77,52 +78,90 @@ class LineOrigins:
         return AnalyzeResult(T.StructType([*keys, *_fields(first=T.LongType(), last=T.LongType(), origin=T.LongType())]))
 
     def __init__(self) -> None:
-        self.runs: list[tuple[int, int, int | None]] = []  # first line, last line, origin
+        # blocks of runs (lines, origin) with all their lines; the last run is what no hunk has brought
+        self.blocks: list[list] = [[ENDLESS, [(ENDLESS, None)]]]
+        self.at: list[int] | None = None
         self.keys: tuple = ()
         self.pos: int | None = None
-        self.hunks: list[tuple[int, int, int, int]] = []
+        self.hunks: list[tuple[int, int, int]] = []
 
     def eval(self, row: Row) -> Iterator[tuple]:
-        x = row.asDict()
-        self.keys = tuple(v for c, v in x.items() if c not in ("pos", "old_start", "old_count", "new_start", "new_count"))
-        if self.pos is not None and x["pos"] != self.pos:
+        if self.at is None:
+            names = list(row.asDict())
+            self.at = [names.index(c) for c in ("pos", "old_start", "old_count", "new_count")]
+            wanted = ("pos", "old_start", "old_count", "new_start", "new_count")
+            self.keys = tuple(row[c] for c in names if c not in wanted)
+        p, old, gone, come = self.at
+        pos = row[p]
+        if self.pos is not None and pos != self.pos:
             self.apply()
-        self.pos = x["pos"]
-        self.hunks.append((x["old_start"], x["old_count"], x["new_start"], x["new_count"]))
-        return iter(())
+        self.pos = pos
+        self.hunks.append((row[old], row[gone], row[come]))
+        return ()
 
     def apply(self) -> None:
-        """One change's hunks, all at once: what lies between them moves by what those before added and took."""
-        out, shift, at = [], 0, 0
-        hunks = sorted(self.hunks)
-        for old, gone, new, come in hunks:
+        """One change's hunks, all at once: from the last on, so that none moves the lines of those that follow."""
+        for old, gone, come in sorted(self.hunks, key=lambda h: h[:2], reverse=True) if len(self.hunks) > 1 else self.hunks:
             # a hunk that takes nothing stands after its old line
-            begin = old if gone else old + 1
-            while at < len(self.runs) and self.runs[at][1] < begin:
-                first, last, origin = self.runs[at]
-                out.append((first + shift, last + shift, origin))
-                at += 1
-            if at < len(self.runs) and self.runs[at][0] < begin:
-                first, last, origin = self.runs[at]
-                out.append((first + shift, begin - 1 + shift, origin))
-                self.runs[at] = (begin, last, origin)
-            end = begin + gone  # the first old line after it
-            while at < len(self.runs) and self.runs[at][1] < end:
-                at += 1
-            if at < len(self.runs) and self.runs[at][0] < end:
-                first, last, origin = self.runs[at]
-                self.runs[at] = (end, last, origin)
-            if come:
-                out.append((new, new + come - 1, self.pos))
-            shift += come - gone
-        out += [(first + shift, last + shift, origin) for first, last, origin in self.runs[at:]]
-        self.runs, self.hunks = out, []
+            self.put(old - 1 if gone else old, gone, come)
+        self.hunks = []
+
+    def put(self, left: int, gone: int, come: int) -> None:
+        """Lines of the change in place of some, after the first ``left`` ones."""
+        for b, (lines, runs) in enumerate(self.blocks):  # noqa: B007
+            if left < lines:
+                break
+            left -= lines
+        r = 0
+        while left >= runs[r][0]:
+            left -= runs[r][0]
+            r += 1
+        if left:
+            n, origin = runs[r]
+            runs[r : r + 1] = [(left, origin), (n - left, origin)]
+            r += 1
+        x, k, emptied = b, r, False
+        while gone:
+            block = self.blocks[x]
+            if k == len(block[1]):
+                x, k, emptied = x + 1, 0, True
+                continue
+            n, origin = block[1][k]
+            some = min(n, gone)
+            if n > ENDLESS // 2:
+                break
+            if n == some:
+                del block[1][k]
+                block[0] -= some
+            else:
+                block[1][k] = (n - some, origin)
+                block[0] -= some
+            gone -= some
+        if come:
+            runs.insert(r, (come, self.pos))
+            self.blocks[b][0] += come
+        if len(runs) > MOST_RUNS:
+            half = runs[MOST_RUNS // 2 :]
+            del runs[MOST_RUNS // 2 :]
+            lines = sum(n for n, _ in half)
+            self.blocks[b][0] -= lines
+            self.blocks.insert(b + 1, [lines, half])
+        if emptied or not runs:
+            self.blocks = [x for x in self.blocks if x[1]]
 
     def terminate(self) -> Iterator[tuple]:
         if self.pos is not None:
             self.apply()
-            for first, last, origin in self.runs:
-                yield *self.keys, first, last, origin
+            first = 1
+            for _, runs in self.blocks:
+                for n, origin in runs:
+                    if origin is not None:
+                        yield *self.keys, first, first + n - 1, origin
+                    first += n
+
+
+#: Lines of a run that has no end, and runs of a block, of which a change looks into one.
+ENDLESS, MOST_RUNS = 1 << 60, 128
 
 
 def register(spark: SparkSession) -> None:

@@ -44,3 +44,17 @@ def test_lines_are_told_their_origin(spark, sql):
     spark.createDataFrame(hunks, "file int, pos long, old_start long, old_count long, new_start long, new_count long").repartition(3).createOrReplaceTempView("hunks")
     got = [tuple(x) for x in sql("SELECT file, explode(sequence(first, last)) AS line, origin FROM line_origins(TABLE(hunks) PARTITION BY file ORDER BY pos) ORDER BY file, line").collect()]
     assert got == want and len(want) > 60
+
+
+def test_a_change_looks_into_one_block_of_runs():
+    from pyspark.sql import Row
+
+    from palimpsest.functions import tables
+
+    f = tables.LineOrigins.func()
+    for k in range(4_000):  # a run of one line each, put in the middle
+        list(f.eval(Row(file=1, pos=k, old_start=k // 2, old_count=0, new_start=k // 2 + 1, new_count=1)))
+    assert max(len(runs) for _, runs in f.blocks) <= tables.MOST_RUNS and len(f.blocks) > 20
+    list(f.eval(Row(file=1, pos=4_000, old_start=2, old_count=3_990, new_start=2, new_count=1)))  # over many blocks
+    rows = list(f.terminate())
+    assert [(first, last) for _, first, last, _ in rows] == [(k, k) for k in range(1, 12)] and rows[1][3] == 4_000
