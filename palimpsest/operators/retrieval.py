@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import written
+from ..functions.meeting import shared_counts, sharing
 from ..functions.scalars import SCORE, cosine
 
 #: What is taken for a secret, and what stands in its place.
@@ -127,43 +126,40 @@ def sufficiency(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
 
 #: Words whose frequencies tasks hold; others count as rare, which only changes the order of words.
 MOST_FREQUENT = 100_000
-_FIRST = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n", pa.int32()), ("word", pa.int64()), ("r", pa.int32())])
 
 
 def token_set_pairs(docs: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity): documents of the same language whose sets of words are at least so similar by Jaccard.
     Words are ordered by rarity; two sets so similar share one of their first words, at places after which enough
-    words are left in both, and their sizes lie in one band or two neighbouring ones. Only ids and first words are
-    joined; sets are fetched for the pairs that are left. Words are told apart by 64-bit hashes."""
+    words are left in both. First words are shuffled as arrays; the sets of the pairs that are left are read from files.
+    Words are told apart by 64-bit hashes."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != ""))
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.transform(words, lambda w: F.xxhash64(w)).alias("w")).where(F.size("w") > 0)
-    sets = written(sets.withColumn("n", F.size("w")))
+    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.transform(words, lambda w: F.xxhash64(w, "lang")).alias("w")).where(F.size("w") > 0)
+    sets = written(sets)  # words of different languages don't meet
     often = sets.select(F.explode("w").alias("word")).groupBy("word").count().where("count > 1").orderBy(F.desc("count"), "word").limit(MOST_FREQUENT).toArrow()
     order = np.argsort(often.column("word").to_numpy())
     shared = docs.sparkSession.sparkContext.broadcast((often.column("word").to_numpy()[order], often.column("count").to_numpy()[order]))
 
-    def first_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first_words(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         names, counts = shared.value
-        for b in batches:
-            flat, n = b.column(2).flatten().to_numpy(), b.column(2).value_lengths().to_numpy()
-            at = np.minimum(np.searchsorted(names, flat), max(len(names) - 1, 0))
-            freq = np.where(names[at] == flat, counts[at], 0) if len(names) else np.zeros(len(flat), np.int64)
-            row = np.repeat(np.arange(len(n)), n)
-            sorted_ = np.lexsort((flat, freq, row))
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-            kept = place <= n[row] - np.ceil(least * n[row] - 1e-9)
-            row = row[kept]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(n[row], pa.int32()), pa.array(flat[sorted_][kept]), pa.array((place[kept] + 1).astype(np.int32))], schema=_FIRST)
-
-    band = F.floor(F.log(F.col("n").cast("double")) / -math.log(least) + 1e-9).cast("int")
-    first = sets.select("doc_id", "lang", "w").mapInArrow(first_words, "doc_id long, lang string, n int, word long, r int").withColumn("band", band)
-    a, b = (first.select(F.col("doc_id").alias(k), "lang", "word", F.col("n").alias(f"n_{k}"), F.col("r").alias(f"r_{k}"), at.alias("band")) for k, at in (("a", F.col("band")), ("b", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))))
-    shared_most = 1 + F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b"))
-    near = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")) & (shared_most * (1 + least) >= least * (F.col("n_a") + F.col("n_b")) - 1e-9)
-    pairs = a.join(b, ["lang", "word", "band"]).where(near).select("a", "b").distinct()
-    x, y = (sets.select(F.col("doc_id").alias(k), F.col("w").alias(f"w_{k}")) for k in "ab")
-    both = F.size(F.array_intersect("w_a", "w_b"))
-    scored = pairs.join(x, "a").join(y, "b").select("a", "b", F.round(both / (F.size("w_a") + F.size("w_b") - both), SCORE).alias("similarity"))
+        flat, n = b.column(1).flatten().to_numpy(), b.column(1).value_lengths().to_numpy()
+        at = np.minimum(np.searchsorted(names, flat), max(len(names) - 1, 0))
+        freq = np.where(names[at] == flat, counts[at], 0) if len(names) else np.zeros(len(flat), np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        sorted_ = np.lexsort((flat, freq, row))
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+        kept = place <= n[row] - np.ceil(least * n[row] - 1e-9)
+        row = row[kept]
+        return flat[sorted_][kept], b.column(0).to_numpy()[row], n[row].astype(np.int32), (place[kept] + 1).astype(np.int32)
+
+    def near(n_a: np.ndarray, r_a: np.ndarray, n_b: np.ndarray, r_b: np.ndarray) -> np.ndarray:
+        shared_most = 1 + np.minimum(n_a - r_a, n_b - r_b)
+        return (n_a >= least * n_b) & (shared_most * (1 + least) >= least * (n_a + n_b) - 1e-9)
+
+    met = sharing(sets.where("lang IS NOT NULL").select("doc_id", "w"), first_words, near, 1 / least)
+    pairs = written(met)
+    counted = shared_counts(sets.select(F.col("doc_id").alias("id"), "w"), pairs)
+    scored = counted.select("a", "b", F.round(F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")), SCORE).alias("similarity"))
     return scored.where(F.col("similarity") >= least)
 
 
